@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockwise.functions.literals import word_array
 from blockwise.vocabulary import DEFAULT, METRIC_STRIP_ORDER, Vocabulary
 
 # The patterns below decide which texts count as which kind of number.
@@ -71,7 +72,7 @@ def grouped_long(text: Column) -> Column:
 
 def metric_text(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     """Upper-cased text without label words and with misread digits restored."""
-    labels = F.array(*[F.lit(w.upper()) for w in vocabulary.words(*METRIC_STRIP_ORDER)])
+    labels = word_array([w.upper() for w in vocabulary.words(*METRIC_STRIP_ORDER)])
     bare = F.aggregate(labels, F.upper(text), lambda acc, word: F.replace(acc, word, F.lit("")))
     return F.trim(F.translate(bare, "|ILO+", " 110"))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockwise.functions.literals import constant, word_array
+
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, on lower-cased text; 0 when either side is empty."""
@@ -24,19 +27,16 @@ def edit_budget(len_a: int, len_b: int, threshold: float, strict: bool = True) -
     return passing[-1] if passing else -1
 
 
-def _words_by_length(words: list[str], threshold: float) -> Column | None:
-    """Literal map: text length -> the words that can pass at that length, with their budgets."""
+@lru_cache(maxsize=256)
+def _words_by_length(words: tuple[str, ...], threshold: float) -> list[list[dict]]:
+    """At index n the words that can pass against a text of length n, with their edit budgets."""
     lowered = sorted({w.lower() for w in words if w})
-    if not lowered:
-        return None
-    longest = max(len(w) for w in lowered)
-    entries: list[Column] = []
+    longest = max((len(w) for w in lowered), default=0)
+    table: list[list[dict]] = [[]]
     for n in range(1, int(longest / threshold) + 2):
-        fits = [(w, edit_budget(n, len(w), threshold)) for w in lowered]
-        fits = [(w, k) for w, k in fits if k >= 0]
-        if fits:
-            entries += [F.lit(n), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in fits])]
-    return F.create_map(*entries)
+        fits = ((w, edit_budget(n, len(w), threshold)) for w in lowered)
+        table.append([{"w": w, "k": k} for w, k in fits if k >= 0])
+    return table
 
 
 def similar_to_any(text: Column, words: list[str], threshold: float) -> Column:
@@ -45,11 +45,9 @@ def similar_to_any(text: Column, words: list[str], threshold: float) -> Column:
     The words are a checked, bounded list, so they travel as a literal and no join is needed.  Only
     words of a workable length are compared, each with the early-exit form of the edit distance.
     """
-    by_length = _words_by_length(words, threshold)
-    if by_length is None:
-        return F.lit(False)
+    by_length = constant(_words_by_length(tuple(words), threshold), "array<array<struct<w:string,k:int>>>")
     lowered = F.lower(text)
-    hit = F.exists(F.element_at(by_length, F.length(lowered)),
+    hit = F.exists(F.get(by_length, F.length(lowered)),
                    lambda x: F.call_function("levenshtein", lowered, x["w"], x["k"]) >= 0)
     return F.coalesce(hit, F.lit(False))
 
@@ -62,7 +60,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
     if not needed:
         return F.lit(False)
     lowered = F.lower(text)
-    hit = F.exists(F.array(*[F.lit(w) for w in needed]), lambda w: F.contains(lowered, w))
+    hit = F.exists(word_array(needed), lambda w: F.contains(lowered, w))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -73,8 +71,7 @@ def matches_any(text: Column, words: list[str], threshold: float) -> Column:
 
 def first_matching_word(text: Column, words: list[str], threshold: float) -> Column:
     """The first word in list order that the text resembles or contains, NULL if there is none."""
-    listed = F.array(*[F.lit(w) for w in words])
-    hits = F.filter(listed, lambda w: (similarity(text, w) > threshold) | F.contains(F.lower(text), F.lower(w)))
+    hits = F.filter(word_array(words), lambda w: (similarity(text, w) > threshold) | F.contains(F.lower(text), F.lower(w)))
     return F.get(hits, F.lit(0))
 
 

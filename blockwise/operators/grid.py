@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockwise.functions.geometry import distance
 from blockwise.functions.numbers import digits_only_int
-from blockwise.session import cut_lineage
+from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
 # Search limits in units of the page's median anchor height.
@@ -115,15 +115,16 @@ def _rounds(pairs: DataFrame) -> DataFrame:
     order = F.struct("dist", "anchor_ord", "qty_ord")
     left, matched = pairs.select("page_id", "dist", "anchor_ord", "qty_ord"), None
     while True:
+        left = stage(left)
         by_anchor = left.groupBy("page_id", "anchor_ord").agg(F.min(order).alias("best_a"))
         by_qty = left.groupBy("page_id", "qty_ord").agg(F.min(order).alias("best_q"))
-        taken = cut_lineage(by_anchor.join(by_qty, (by_anchor["best_a"] == by_qty["best_q"]) & (by_anchor["page_id"] == by_qty["page_id"]))
+        taken = stage(by_anchor.join(by_qty, (by_anchor["best_a"] == by_qty["best_q"]) & (by_anchor["page_id"] == by_qty["page_id"]))
                             .select(by_anchor["page_id"], "best_a.*"))
         if taken.isEmpty():
             return matched if matched is not None else taken
         matched = taken if matched is None else matched.unionByName(taken)
-        left = cut_lineage(left.join(taken.select("page_id", "anchor_ord"), ["page_id", "anchor_ord"], "left_anti")
-                           .join(taken.select("page_id", "qty_ord"), ["page_id", "qty_ord"], "left_anti"))
+        left = (left.join(taken.select("page_id", "anchor_ord"), ["page_id", "anchor_ord"], "left_anti")
+                .join(taken.select("page_id", "qty_ord"), ["page_id", "qty_ord"], "left_anti"))
 
 
 def greedy_matching(pairs: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -132,11 +133,11 @@ def greedy_matching(pairs: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame
     Pages of ordinary size are folded in one task each; a page too large for that is matched in rounds of
     joins and minima that spread over the cluster.
     """
-    pairs = cut_lineage(pairs.select("page_id", F.col("dist"), F.col("anchor_ord").cast("int"), F.col("qty_ord").cast("int")))
+    pairs = stage(pairs.select("page_id", F.col("dist"), F.col("anchor_ord").cast("int"), F.col("qty_ord").cast("int")))
     large = pairs.groupBy("page_id").count().filter(F.col("count") > fold_limit).select("page_id")
     if large.isEmpty():
         return _fold(pairs)
-    large = cut_lineage(large)
+    large = stage(large)
     small = pairs.join(large, "page_id", "left_anti")
     return _fold(small).unionByName(_rounds(pairs.join(large, "page_id", "left_semi")))
 

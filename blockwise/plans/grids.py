@@ -10,7 +10,7 @@ from blockwise.operators import grid as G
 from blockwise.operators.merges import ghost_reads, max_wins_conflicts, max_wins_merge, pending_log
 from blockwise.operators.rescans import rescan_quantity_merge
 from blockwise.operators.rollups import item_totals
-from blockwise.session import cut_lineage
+from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
 
@@ -19,7 +19,7 @@ class GridPage:
 
     def __init__(self, blocks: DataFrame, vocabulary: Vocabulary = DEFAULT):
         prepared = with_geometry(blocks)
-        self.anchors = G.value_color_lookup(prepared, vocabulary)
+        self.anchors = stage(G.value_color_lookup(prepared, vocabulary))
         self.scale = G.upper_median_height(self.anchors)
         self.quantities = G.quantity_blocks(prepared, self.anchors)
         self.candidates = G.grid_candidates(self.anchors, self.quantities, self.scale)
@@ -32,7 +32,7 @@ class GridPage:
 
     def items(self) -> DataFrame:
         """Matched items and pending orphans in page order (dist, anchor_ord)."""
-        matches = self.matches()
+        matches = stage(self.matches())
         matched = G.matched_items(self.anchors, self.quantities, matches).join(
             matches.select("page_id", "anchor_ord", "dist"), ["page_id", "anchor_ord"])
         orphans = G.orphan_anchors(self.anchors, matches).withColumn("dist", F.lit(float("inf")))
@@ -50,7 +50,7 @@ def session_items(blocks: DataFrame, rescans: DataFrame | None = None,
     """(items, conflicts, warnings) per session.  ``blocks`` carries session_id and page_seq."""
     pages = blocks.select("page_id", "session_id", "page_seq").distinct()
     # three results share the page items, so they are written once
-    items = cut_lineage(page_items(blocks, rescans, vocabulary).join(pages, "page_id"))
+    items = stage(page_items(blocks, rescans, vocabulary).join(pages, "page_id"))
     kept, ghosts = ghost_reads(items)
     pending = pending_log(kept)
     read = kept.filter(F.col("quantity") != -1)

@@ -17,6 +17,7 @@ from blockwise.functions.text import first_matching_word, matches_any, similar_t
 from blockwise.operators.classify import CIVILIZATION_THRESHOLD, LABEL_THRESHOLD, classify_profile_blocks
 from blockwise.operators.neighbours import proximity_veto, right_neighbor_same_line, topk_nearest
 from blockwise.operators.picks import first_by, first_struct
+from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
 # The label list behind each anchor, and the limits of the field rules.
@@ -28,8 +29,8 @@ UI_VETO_THRESHOLD = 0.8
 
 
 def prepare(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Classified blocks with geometry in pixels."""
-    return with_geometry(classify_profile_blocks(blocks, vocabulary))
+    """Classified blocks with geometry in pixels, written once because every field reads them."""
+    return stage(with_geometry(classify_profile_blocks(blocks, vocabulary)))
 
 
 def anchor_lookup(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -71,25 +72,40 @@ def page_state(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame
     said = {"ord": F.col("ord"), "txt": F.col("txt"), "cx": F.col("cx"), "cy": F.col("cy")}
     tag = first_struct(F.col("block_type") == "Tag", [F.col("ord")], said).alias("tag_block")
     civ = first_struct(F.col("block_type") == "Civilization", [F.col("ord")], said).alias("civ_block")
-    return blocks.groupBy("page_id").agg(*labels, *_id_picks(), tag, civ).select(
-        "page_id", *ANCHOR_LISTS, *_id_columns(), "tag_block", "civ_block")
-
-
-def _stat(blocks: DataFrame, state: DataFrame, label: str, claimed: list[str], exclude: str | None, name: str) -> DataFrame:
-    """The number over 1000 nearest to a label, skipping claimed blocks and an excluded value."""
-    values = (blocks.filter(F.col("block_type") == "Number").withColumn("value", numbers.grouped_long(F.col("txt")))
-              .filter(F.col("value") > MIN_STAT).select("page_id", "ord", "value", "cx", "cy"))
-    anchor = state.filter(F.col(label).isNotNull()).select(
-        "page_id", F.col(f"{label}.cx").alias("ax"), F.col(f"{label}.cy").alias("ay"), *claimed, *([exclude] if exclude else []))
-    pairs = values.join(anchor, "page_id")
-    for c in claimed:
-        pairs = pairs.filter(F.col(c).isNull() | (F.col("ord") != F.col(c)))
-    if exclude:
-        pairs = pairs.filter(F.col("value") != F.col(exclude))
-    gap = distance(F.col("cx"), F.col("cy"), F.col("ax"), F.col("ay"))
+    return stage(blocks.groupBy("page_id").agg(*labels, *_id_picks(), tag, civ).select(
+        "page_id", *ANCHOR_LISTS, *_id_columns(), "tag_block", "civ_block"))
+
+
+def _numbers(blocks: DataFrame) -> DataFrame:
+    return (blocks.filter(F.col("block_type") == "Number").withColumn("value", numbers.grouped_long(F.col("txt")))
+            .filter(F.col("value") > MIN_STAT).select("page_id", "ord", "value", "cx", "cy"))
+
+
+def _nearest_number(pairs: DataFrame, label: str, name: str) -> DataFrame:
+    gap = distance(F.col("cx"), F.col("cy"), F.col(f"{label}.cx"), F.col(f"{label}.cy"))
     found = first_by(pairs.withColumn("gap", gap), ["page_id"], [F.col("gap"), F.col("ord")], ["value", "ord"])
-    return state.join(found.select("page_id", F.col("value").alias(name), F.col("ord").alias(f"{name}_ord")), "page_id", "left") \
-        .withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return found.select("page_id", F.col("value").alias(name), F.col("ord").alias(f"{name}_ord"))
+
+
+def with_stats(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """Page state with power and kill points: the numbers over 1000 nearest to their labels.
+
+    Kill points skip the block and the value that power took.
+    """
+    values = _numbers(blocks)
+    with_id = values.join(state.select("page_id", "id_ord", "PowerLabel", "KpLabel"), "page_id")
+    free = with_id.filter(F.col("id_ord").isNull() | (F.col("ord") != F.col("id_ord")))
+    power = stage(_nearest_number(free.filter(F.col("PowerLabel").isNotNull()), "PowerLabel", "power"))
+    taken = free.filter(F.col("KpLabel").isNotNull()).join(power, "page_id", "left")
+    other = taken.filter(F.col("power").isNull() | ((F.col("value") != F.col("power")) & (F.col("ord") != F.col("power_ord"))))
+    kills = _nearest_number(other, "KpLabel", "kill_points")
+    zero = F.lit(0).cast("bigint")
+    out = (state.join(power, "page_id", "left").join(kills, "page_id", "left")
+           .withColumns({"power": F.coalesce("power", zero), "kill_points": F.coalesce("kill_points", zero)}))
+    return stage(out)
+
+
+CLAIMS = ["id_ord", "power_ord", "kill_points_ord"]
 
 
 def _unclaimed(df: DataFrame, claims: list[str]) -> DataFrame:
@@ -124,6 +140,10 @@ def alliance(blocks: DataFrame, state: DataFrame, claims: list[str]) -> DataFram
     return direct.unionByName(around)
 
 
+def with_alliance(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    return stage(state.join(alliance(blocks, state, CLAIMS), "page_id", "left"))
+
+
 def score_names(blocks: DataFrame, state: DataFrame, claims: list[str], vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Scored name candidates (page_id, ord, txt, score) with a positive score."""
     pool = blocks.filter(F.col("block_type").isin("Unknown", "Tag") & (F.length("txt") >= 3)).select("page_id", "ord", "txt", "cx", "cy")
@@ -148,12 +168,8 @@ def best_name(scored: DataFrame) -> DataFrame:
 
 def build_profiles(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT, draft_id: int = 0) -> DataFrame:
     """Unaudited profiles from prepared blocks."""
-    state = page_state(blocks, vocabulary)
-    state = _stat(blocks, state, "PowerLabel", ["id_ord"], None, "power")
-    state = _stat(blocks, state, "KpLabel", ["id_ord", "power_ord"], "power", "kill_points")
-    claims = ["id_ord", "power_ord", "kill_points_ord"]
-    state = state.join(alliance(blocks, state, claims), "page_id", "left")
-    named = best_name(score_names(blocks, state, [*claims, "alliance_ord"], vocabulary))
+    state = with_alliance(blocks, with_stats(blocks, page_state(blocks, vocabulary)))
+    named = best_name(score_names(blocks, state, [*CLAIMS, "alliance_ord"], vocabulary))
     civ = F.coalesce(first_matching_word(F.col("civ_block.txt"), vocabulary.words("civilizations"), CIVILIZATION_THRESHOLD),
                      F.col("civ_block.txt"))
     return state.join(named, "page_id", "left").select(
@@ -185,12 +201,12 @@ def profiles_with_rescans(blocks: DataFrame, rescans: DataFrame, vocabulary: Voc
     ``blocks`` and ``rescans`` are raw detections; rescans carry ``ord`` beyond the page's own.
     """
     prepared = prepare(blocks, vocabulary)
-    first = audit_profiles(build_profiles(prepared, vocabulary, draft_id))
+    first = stage(audit_profiles(build_profiles(prepared, vocabulary, draft_id)))
     extra = prepare(rescans, vocabulary)
     again = first.filter(~F.col("complete")).join(extra.select("page_id").distinct(), "page_id", "left_semi").select("page_id")
     common = [c for c in prepared.columns if c in extra.columns]
-    evidence = prepared.join(again, "page_id", "left_semi").select(*common).unionByName(
-        extra.join(again, "page_id", "left_semi").select(*common))
+    evidence = stage(prepared.join(again, "page_id", "left_semi").select(*common).unionByName(
+        extra.join(again, "page_id", "left_semi").select(*common)))
     second = audit_profiles(build_profiles(evidence, vocabulary, draft_id))
     return first.join(again, "page_id", "left_anti").unionByName(second)
 

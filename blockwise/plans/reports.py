@@ -14,6 +14,7 @@ from blockwise.operators.filters import SIDES, low_confidence_numbers, side_spli
 from blockwise.operators.neighbours import METRIC_REACH, NAME_REACH, nearest_in_direction
 from blockwise.operators.picks import first_by, first_struct
 from blockwise.operators.rescans import repair_assignment
+from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, METRIC_LISTS, Vocabulary
 
 # Output column per metric label, zones of the page and default start of the metrics.
@@ -31,7 +32,7 @@ CASUALTY = ["dead", "severely_wounded", "slightly_wounded", "remaining", "watcht
 
 def prepare(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Classified blocks with normalised geometry; needs canvas_w and canvas_h."""
-    return with_geometry(classify_report_blocks(blocks, vocabulary), F.col("canvas_w"), F.col("canvas_h"))
+    return stage(with_geometry(classify_report_blocks(blocks, vocabulary), F.col("canvas_w"), F.col("canvas_h")))
 
 
 def _region(min_x, max_x, min_y, max_y) -> Column:
@@ -60,7 +61,7 @@ def page_state(blocks: DataFrame, as_of_year: int, vocabulary: Vocabulary = DEFA
         picks.append(first_struct(zone & names.is_player_name(txt, vocabulary), [F.col("ny"), F.col("ord")],
                                   {"txt": txt}).alias(f"{side}_loose"))
     state = blocks.groupBy("page_id").agg(*picks)
-    return (state.withColumn("page_type", F.when(F.col("npc"), "Barbarian").otherwise("SingleBattle_PVP"))
+    return stage(state.withColumn("page_type", F.when(F.col("npc"), "Barbarian").otherwise("SingleBattle_PVP"))
             .withColumn("start_y", F.coalesce("start.ny", F.lit(DEFAULT_START)))
             .withColumn("report_ts", F.col("dated.ts"))
             .withColumn("coordinates", F.coalesce("placed.xy", F.lit("--"))))
@@ -131,7 +132,7 @@ def distinct_topk(entries: DataFrame, k: int = 2) -> DataFrame:
 
 def side_entities(blocks: DataFrame, state: DataFrame, entities: DataFrame, npcs: DataFrame) -> DataFrame:
     """page_id, side, primary_id, secondary_id from the dictionary that applies to the side."""
-    raw = level_names(blocks).join(state.select("page_id", "npc"), "page_id")
+    raw = stage(level_names(blocks).join(state.select("page_id", "npc"), "page_id"))
     uses_npcs = F.col("npc") & (F.col("side") == "defender")
     found = [entity_resolution_topk(raw.filter(c), d, "raw_name") for c, d in ((~uses_npcs, entities), (uses_npcs, npcs))]
     top = distinct_topk(found[0].unionByName(found[1]))
@@ -143,8 +144,8 @@ def side_entities(blocks: DataFrame, state: DataFrame, entities: DataFrame, npcs
 def build_battle_sides(blocks: DataFrame, state: DataFrame, entities: DataFrame, npcs: DataFrame,
                        vocabulary: Vocabulary = DEFAULT, fix_multi_group: bool = True) -> DataFrame:
     """One row per page and side."""
-    labels = metric_labels(blocks, state)
-    neighbours = _neighbours(blocks, state, labels)
+    labels = stage(metric_labels(blocks, state))
+    neighbours = stage(_neighbours(blocks, state, labels))
     metrics = metric_pivot(label_values(labels, neighbours, vocabulary, fix_multi_group))
     beside = neighbours.filter(F.col("what") == "tag").select("page_id", "side", F.col("txt").alias("beside"))
     parties = side_entities(blocks, state, entities, npcs)
@@ -277,14 +278,14 @@ def build_reports(blocks: DataFrame, entities: DataFrame, npcs: DataFrame, as_of
     """
     prepared = prepare(blocks, vocabulary)
     state = page_state(prepared, as_of_year, vocabulary)
-    sides = build_battle_sides(prepared, state, entities, npcs, vocabulary)
+    sides = stage(build_battle_sides(prepared, state, entities, npcs, vocabulary))
     if rescans is not None:
         failing = page_rows(state, sides).filter(~F.col("sound")).select("page_id")
         unsure = low_confidence_numbers(prepared, failing)
-        fixes = repair_assignment(unsure, rescans).filter("repaired").select(
-            "page_id", "ord", F.col("txt").alias("_txt"), F.col("conf").alias("_conf"))
+        fixes = stage(repair_assignment(unsure, rescans).filter("repaired").select(
+            "page_id", "ord", F.col("txt").alias("_txt"), F.col("conf").alias("_conf")))
         touched = fixes.select("page_id").distinct()
-        again = (prepared.join(touched, "page_id", "left_semi").join(fixes, ["page_id", "ord"], "left")
+        again = stage(prepared.join(touched, "page_id", "left_semi").join(fixes, ["page_id", "ord"], "left")
                  .withColumn("txt", F.coalesce("_txt", "txt")).withColumn("conf", F.coalesce("_conf", "conf")).drop("_txt", "_conf"))
         state2 = page_state(again, as_of_year, vocabulary)
         sides2 = build_battle_sides(again, state2, entities, npcs, vocabulary)

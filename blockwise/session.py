@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; only a local session without one gets its own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="blockwise-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
-    The folder is the one the cluster names; only a local test session without one gets its own.
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads on from there.
+
+    For results that several later steps need: they are computed once, survive the loss of executors, and
+    being parquet they can be read by column and filtered in the scan.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="blockwise-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/blockwise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

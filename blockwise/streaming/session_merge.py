@@ -1,51 +1,60 @@
-"""Sessions that arrive over time: the max-wins merge kept up to date."""
+"""Sessions that arrive over time: the max-wins merge kept up to date.
 
-from __future__ import annotations
+The merge is a maximum, so each micro-batch is reduced to its own winners and written; nothing is held in
+state, no read is ever too late, and a batch that is run again overwrites its own folder.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-READ_SCHEMA = "session_id bigint, item_id string, seq bigint, qty bigint, conf double, unit_value bigint, arrived timestamp"
+from blockwise.operators.merges import max_wins_conflicts
+
+READ_SCHEMA = "session_id bigint, item_id string, seq bigint, qty bigint, conf double, unit_value bigint"
+KEYS = ["session_id", "item_id"]
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Detections arriving as parquet files."""
-    return (spark.readStream.schema(READ_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+    """Item reads arriving as parquet files."""
+    return spark.readStream.schema(READ_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def _best() -> Column:
+    return F.max(F.struct(F.col("qty"), F.col("conf"), (-F.col("seq")).alias("neg_seq"), F.col("unit_value")))
+
 
+def winners(reads: DataFrame) -> DataFrame:
+    """One row per session and item: largest quantity, then confidence, then the earlier read."""
+    return (reads.groupBy(*KEYS).agg(_best().alias("b"))
+            .select(*KEYS, "b.qty", "b.conf", (-F.col("b.neg_seq")).alias("seq"), "b.unit_value"))
 
-def merged(reads: DataFrame, keys: list[str] | None = None, lateness: str = "1 day", window: str = "1 day") -> DataFrame:
-    """Winner per session and item; state older than ``lateness`` is dropped with its window.
 
-    The merge is a maximum over (quantity, confidence, earlier read), so every batch is combined on the
-    map side before it meets the state.
-    """
-    keys = keys or ["session_id", "item_id"]
-    best = F.max(F.struct(F.col("qty"), F.col("conf"), (-F.col("seq")).alias("neg_seq"), F.col("unit_value")))
-    return (reads.withWatermark("arrived", lateness)
-            .groupBy(F.window("arrived", window), *keys).agg(best.alias("b"))
-            .select(F.col("window.start").alias("day"), *keys, "b.qty", "b.conf", (-F.col("b.neg_seq")).alias("seq"), "b.unit_value"))
+def _write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    spark = batch.sparkSession
+    winners(batch).write.mode("overwrite").parquet(f"{out}/winners/batch={batch_id}")
+    reads = batch.select(*KEYS, "seq", "qty")
+    if batch_id > 0:
+        # what was kept before stands in front of the batch's own reads
+        before = winners(spark.read.parquet(f"{out}/winners").filter(F.col("batch") < batch_id))
+        touched = before.join(reads.select(*KEYS).distinct(), KEYS, "left_semi")
+        reads = reads.unionByName(touched.select(*KEYS, F.lit(-1).cast("bigint").alias("seq"), "qty"))
+    max_wins_conflicts(reads, KEYS, "qty", "seq").write.mode("overwrite").parquet(f"{out}/conflicts/batch={batch_id}")
 
 
-def upsert_to(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that writes each batch's changed winners to a folder of its own."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return write
+def run(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Starts the merge over what is available; a later run continues from the checkpoint."""
+    return (reads.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda batch, batch_id: _write_batch(batch, batch_id, out))
+            .trigger(availableNow=True).start())
 
 
-def run(reads: DataFrame, out: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
-    """Starts the merge over what is available; rerunning continues from the checkpoint."""
-    keys = keys or ["session_id", "item_id"]
-    return (merged(reads, keys).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(upsert_to(out, keys)).trigger(availableNow=True).start())
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The winners over all batches so far."""
+    return winners(spark.read.parquet(f"{out}/winners"))
 
 
-def current(spark: SparkSession, out: str, keys: list[str] | None = None) -> DataFrame:
-    """The winners of all batches and days written so far."""
-    keys = keys or ["session_id", "item_id"]
-    best = F.max(F.struct("qty", "conf", (-F.col("seq")).alias("neg_seq"), "unit_value"))
-    return (spark.read.parquet(out).groupBy(*keys).agg(best.alias("b"))
-            .select(*keys, "b.qty", "b.conf", (-F.col("b.neg_seq")).alias("seq"), "b.unit_value"))
+def conflict_log(spark: SparkSession, out: str) -> DataFrame:
+    """Every disagreement logged so far, with the batch it came in."""
+    return spark.read.parquet(f"{out}/conflicts")

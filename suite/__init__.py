@@ -1 +1,5 @@
 """Registered queries, the views they run over and the SQL they are checked against."""
+
+from suite import profiles
+
+MODULES = [profiles]
