@@ -128,11 +128,12 @@ def rescan_quantity_merge(items: DataFrame, rescans: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("q", F.bround(F.col("conf") * 100, 2).alias("c"))).alias("_best")))
     pending = F.col("quantity") == -1
     found = pending & F.col("_best").isNotNull()
-    return (items.join(best, ["page_id", "anchor_ord"], "left")
-            .withColumn("quantity", F.when(found, F.col("_best.q")).otherwise(F.col("quantity")))
-            .withColumn("confidence", F.when(found, F.col("_best.c")).otherwise(F.col("confidence")))
-            .withColumn("color", F.when(found, F.replace("color", F.lit("_PENDING"), F.lit(""))).otherwise(F.col("color")))
-            .drop("_best"))
+    filled = {
+        "quantity": F.when(found, F.col("_best.q")).otherwise(F.col("quantity")),
+        "confidence": F.when(found, F.col("_best.c")).otherwise(F.col("confidence")),
+        "color": F.when(found, F.replace("color", F.lit("_PENDING"), F.lit(""))).otherwise(F.col("color")),
+    }
+    return items.join(best, ["page_id", "anchor_ord"], "left").withColumns(filled).drop("_best")
 
 
 def repair_assignment(numbers: DataFrame, rescans: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def repair_assignment(numbers: DataFrame, rescans: DataFrame) -> DataFrame:
     best = best.withColumnsRenamed({"txt": "new_txt", "conf": "new_conf"})
     better = F.col("new_conf") > F.col("conf")
     return (numbers.join(best, ["page_id", "ord"], "left")
-            .withColumn("repaired", F.coalesce(better, F.lit(False)))
-            .withColumn("txt", F.when(better, F.col("new_txt")).otherwise(F.col("txt")))
-            .withColumn("conf", F.when(better, F.col("new_conf")).otherwise(F.col("conf")))
+            .withColumns({"repaired": F.coalesce(better, F.lit(False)),
+                          "txt": F.when(better, F.col("new_txt")).otherwise(F.col("txt")),
+                          "conf": F.when(better, F.col("new_conf")).otherwise(F.col("conf"))})
             .drop("new_txt", "new_conf"))

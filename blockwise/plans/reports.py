@@ -11,7 +11,7 @@ from blockwise.functions.text import contains_any, similarity
 from blockwise.operators.classify import classify_report_blocks, is_npc_text
 from blockwise.operators.dictionary_match import entity_resolution_topk
 from blockwise.operators.filters import SIDES, low_confidence_numbers, side_split
-from blockwise.operators.neighbours import METRIC_REACH, NAME_REACH, nearest_in_direction
+from blockwise.operators.neighbours import IDENTITY_REACH, METRIC_REACH, NAME_REACH, nearest_in_direction
 from blockwise.operators.picks import first_by, first_struct
 from blockwise.operators.rescans import repair_assignment
 from blockwise.session import stage
@@ -292,3 +292,17 @@ def build_reports(blocks: DataFrame, entities: DataFrame, npcs: DataFrame, as_of
         state = state.join(touched, "page_id", "left_anti").unionByName(state2)
         sides = sides.join(touched, "page_id", "left_anti").unionByName(sides2)
     return assemble_reports(state, sides), sides
+
+
+def identity_fallback(blocks: DataFrame) -> DataFrame:
+    """page_id, side, name: on sides without a header tag, the block above the units label; "--" otherwise."""
+    y = F.col("y0") / F.when(F.col("canvas_h") > 0, F.col("canvas_h"))
+    header = side_split(blocks.filter(y.between(0.05, HEADER_BOTTOM) & F.col("block_type").isin("Tag", "UnitsLabel")), F.col("canvas_w"))
+    picked = header.groupBy("page_id", "side").agg(
+        F.bool_or(F.col("block_type") == "Tag").alias("tagged"),
+        first_struct(F.col("block_type") == "UnitsLabel", [F.col("ord")],
+                     {"ord": F.col("ord"), "nx": F.col("nx"), "ny": F.col("ny")}).alias("units"))
+    sources = picked.filter(~F.col("tagged")).select("page_id", "side", F.col("units.ord").alias("src_ord"), F.col("units.nx").alias("nx"), F.col("units.ny").alias("ny"))
+    above = nearest_in_direction(sources, blocks, "up", IDENTITY_REACH, ["page_id", "side", "src_ord"], ["txt"])
+    pages = blocks.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.lit(s) for s, _, _ in SIDES])).alias("side"))
+    return pages.join(above.select("page_id", "side", F.col("txt").alias("name")), ["page_id", "side"], "left").fillna("--", ["name"])

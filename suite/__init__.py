@@ -1,5 +1,5 @@
 """Registered queries, the views they run over and the SQL they are checked against."""
 
-from suite import profiles
+from suite import inventories, profiles, reports, texts
 
-MODULES = [profiles]
+MODULES = [profiles, reports, inventories, texts]

@@ -219,3 +219,118 @@ def profile_chain(source: str | None = None, suffix: str = "") -> str:
             import re
             chain = re.sub(rf"(?<![\w.'])\b{n}\b(?![\w'(])", n + suffix, chain)
     return chain
+
+
+SIDES = "(values ('attacker',0e0,0.5e0),('defender',0.5e0,1e0)) v(side,lo,hi)"
+
+
+def tokens(t: str) -> str:
+    return rf"array_to_string(list_sort(string_split_regex(trim({t}), '\s+')), ' ')"
+
+
+def norm(t: str) -> str:
+    return f"strip_accents(lower({t}))"
+
+
+def report_ctes(source: str | None = None) -> str:
+    """rfx, rkinds, rtyped: report blocks with type, flags and normalised centre."""
+    return f"""rfx as ({source or fixture('report', 'duckdb')}),
+    rkinds as (select txt, {report_type('txt')} block_type, {any_match('txt', 0.85, 'npc')} npc_like, {any_contains('txt', 'npc')} npc_word,
+      {any_contains('txt', 'victory', 'defeat')} outcome_word, {player_name('txt')} nameable, {suffixed_number('txt')} num from (select distinct txt from rfx)),
+    rtyped as (select rfx.*, block_type, npc_like, npc_word, outcome_word, nameable, num, {NGEO} from rfx join rkinds using (txt))"""
+
+
+def neighbour(src: str, direction: str, keys: str, where: str = "true") -> str:
+    """Nearest block ahead of each source (keys, nx, ny, reach) as t.*; the source's keys come along."""
+    dx, dy = "(t.nx-s.nx)", "(t.ny-s.ny)"
+    ahead, cost = {"right": (f"{dx} > 0", f"abs({dy})*10+abs({dx})"), "left": (f"{dx} < 0", f"abs({dy})*10+abs({dx})"),
+                   "down": (f"{dy} > 0", f"abs({dx})*10+abs({dy})"), "up": (f"{dy} < 0", f"abs({dx})*10+abs({dy})")}[direction]
+    part = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""(select {part}, t.ord t_ord, t.txt t_txt, t.block_type t_type, t.nameable t_nameable, t.num t_num from {src} s join rtyped t on t.page_id=s.page_id
+      where {ahead} and {cost} < 1000 and abs({dx}) < s.reach and abs({dy}) < s.reach and {where}
+      qualify row_number() over (partition by {part} order by {cost}, t.ord) = 1)"""
+
+
+def entity_best(src: str, dictionary: str) -> str:
+    """raw_name -> entry_id from a dictionary CTE (entry_id, entry_ord, label, label_ord)."""
+    a, b = norm("m.raw_name"), norm("d.label")
+    score = f"100e0*greatest({sim(a, b)}, {sim(tokens(a), tokens(b))})"
+    return f"""(select raw_name, entry_id, {norm('label')} label, score from (select m.raw_name, d.*, {score} score from (select distinct raw_name from {src}) m cross join {dictionary} d)
+      where score >= 83 qualify row_number() over (partition by raw_name order by score desc, entry_ord, label_ord) = 1)"""
+
+
+ENTITIES = "select 'E' || cast(label_ord as string) entry_id, label_ord entry_ord, label, 0 label_ord, label canonical from ({dict})"
+NPCS = ("select 'N' || cast(label_ord as string) entry_id, label_ord entry_ord, label, 0 label_ord, label canonical from ({dict})"
+        " union all select 'NB', cast(-1 as bigint), 'Barbarian', 0, 'Barbarian'")
+
+
+def report_chain(source: str | None = None) -> str:
+    """CTEs up to bsides (long) and rpages (one row per page)."""
+    d = fixture("dictionary", "duckdb")
+    tag, suffix = split_rigid("trim(tag_txt)")
+    metrics = {"UnitsLabel": "total_units", "HealedLabel": "healed", "DeadLabel": "dead", "SevereWoundedLabel": "severely_wounded",
+               "SlightlyWoundedLabel": "slightly_wounded", "RemainingLabel": "remaining", "KillPointsLabel": "kill_points", "WatchtowerLabel": "watchtower_damage"}
+    kinds = ", ".join(f"'{k}'" for k in metrics)
+    pivot = ", ".join(f"coalesce(max(v) filter (where block_type='{k}'), 0) {c}" for k, c in metrics.items())
+    mcols = ", ".join(f"coalesce(m.{c}, 0) {c}" for c in metrics.values())
+    both = ", ".join(f"max({c}) filter (where side='{s}') {s[0]}_{c}" for s in ("attacker", "defender") for c in ("governor_name", "alliance_tag", "primary_id", *metrics.values()))
+
+    def gap(p):
+        return f"({p}total_units+{p}healed-({p}dead+{p}severely_wounded+{p}slightly_wounded+{p}remaining+{p}watchtower_damage))"
+    ok_a, ok_d = (f"({p}total_units > 0 and abs({gap(p)}) <= 1)" for p in ("a_", "d_"))
+    return rf"""{report_ctes(source)}, ents as ({ENTITIES.format(dict=d)}), npcd as ({NPCS.format(dict=d)}),
+    pg as (select page_id, bool_or(npc_like) npc, coalesce(arg_min(ny, ord) filter (where block_type='StatusResult' or outcome_word), 0.4e0) start_y,
+      arg_min(trim(txt), ord) filter (where npc_word) npc_txt, arg_min(txt, ord) filter (where contains(txt,'%') and nx > 0.5) pct,
+      arg_min(txt, ord) filter (where regexp_matches(txt, '(\d{{2,4}}[/-]\d{{2}}([/-]\d{{2,4}})?)')) dated,
+      arg_min(txt, ord) filter (where regexp_matches(txt, '(?i)X:?\s*(\d+)\D*Y:?\s*(\d+)')) placed,
+      avg(conf) mean_conf, bool_and(isolated) isolated from rtyped group by 1),
+    tags as (select page_id, side, ord src_ord, txt tag_txt, nx, ny, 0.35e0 reach from rtyped cross join {SIDES}
+      where block_type <> 'UI' and (contains(txt,'[') or contains(txt,']')) and x0/1000e0 between lo and hi and y0/1000e0 between 0 and 0.4e0
+      qualify row_number() over (partition by page_id, side order by conf desc, ord) = 1),
+    loose as (select page_id, side, txt from rtyped cross join (values ('attacker',0.22e0,0.48e0),('defender',0.55e0,0.88e0)) v(side,lo,hi)
+      where block_type='Unknown' and nameable and nx between lo and hi and ny > 0.08e0 and ny < 0.28e0 qualify row_number() over (partition by page_id, side order by ny, ord) = 1),
+    labs as (select t.page_id, side, block_type, ord src_ord, txt, num, nx, ny, 0.45e0 reach from rtyped t join pg using (page_id) cross join {SIDES}
+      where block_type in ({kinds}) and x0/1000e0 between lo and hi and y0/1000e0 between start_y and 1
+      qualify row_number() over (partition by t.page_id, side, block_type order by ord) = 1),
+    vals as (select l.page_id, l.side, l.block_type, case when l.num <= 1 then coalesce(t_num, l.num) else l.num end v
+      from labs l left join {neighbour('labs', 'right', 'page_id, side, block_type')} n using (page_id, side, block_type)),
+    mets as (select page_id, side, {pivot} from vals group by 1, 2),
+    lev as (select page_id, ord, ny, nx, x0, txt, trim(regexp_replace(txt, '(?i)([LN]V\.?|Nível)\s*\d+', '', 'g')) rest, ord src_ord, 0.35e0 reach from rtyped
+      where block_type <> 'UI' and regexp_matches(txt, '(?i)[LN]V\.?\s*\d+') and y0/1000e0 between 0.05e0 and 0.70e0),
+    levb as (select * from lev where rest = ''),
+    levn as (select l.page_id, l.ord, l.ny, l.x0, trim(regexp_replace(case when rest = '' then coalesce(case when t_type='Unknown' then t_txt end, '') else rest end, '^\d+\s*', '')) raw_name
+      from lev l left join {neighbour('levb', 'right', 'page_id, src_ord')} n on n.page_id=l.page_id and n.src_ord=l.ord),
+    levs as (select l.page_id, side, ord, ny, raw_name, npc and side='defender' npcside from levn l join pg using (page_id) cross join {SIDES} where x0/1000e0 between lo and hi and trim(raw_name) <> ''),
+    found as (select l.*, e.entry_id from (select * from levs where not npcside) l join {entity_best('levs', 'ents')} e using (raw_name)
+      union all select l.*, e.entry_id from (select * from levs where npcside) l join {entity_best('levs', 'npcd')} e using (raw_name)),
+    once as (select page_id, side, entry_id, ny, ord from found qualify row_number() over (partition by page_id, side, entry_id order by ny, ord) = 1),
+    ranked as (select *, row_number() over (partition by page_id, side order by ny, ord) rank from once),
+    party as (select page_id, side, max(entry_id) filter (where rank=1) primary_id, max(entry_id) filter (where rank=2) secondary_id from ranked where rank <= 2 group by 1, 2),
+    head as (select page_id, npc, npc_txt, pct, side from pg cross join {SIDES}),
+    cut as (select page_id, side, tag_txt, {tag} tag, {suffix} suffix from tags),
+    named0 as (select h.*, c.tag_txt, c.tag, p.primary_id, p.secondary_id, {mcols}, h.npc and h.side='defender' is_npc, e.canonical,
+        case when {player_name('c.suffix')} then {bare_name('c.suffix')} when n.t_nameable then {bare_name('n.t_txt')} else coalesce({bare_name('lo.txt')}, '--') end own_name
+      from head h left join cut c using (page_id, side) left join {neighbour('tags', 'right', 'page_id, side')} n using (page_id, side) left join loose lo using (page_id, side)
+        left join mets m using (page_id, side) left join party p using (page_id, side) left join ents e on e.entry_id = p.primary_id),
+    named as (select *, case when trim(nm) = '' then '--' else nm end nm2 from (select *, case when is_npc then coalesce(npc_txt, 'NPC_Entity') else own_name end nm from named0)),
+    bsides as (select page_id, side, is_npc, case when is_npc or tag_txt is null then '--' else tag end alliance_tag,
+        case when side='attacker' and canonical is not null and contains(nm2, canonical) then '--' else nm2 end governor_name, primary_id, secondary_id,
+        {", ".join(metrics.values())},
+        case when is_npc then coalesce(try_cast(replace(regexp_extract(pct, '(\d+[,.]\d+)', 1), ',', '.') as double), 0) end damage_percent,
+        case when is_npc then {int0("regexp_extract(nm2, '" + chr(92) + "d+')")} end entity_level from named),
+    wide as (select page_id, {both} from bsides group by 1),
+    rpages0 as (select pg.*, w.* exclude (page_id), {ok_a} and (npc or {ok_d}) sound, {gap('a_')} a_gap from pg join wide w using (page_id)),
+    warn as (select page_id, seq, code from (
+      select page_id, 1 seq, 'WARN_IMAGE_NOT_ISOLATED' code, not isolated hit from rpages0
+      union all select page_id, 2, 'WARN_UNSUPPORTED_CHARACTERS', a_alliance_tag <> '--' and a_governor_name = '--' from rpages0
+      union all select page_id, 3, 'WARN_DATA_MISSING_TOTAL_UNITS', not sound and a_total_units = 0 from rpages0
+      union all select page_id, 4, 'WARN_MATH_MISMATCH', not sound and a_total_units <> 0 from rpages0
+      union all select page_id, 5, 'WARN_NAME_IDENTIFICATION_FAILED', a_governor_name = '--' and a_total_units > 0 from rpages0
+      union all select page_id, 6, 'WARN_DUPLICATE_NAMES', {sim('a_governor_name', 'd_governor_name')} > 0.80e0 and a_governor_name <> '--' from rpages0
+      union all select page_id, 7, 'WARN_HEADER_READ_AS_NAME', contains(a_governor_name, a_alliance_tag) and a_alliance_tag <> '--' from rpages0) where hit),
+    rpages as (select p.*, (case when a_governor_name <> '--' then 1 else 0 end + case when a_alliance_tag <> '--' then 1 else 0 end
+        + case when a_primary_id is not null then 1 else 0 end + case when d_governor_name <> '--' then 1 else 0 end) fields_found,
+        exists (select 1 from warn w where w.page_id=p.page_id and seq >= 6) identity_hit,
+        exists (select 1 from warn w where w.page_id=p.page_id) any_hit from rpages0 p),
+    scored as (select *, greatest(0e0, least(100e0, case when sound then 50e0 when abs(a_gap) > 0 and a_total_units > 0 then greatest(0e0, (1 - abs(a_gap)/a_total_units::double)*25) else 0e0 end
+        + coalesce(mean_conf,0)*100*0.20e0 + fields_found*5 + case when isolated then 10 else 0 end - case when a_governor_name='--' then 20 else 0 end - case when identity_hit then 40 else 0 end)) score from rpages)"""
