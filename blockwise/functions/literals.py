@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def constant(value: list | dict, schema: str) -> Column:
 
 def word_array(words: list[str]) -> Column:
     return constant(words, "array<string>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockwise.functions.literals import word_array
+from blockwise.functions.literals import let, word_array
 from blockwise.vocabulary import DEFAULT, METRIC_STRIP_ORDER, Vocabulary
 
 # The patterns below decide which texts count as which kind of number.
@@ -74,15 +74,12 @@ def metric_text(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     """Upper-cased text without label words and with misread digits restored."""
     labels = word_array([w.upper() for w in vocabulary.words(*METRIC_STRIP_ORDER)])
     bare = F.aggregate(labels, F.upper(text), lambda acc, word: F.replace(acc, word, F.lit("")))
+    # every label has a letter, so plain figures are left alone
+    bare = F.when(text.rlike(r"\p{L}"), bare).otherwise(text)
     return F.trim(F.translate(bare, "|ILO+", " 110"))
 
 
-def suffixed_number(text: Column, vocabulary: Vocabulary = DEFAULT, fix_multi_group: bool = True) -> Column:
-    """Metric value with an optional K/M suffix, rounded half to even.
-
-    ``fix_multi_group`` reads "1,234,567" whole; without it only its first two groups count.
-    """
-    clean = metric_text(text, vocabulary)
+def _metric_value(clean: Column, fix_multi_group: bool) -> Column:
     pattern = r"(\d+[.,]?\d*)\s*([KM]?)"
     suffix = F.regexp_extract(clean, pattern, 2)
     number = F.translate(F.regexp_extract(clean, pattern, 1), ",", ".")
@@ -94,9 +91,18 @@ def suffixed_number(text: Column, vocabulary: Vocabulary = DEFAULT, fix_multi_gr
         number = F.when(whole != "", F.translate(whole, ".,", "")).otherwise(number)
         suffix = F.when(whole != "", F.regexp_extract(clean, groups, 2)).otherwise(suffix)
     scale = F.when(suffix == "K", 1000).when(suffix == "M", 1000000).otherwise(1)
-    value = F.rint(number.try_cast("double") * scale).cast("bigint")
+    return F.rint(number.try_cast("double") * scale).cast("bigint")
+
+
+def suffixed_number(text: Column, vocabulary: Vocabulary = DEFAULT, fix_multi_group: bool = True) -> Column:
+    """Metric value with an optional K/M suffix, rounded half to even.
+
+    ``fix_multi_group`` reads "1,234,567" whole; without it only its first two groups count.
+    """
+    value = let(metric_text(text, vocabulary), lambda clean: _metric_value(clean, fix_multi_group))
     readable = (F.trim(text) != "") & ~F.contains(text, F.lit("%"))
-    return F.when(readable, F.coalesce(value, F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.when(readable, F.coalesce(value, zero)).otherwise(zero)
 
 
 def bar_values(text: Column) -> tuple[Column, Column]:

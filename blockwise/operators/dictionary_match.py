@@ -7,6 +7,8 @@ k places off.  The join is therefore a plain equi-join, and every pair it misses
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +55,11 @@ def _text_keys(text: Column, threshold: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), of_length)))
 
 
-def _similar_pairs(texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(text, label) pairs that share a segment key; ``texts`` and ``labels`` hold distinct lower-case values."""
-    left = texts.filter(F.length("text") > 0).select("text", F.inline(_text_keys(F.col("text"), threshold)))
-    right = labels.filter(F.length("label") > 0).select("label", F.inline(_label_keys(F.col("label"), threshold)))
-    return left.join(right, ["len", "part", "seg"]).select("text", "label").distinct()
+def _similar_pairs(texts: DataFrame, labels: DataFrame, threshold: float, within: Sequence[str] = ()) -> DataFrame:
+    """(*within, text, label) pairs that share a segment key; both sides hold distinct lower-case values."""
+    left = texts.filter(F.length("text") > 0).select(*within, "text", F.inline(_text_keys(F.col("text"), threshold)))
+    right = labels.filter(F.length("label") > 0).select(*within, "label", F.inline(_label_keys(F.col("label"), threshold)))
+    return left.join(right, [*within, "len", "part", "seg"]).select(*within, "text", "label").distinct()
 
 
 def _containing_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -91,30 +93,31 @@ def fuzzy_dictionary_join(mentions: DataFrame, dictionary: DataFrame, threshold:
 
 
 def entity_resolution_topk(mentions: DataFrame, dictionary: DataFrame, text: str = "mention",
-                           accept: float = 83.0) -> DataFrame:
+                           accept: float = 83.0, within: Sequence[str] = ()) -> DataFrame:
     """Mentions with their best entity: the highest score of at least ``accept``, dictionary order on ties.
 
-    ``dictionary`` has entry_id, entry_ord, label, label_ord.  A label owned by two entries belongs to
-    the first.  Only scores that can be accepted are generated, so ranking three and taking the first
-    acceptable one comes to taking the best.
+    ``dictionary`` has entry_id, entry_ord, label, label_ord, and the ``within`` columns if several
+    dictionaries are searched at once.  A label owned by two entries belongs to the first.  Only scores that
+    can be accepted are generated, so ranking three and taking the first acceptable one comes to taking the best.
     """
-    threshold = accept / 100.0
-    owned = (dictionary.select(normalize_accents(F.col("label")).alias("label"), "entry_id", "entry_ord", "label_ord")
-             .groupBy("label").agg(F.min(F.struct("entry_ord", "label_ord", "entry_id")).alias("owner")))
-    texts = mentions.select(normalize_accents(F.col(text)).alias("text")).distinct().filter(F.trim("text") != "")
-    plain = _similar_pairs(texts, owned.select("label"), threshold)
-    by_token_t = texts.select("text", sorted_tokens(F.col("text")).alias("key"))
-    by_token_l = owned.select("label", sorted_tokens(F.col("label")).alias("key"))
-    keys = _similar_pairs(by_token_t.select(F.col("key").alias("text")).distinct(),
-                          by_token_l.select(F.col("key").alias("label")).distinct(), threshold)
-    reordered = (keys.select(F.col("text").alias("tk"), F.col("label").alias("lk"))
-                 .join(by_token_t, F.col("tk") == by_token_t["key"]).drop("key")
-                 .join(by_token_l, F.col("lk") == by_token_l["key"]).select("text", "label"))
-    scored = (plain.unionByName(reordered).distinct().join(owned, "label")
-              .withColumn("score", entity_score(F.col("text"), F.col("label"))).filter(F.col("score") >= accept))
-    best = scored.groupBy("text").agg(F.min(F.struct(
+    by, threshold = list(within), accept / 100.0
+    owned = (dictionary.select(*by, normalize_accents(F.col("label")).alias("label"), "entry_id", "entry_ord", "label_ord")
+             .groupBy(*by, "label").agg(F.min(F.struct("entry_ord", "label_ord", "entry_id")).alias("owner"))
+             .withColumn("key", sorted_tokens(F.col("label"))))
+    texts = (mentions.select(*by, normalize_accents(F.col(text)).alias("text")).distinct().filter(F.trim("text") != "")
+             .withColumn("key", sorted_tokens(F.col("text"))))
+    # each text and label is searched as written and with its words in order
+    forms_t = texts.select(*by, F.col("text").alias("whole"), F.explode(F.array_distinct(F.array("text", "key"))).alias("text"))
+    forms_l = owned.select(*by, F.explode(F.array_distinct(F.array("label", "key"))).alias("label")).distinct()
+    pairs = _similar_pairs(forms_t.select(*by, "text").distinct(), forms_l, threshold, by)
+    owners = owned.select(*by, F.col("label").alias("owned_label"), "owner", F.explode(F.array_distinct(F.array("label", "key"))).alias("label"))
+    scored = (pairs.join(forms_t, [*by, "text"]).join(owners, [*by, "label"])
+              .select(*by, "whole", "owned_label", "owner", entity_score(F.col("whole"), F.col("owned_label")).alias("score"))
+              .filter(F.col("score") >= accept))
+    best = scored.groupBy(*by, "whole").agg(F.min(F.struct(
         (-F.col("score")).alias("s"), F.col("owner.entry_ord"), F.col("owner.label_ord"),
-        F.col("owner.entry_id"), F.col("label"))).alias("b"))
-    answers = best.select(F.col("text").alias("_text"), F.col("b.entry_id").alias("entry_id"),
+        F.col("owner.entry_id"), F.col("owned_label").alias("label"))).alias("b"))
+    answers = best.select(*by, F.col("whole").alias("_text"), F.col("b.entry_id").alias("entry_id"),
                           F.col("b.label").alias("label"), (-F.col("b.s")).alias("score"))
-    return mentions.join(answers, normalize_accents(F.col(text)) == F.col("_text")).drop("_text")
+    keyed = mentions.withColumn("_text", normalize_accents(F.col(text)))
+    return keyed.join(answers, [*by, "_text"]).drop("_text")

@@ -133,9 +133,10 @@ def distinct_topk(entries: DataFrame, k: int = 2) -> DataFrame:
 def side_entities(blocks: DataFrame, state: DataFrame, entities: DataFrame, npcs: DataFrame) -> DataFrame:
     """page_id, side, primary_id, secondary_id from the dictionary that applies to the side."""
     raw = stage(level_names(blocks).join(state.select("page_id", "npc"), "page_id"))
-    uses_npcs = F.col("npc") & (F.col("side") == "defender")
-    found = [entity_resolution_topk(raw.filter(c), d, "raw_name") for c, d in ((~uses_npcs, entities), (uses_npcs, npcs))]
-    top = distinct_topk(found[0].unionByName(found[1]))
+    scope = F.when(F.col("npc") & (F.col("side") == "defender"), "npc").otherwise("player")
+    columns = ["entry_id", "entry_ord", "label", "label_ord"]
+    both = entities.select(F.lit("player").alias("scope"), *columns).unionByName(npcs.select(F.lit("npc").alias("scope"), *columns))
+    top = distinct_topk(entity_resolution_topk(raw.withColumn("scope", scope), both, "raw_name", within=["scope"]))
     return top.groupBy("page_id", "side").agg(
         F.max(F.when(F.col("rank") == 1, F.col("entry_id"))).alias("primary_id"),
         F.max(F.when(F.col("rank") == 2, F.col("entry_id"))).alias("secondary_id"))
