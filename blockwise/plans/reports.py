@@ -158,21 +158,23 @@ def build_battle_sides(blocks: DataFrame, state: DataFrame, entities: DataFrame,
     rows = (header.join(beside, ["page_id", "side"], "left").join(metrics, ["page_id", "side"], "left")
             .join(parties, ["page_id", "side"], "left").join(canonical, F.col("primary_id") == canonical["entry_id"], "left").drop("entry_id"))
     is_npc = F.col("npc") & (F.col("side") == "defender")
-    parsed = names.split_tag_rigid(F.col("tag_txt"))
-    name = (F.when(names.is_player_name(parsed["suffix"], vocabulary), names.clean_player_name(parsed["suffix"]))
-            .when(names.is_player_name(F.col("beside"), vocabulary), names.clean_player_name(F.col("beside")))
-            .otherwise(F.coalesce(names.clean_player_name(F.col("loose")), F.lit("--"))))
-    name = F.when(is_npc, F.coalesce("npc_block.txt", F.lit("NPC_Entity"))).otherwise(name)
-    name = F.when(F.trim(name) == "", F.lit("--")).otherwise(name)
-    own_hero = (F.col("side") == "attacker") & F.col("primary_name").isNotNull() & F.contains(name, F.col("primary_name"))
+    # each step stands in a column of its own, so that what is costly is worked out once
+    rows = rows.withColumns({"is_npc": is_npc, "parsed": names.split_tag_rigid(F.col("tag_txt"))})
+    own = F.when(F.col("is_npc"), F.coalesce("npc_block.txt", F.lit("NPC_Entity")))
+    own = (own.when(names.is_player_name(F.col("parsed.suffix"), vocabulary), names.clean_player_name(F.col("parsed.suffix")))
+           .when(names.is_player_name(F.col("beside"), vocabulary), names.clean_player_name(F.col("beside")))
+           .otherwise(F.coalesce(names.clean_player_name(F.col("loose")), F.lit("--"))))
+    rows = rows.withColumn("own_name", own)
+    rows = rows.withColumn("shown", F.when(F.trim("own_name") == "", F.lit("--")).otherwise(F.col("own_name")))
+    own_hero = (F.col("side") == "attacker") & F.col("primary_name").isNotNull() & F.contains("shown", "primary_name")
     zero = F.lit(0).cast("bigint")
     return rows.select(
-        "page_id", "side", is_npc.alias("is_npc"),
-        F.when(is_npc | F.col("tag_txt").isNull(), F.lit("--")).otherwise(parsed["tag"]).alias("alliance_tag"),
-        F.when(own_hero, F.lit("--")).otherwise(name).alias("governor_name"), "primary_id", "secondary_id",
+        "page_id", "side", "is_npc",
+        F.when(F.col("is_npc") | F.col("tag_txt").isNull(), F.lit("--")).otherwise(F.col("parsed.tag")).alias("alliance_tag"),
+        F.when(own_hero, F.lit("--")).otherwise(F.col("shown")).alias("governor_name"), "primary_id", "secondary_id",
         *[F.coalesce(c, zero).alias(c) for c in METRIC_COLUMNS.values()],
-        F.when(is_npc, F.coalesce(numbers.damage_percent(F.col("percent.txt")), F.lit(0.0))).alias("damage_percent"),
-        F.when(is_npc, numbers.first_number_int(name)).alias("entity_level"))
+        F.when(F.col("is_npc"), F.coalesce(numbers.damage_percent(F.col("percent.txt")), F.lit(0.0))).alias("damage_percent"),
+        F.when(F.col("is_npc"), numbers.first_number_int(F.col("shown"))).alias("entity_level"))
 
 
 # --- audit of a side, and of a page whose sides stand next to each other ---------------------------
