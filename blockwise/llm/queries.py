@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import decontamination, mixing
+from blockwise.llm import chat, decontamination, line_quality, mixing, pii, simhash
 from blockwise.llm.common import table
 
 Q, SQL = {}, {}
@@ -47,6 +47,69 @@ from sized s join parts p on s.source is not distinct from p.source
 join middle m on m.source is not distinct from s.source and m.key = s.key"""
 
 
+#: A conversation whose texts hold control strings of common templates.
+HOSTILE = (r"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, r'\### Assistant: </turn> ok' AS text "
+           r"UNION ALL SELECT -7L, 1L, 'assistant', r'\### Assistant: </turn> ok'")
+
+
+@_query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the examples of each conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(HOSTILE))
+    examples = chat.expand(turns)
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))
+    read = examples.select("conv_id", "example", "formatted", F.struct("example", loss.alias("text")).alias("loss"), F.char_length("formatted").alias("chars"))
+    # the last example holds all turns
+    per = read.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("last"), F.sort_array(F.collect_list("loss")).alias("losses"),
+                                      F.sum("chars").alias("formatted_chars"))
+    turns_read = per.select("conv_id", "formatted_chars", chat.read_turns(F.col("last")).alias("turns"),
+                            F.array_join(F.transform("losses", lambda x: x.text), "").alias("loss"))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return turns_read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
+                             F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SQL["op2_chat_formatting"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    length(regexp_replace(text, '</?turn', '<x\0', 'g')) - 1 * length(regexp_extract_all(text, '</?turn')) as chars from t),
+sized as (select *, length('<turn ' || role || '>' || chr(10)) + chars + length('</turn>' || chr(10)) as size from n),
+ends as (select conv_id, i from n where role = 'assistant' union
+  select conv_id, max(i) from n group by conv_id),
+fmt as (select e.conv_id, sum(s.size)::bigint as formatted_chars from ends e join sized s on s.conv_id = e.conv_id and s.i <= e.i group by e.conv_id)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  length(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), ''))::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars) as formatted_chars
+from n join fmt using (conv_id) group by conv_id"""
+
+
+#: The key of the surrogates; a user sets their own.
+PII_KEY = "surrogates"
+
+
+@_query
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@_query
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict for each document."""
+    docs = table(spark, sf_dir, "documents")
+    field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return line_quality.judge(docs, field).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                  "base_failed", "kept", "content_share")
+
+
 @_query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document stands in windows of benchmark items."""

@@ -4,28 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwise.llm import decontamination, mixing
+from blockwise.llm import decontamination, line_quality, mixing, pii, queries, simhash
 from blockwise.llm.common import table
 from blockwise.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the line labelling rejects go."""
+    field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return line_quality.keep(docs.select(COLUMNS), field)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.deduplicate(docs).select(COLUMNS)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items make up a twentieth or more go."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced; n_chars follows the new text."""
+    return pii.pseudonymise(docs, queries.PII_KEY).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of what is left: a row for each time that a document is taken."""
     return mixing.mix(docs).select(*COLUMNS, "repetition")
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
     ("source_mixing", source_mixing),
 ]
 
+#: The stages of quality rules and near-duplicates cannot be said in SQL; the tests compare run() with brute force.
 ORACLE_SQL = None
 
 
