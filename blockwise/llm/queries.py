@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat, decontamination, line_quality, mixing, pii, simhash
-from blockwise.llm.common import table
+from blockwise.llm import chat, decontamination, language, line_quality, mixing, pii, pu_quality, simhash
+from blockwise.llm.common import held_out, table
 
 Q, SQL = {}, {}
 
@@ -133,3 +133,18 @@ named as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_i
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
 from doc left join covered using (r) left join named using (r)"""
+
+
+@_query
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document, learned from positives and unlabelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, pu_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    training = docs.where(~held_out(F.col("doc_id"), 4, 2))
+    return language.identify(docs, language.learn(training))
