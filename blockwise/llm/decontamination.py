@@ -99,14 +99,16 @@ def report(docs: DataFrame, items: DataFrame, n: int = 13, percent: int = 5) ->
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, percent: int = 5, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents (``remove="documents"``), or with the hit words, and what stands before
     them, cut out of contaminated documents (``remove="spans"``)."""
-    bad = report(docs, items, n, percent).where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "hit_positions")
+    bad = report(docs, items, n, percent).where("contaminated").select(
+        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("hit_positions").alias("_hit")).distinct()
     bad = small(bad, 20_000)
     on = (text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     if remove == "documents":
         return docs.join(bad, on, "left_anti")
-    marked = docs.drop("hit_positions").join(bad, on, "left")
+    marked = docs.join(bad, on, "left")
     between = F.split("text", WORDS)  # one more than words: what stands before each, and after the last
     words = F.filter(F.split("text", SEPARATORS), lambda w: w != "")
-    kept = F.concat(F.array_join(F.transform(words, lambda w, i: F.when(F.array_contains("hit_positions", i), "").otherwise(
-        F.concat(F.get(between, i), w))), ""), F.element_at(between, -1))
-    return marked.withColumn("text", F.when(F.col("hit_positions").isNotNull(), kept).otherwise(F.col("text"))).drop("_doc", "_key", "hit_positions")
+    kept = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(words)), F.transform(words, lambda w, i: F.struct(
+        w.alias("w"), F.array_contains("_hit", i).alias("hit"))), lambda gap, w: F.when(w.hit, "").otherwise(F.concat(gap, w.w))), ""),
+        F.element_at(between, -1))
+    return marked.select(*[F.when(F.col("_hit").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

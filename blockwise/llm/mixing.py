@@ -94,15 +94,15 @@ def plan(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5,
 def shares(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """Every document with size, source_size, target, repetitions (how often the mix takes it) and taken (words)."""
     docs = docs.drop(*ADDED)
-    per_source = plan(docs, weights, share, max_epochs, seed).withColumnRenamed("source", "_source")
-    repetitions = F.col("whole") + (order_key(seed) <= F.col("last_key")).cast("long")
-    return (docs.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("size", word_count(F.col("text"))).withColumn("repetitions", repetitions)
-            .withColumn("taken", F.col("size") * F.col("repetitions")).drop("_source", "whole", "last_key"))
+    per_source = plan(docs, weights, share, max_epochs, seed)
+    per_source = per_source.withColumnsRenamed({c: f"_mix_{c}" for c in per_source.columns})
+    repetitions = F.col("_mix_whole") + (order_key(seed) <= F.col("_mix_last_key")).cast("long")
+    joined = docs.join(per_source, F.col("source").eqNullSafe(F.col("_mix_source")))
+    return joined.select(*docs.columns, word_count(F.col("text")).alias("size"), F.col("_mix_source_size").alias("source_size"),
+                         F.col("_mix_target").alias("target"), repetitions.alias("repetitions")).withColumn("taken", F.col("size") * F.col("repetitions"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: a row of ``docs`` for each time it is taken, with its number as ``repetition``."""
     taken = shares(docs, weights, share, max_epochs, seed).where("repetitions > 0")
-    return (taken.withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), "repetitions")))
-            .drop("size", "source_size", "repetitions", "taken", "target"))
+    return taken.withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), "repetitions"))).drop(*ADDED)

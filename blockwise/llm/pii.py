@@ -204,14 +204,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     mentions = stage(texts.select("doc_id", "key", F.explode(entities_of(F.col("m"))).alias("e")).select("doc_id", "key", "e.*").distinct())
     drawn = mentions.join(assign(mentions.select("kind", "normal"), key), ["kind", "normal"])
     entry = F.struct(F.concat_ws("|", "kind", "normal").alias("k"), F.col("surrogate").alias("v"))
-    maps = small(drawn.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("new"))
+    maps = small(drawn.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("_new"))
                  .withColumnsRenamed({"doc_id": "_doc", "key": "_key"}), 50_000)
     dirty = docs.where(hinted).join(maps, (text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    dirty = dirty.withColumn("found", F.when(F.col("new").isNotNull(), found))
-    replaced = F.transform("found", lambda m: _rewritten(m, F.col("new")))
+    dirty = dirty.withColumn("_found", F.when(F.col("_new").isNotNull(), found))
+    replaced = F.transform("_found", lambda m: _rewritten(m, F.col("_new")))
     text = F.array_join(F.zip_with(F.split("text", PATTERN), F.concat(replaced, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    n = F.coalesce(F.size(F.filter("found", lambda m: F.size(entities_of(m)) > 0)), F.lit(0)).cast("long")
-    dirty = dirty.withColumn("n_pii", F.when(F.col("new").isNotNull(), n).otherwise(F.lit(0).cast("long")))
-    dirty = dirty.withColumn("text", F.when(F.col("new").isNotNull(), text).otherwise(F.col("text")))
+    n = F.coalesce(F.size(F.filter("_found", lambda m: F.size(entities_of(m)) > 0)), F.lit(0)).cast("long")
+    dirty = dirty.withColumn("n_pii", F.when(F.col("_new").isNotNull(), n).otherwise(F.lit(0).cast("long")))
+    dirty = dirty.withColumn("text", F.when(F.col("_new").isNotNull(), text).otherwise(F.col("text")))
     clean = docs.where(~hinted).withColumn("n_pii", F.lit(0).cast("long"))
     return clean.unionByName(dirty.select(clean.columns))

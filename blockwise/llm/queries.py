@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat, decontamination, language, line_quality, mixing, pii, pu_quality, simhash
+from blockwise.llm import chat, context_mixing, decontamination, language, line_quality, mixing, pii, pu_quality, simhash, warc
 from blockwise.llm.common import held_out, table
 
 Q, SQL = {}, {}
@@ -101,6 +101,21 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of each document under the mixed model, and under the base model."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to whole-stream archives, normalised, and read back record by record."""
+    pages = table(spark, sf_dir, "pages")
+    streams, members = warc.new_folder(pages, "warc-streams"), warc.new_folder(pages, "warc-members")
+    index = warc.normalise(warc.write(pages, streams), streams, members)
+    return warc.read(index, members).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @_query
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for each document."""
