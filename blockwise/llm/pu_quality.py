@@ -36,15 +36,15 @@ POSITIVES, UNLABELLED = 6000, 12000
 QUANTILES = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.93, 0.96, 0.99)
 BINS, ROUNDS, RATE, RIDGE = len(QUANTILES) + 1, 300, 0.1, 1e-5
 THRESHOLD = 0.3
+MEASURES = 9 + 2 * (line_quality.FEATURES - 1)
 
 
 def measures(text: bytes | None) -> list[float]:
     """Numbers that describe a text: counts of the base rules, words and lines, and the means of its lines' features."""
     base, lines, sizes = line_quality.read(text)
-    width = line_quality.FEATURES - 1
     n = base[0]
     if not n:
-        return [0.0] * (9 + 2 * width)
+        return [0.0] * MEASURES
     words = (text or b"").split()
     counts = Counter(words)
     x = np.array(lines)[:, 1:]
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select("positive", "text")
     got = texts.mapInArrow(_measured, "positive boolean, x array<double>").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
     flags = got["positive"].to_numpy(zero_copy_only=False).astype(bool)
-    x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(flags), -1)
+    x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, MEASURES)
     order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # rows come in any order
     x, flags = x[order], flags[order]
     return fit_samples(x[flags], x[~flags])
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
 def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([measures(t.as_py()) for t in batch["text"]], dtype=float).reshape(batch.num_rows, -1)
+            x = np.array([measures(t.as_py()) for t in batch["text"]], dtype=float).reshape(-1, MEASURES)
             score = model.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
