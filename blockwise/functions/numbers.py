@@ -131,7 +131,8 @@ def page_timestamp(text: Column, as_of_year: Column | int) -> Column:
     year = F.lit(as_of_year) if isinstance(as_of_year, int) else as_of_year
     dated = F.when(F.length(found) <= 5, F.concat_ws("/", year.cast("string"), found)).otherwise(found)
     dated = F.translate(dated, "-", "/")
-    parts = [F.try_to_timestamp(dated, F.lit(p)) for p in ("yyyy/M/d", "yyyy/M", "M/d/yyyy")]
+    # two-digit years are of this century, and stand last unless the first number can only be a year
+    parts = [F.try_to_timestamp(dated, F.lit(p)) for p in ("yyyy/M/d", "yyyy/M", "M/d/yyyy", "M/d/yy", "yy/M/d")]
     return F.coalesce(*parts)
 
 

@@ -35,29 +35,34 @@ def _label_keys(label: Column, threshold: float) -> Column:
         F.substr(label, _start(i, length, k) + 1, _start(i + 1, length, k) - _start(i, length, k)).alias("seg")))
 
 
-def _text_keys(text: Column, threshold: float) -> Column:
-    size = F.length(text)
+def _lengths(size: Column, threshold: float) -> Column:
+    """The label lengths that a text of a size may match."""
     low = F.greatest(F.lit(1), F.ceil(size * threshold - _EPS).cast("int"))
-    high = F.greatest(low, F.floor(size / threshold + _EPS).cast("int"))
+    return F.sequence(low, F.greatest(low, F.floor(size / threshold + _EPS).cast("int")))
 
-    def of_length(length: Column) -> Column:
-        k = _budget(length, threshold)
 
-        def of_part(i: Column) -> Column:
-            begin = _start(i, length, k)
-            width = _start(i + 1, length, k) - begin
-            first = F.greatest(F.lit(0), begin - k)
-            last = F.least(size - width, begin + k)
-            places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.struct(
-                length.alias("len"), i.alias("part"), F.substr(text, p + 1, width).alias("seg")))
-        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_part))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), of_length)))
+def _text_keys(text: Column, length: Column, threshold: float) -> Column:
+    """Keys under which a text meets labels of one length."""
+    size, k = F.length(text), _budget(length, threshold)
+
+    def of_part(i: Column) -> Column:
+        begin = _start(i, length, k)
+        width = _start(i + 1, length, k) - begin
+        first = F.greatest(F.lit(0), begin - k)
+        last = F.least(size - width, begin + k)
+        places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(i.alias("part"), F.substr(text, p + 1, width).alias("seg")))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), k), of_part)))
 
 
 def _similar_pairs(texts: DataFrame, labels: DataFrame, threshold: float, within: Sequence[str] = ()) -> DataFrame:
     """(*within, text, label) pairs that share a segment key; both sides hold distinct lower-case values."""
-    left = texts.filter(F.length("text") > 0).select(*within, "text", F.inline(_text_keys(F.col("text"), threshold)))
+    # only lengths that some label has: a long text is compared with nothing, and has no keys
+    lengths = labels.filter(F.length("label") > 0).select(*within, F.length("label").alias("len")).distinct()
+    filled = texts.filter(F.length("text") > 0).select(*within, "text", F.length("text").alias("size"))
+    fitting = filled.select(*within, "size").distinct().select(*within, "size", F.explode(_lengths(F.col("size"), threshold)).alias("len"))
+    sized = filled.join(fitting.join(lengths, [*within, "len"]), [*within, "size"])
+    left = sized.select(*within, "text", "len", F.inline(_text_keys(F.col("text"), F.col("len"), threshold)))
     right = labels.filter(F.length("label") > 0).select(*within, "label", F.inline(_label_keys(F.col("label"), threshold)))
     return left.join(right, [*within, "len", "part", "seg"]).select(*within, "text", "label").distinct()
 

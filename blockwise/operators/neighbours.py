@@ -1,8 +1,8 @@
 """Nearest-block joins within a page.
 
-The searching side is small by construction (the first label of each kind, the tag of a side), so a page
+Where the searching side is small by construction (the first label of each kind, the tag of a side), a page
 join costs a few comparisons per block; its answer is folded into a per-source minimum on the map side.
-Where the searching side is not bounded, :func:`nearest_in_direction` looks through narrow strips first.
+Otherwise both sides meet on cells.
 """
 
 from __future__ import annotations
@@ -32,38 +32,34 @@ def direction_cost(dx: Column, dy: Column, direction: str) -> Column:
     return F.when(ahead & (cost < COST_LIMIT), cost)
 
 
+# Cells (across, up) around a source's own in which a block ahead of it can lie.
+_AHEAD = {"right": ((0, 1), (-1, 0, 1)), "left": ((-1, 0), (-1, 0, 1)), "down": ((-1, 0, 1), (0, 1)), "up": ((-1, 0, 1), (-1, 0))}
+
+
 def nearest_in_direction(sources: DataFrame, blocks: DataFrame, direction: str, reach: float | str = 0.3,
-                         keys: Sequence[str] = ("page_id", "src_ord"), payload: Sequence[str] = ("ord", "txt"),
-                         strip: float | None = None) -> DataFrame:
+                         keys: Sequence[str] = ("page_id", "src_ord"), payload: Sequence[str] = ("ord", "txt")) -> DataFrame:
     """For each source (keys, nx, ny) the cheapest block ahead of it within ``reach`` on both axes.
 
-    ``reach`` may name a column of the sources, so that searches of several reaches share one join.
-    ``strip`` (height of a band across the direction) is for unbounded source sets: a hit costing no more
-    than ten strips beats anything outside the neighbouring bands, so only the rest search the whole page.
+    Both sides meet on cells as large as the reach, so a page is never paired with itself.  ``reach`` may name a
+    column of the sources instead, so that a few sources of a page with several reaches share one page join.
     """
     where = [k for k in keys if k != "src_ord" and k in blocks.columns]
     targets = blocks.select(*where, F.col("nx").alias("tx"), F.col("ny").alias("ty"),
                             *[F.col(p).alias(f"t_{p}") for p in dict.fromkeys(["ord", *payload])])
     limit = F.col(reach) if isinstance(reach, str) else F.lit(reach)
     spots = sources.select(*keys, F.col("nx").alias("sx"), F.col("ny").alias("sy"), limit.alias("_reach"))
-    axis = ("ty", "sy") if direction in ("left", "right") else ("tx", "sx")
-
-    def search(s: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
-        dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
-        hits = (t.join(s, on).withColumn("cost", direction_cost(dx, dy, direction))
-                .filter(F.col("cost").isNotNull() & (F.abs(dx) < F.col("_reach")) & (F.abs(dy) < F.col("_reach"))))
-        return first_by(hits, keys, [F.col("cost"), F.col("t_ord")], ["cost", *[f"t_{p}" for p in payload]])
-
-    if strip is None:
-        found = search(spots, targets, where)
-    else:
-        band = F.floor(F.col(axis[0]) / strip).cast("bigint")
-        home = F.floor(F.col(axis[1]) / strip).cast("bigint")
-        near = search(spots.withColumn("band", F.explode(F.array(home - 1, home, home + 1))),
-                      targets.withColumn("band", band), [*where, "band"])
-        sure = near.filter(F.col("cost") < OFF_AXIS_WEIGHT * strip)
-        rest = search(spots.join(sure.select(*keys), list(keys), "left_anti"), targets, where)
-        found = sure.unionByName(rest)
+    on = list(where)
+    if not isinstance(reach, str):
+        def cell(c: str) -> Column:
+            return F.floor(F.col(c) / reach).cast("bigint")
+        across, up = (F.explode(F.array(*[cell(c) + step for step in steps])) for c, steps in zip(("sx", "sy"), _AHEAD[direction]))
+        spots = spots.withColumn("gx", across).withColumn("gy", up)
+        targets = targets.withColumns({"gx": cell("tx"), "gy": cell("ty")})
+        on += ["gx", "gy"]
+    dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+    hits = (targets.join(spots, on).withColumn("cost", direction_cost(dx, dy, direction))
+            .filter(F.col("cost").isNotNull() & (F.abs(dx) < F.col("_reach")) & (F.abs(dy) < F.col("_reach"))))
+    found = first_by(hits, keys, [F.col("cost"), F.col("t_ord")], ["cost", *[f"t_{p}" for p in payload]])
     return found.select(*keys, "cost", *[F.col(f"t_{p}").alias(p) for p in payload])
 
 

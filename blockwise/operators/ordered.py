@@ -1,8 +1,8 @@
 """Order-dependent work over groups of any size.
 
 A group is cut into buckets of its order column.  Each bucket is summarised on its own, summaries are
-combined in order, and what stood before a bucket is handed back to its rows.  No task ever holds more
-than one bucket, whatever share of the table a group has.
+combined in order, level by level, and what stood before a bucket is handed back to its rows.  A task holds one
+bucket of reads or of summaries, whatever share of the table a group has.
 """
 
 from __future__ import annotations
@@ -29,8 +29,15 @@ def running_before(df: DataFrame, keys: Keys, seq: str, value: Column, how: str,
     order = [F.col(seq), *[F.col(t) for t in ties]]
     rows = df.withColumn("_b", _bucket(seq, width)).withColumn("_v", value)
     totals = rows.groupBy(*keys, "_b").agg(combine("_v").alias("_t"))
-    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_b", combine("_t").over(across).alias("_carry"))
+    # sparse numbers leave many buckets: their totals are summed up in buckets of buckets
+    totals = totals.withColumn("_bb", F.floor(F.col("_b") / width).cast("bigint"))
+    above = Window.partitionBy(*keys).orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
+    upper = totals.groupBy(*keys, "_bb").agg(combine("_t").alias("_t2")).select(*keys, "_bb", combine("_t2").over(above).alias("_above"))
+    beside = Window.partitionBy(*keys, "_bb").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    both = totals.withColumn("_beside", combine("_t").over(beside)).join(upper, [*keys, "_bb"])
+    carry = F.greatest("_above", "_beside") if how == "max" else F.when(
+        F.col("_above").isNotNull() | F.col("_beside").isNotNull(), F.coalesce("_above", F.lit(0)) + F.coalesce("_beside", F.lit(0)))
+    carried = both.select(*keys, "_b", carry.alias("_carry"))
     within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", combine("_v").over(within))
     merged = F.greatest("_carry", "_local") if how == "max" else F.when(
@@ -108,46 +115,52 @@ def _compose(summaries: Column, margin: float) -> Column:
 class ConflictFold:
     """Ordered merge of repeated reads, for groups of any size.
 
-    ``seq`` must be unique within a group.  ``width`` bounds what one task collects: reads of ``width``
-    consecutive sequence numbers, then summaries of ``width`` consecutive buckets.
+    ``seq`` must be unique within a group; reads are numbered densely first.  ``width`` bounds what a row gathers: that
+    many reads, then summaries of that many buckets, on ``LEVELS`` levels, which is enough for width ** (LEVELS + 1) reads.
+    A summary keeps only reads that no earlier one forestalls, so it is long only where quantities keep rising while
+    confidence keeps falling.
     """
 
+    LEVELS = 3
+
     def __init__(self, reads: DataFrame, keys: Keys, seq: str, qty: str, conf: str,
                  margin: float = 5.0, width: int = 512):
         self.keys, self.margin = list(keys), margin
         one = F.struct(F.col(seq).cast("bigint").alias("seq"), F.col(qty).cast("bigint").alias("qty"),
                        F.col(conf).cast("double").alias("conf"))
-        self.buckets = (reads.select(*keys, _bucket(seq, width).alias("b1"), one.alias("r"))
-                        .groupBy(*keys, "b1").agg(F.array_sort(F.collect_list("r")).alias("reads")))
-        level1 = self.buckets.select(*keys, "b1", _prune(_summarise_reads(F.col("reads"), margin)).alias("summary"))
-        self.blocks = (level1.groupBy(*keys, F.floor(F.col("b1") / width).cast("bigint").alias("b2"))
-                       .agg(F.array_sort(F.collect_list(F.struct("b1", "summary"))).alias("parts")))
-        level2 = self.blocks.select(*keys, "b2", _compose(F.col("parts"), margin).alias("summary"))
-        self.groups = (level2.groupBy(*keys)
-                       .agg(F.array_sort(F.collect_list(F.struct("b2", "summary"))).alias("parts")))
+        numbered = sequence_number(reads.select(*keys, F.col(seq).cast("bigint").alias("_seq"), one.alias("r")), keys, "_seq", "_n")
+        self.buckets = numbered.groupBy(*keys, _bucket("_n", width).alias("b")).agg(F.array_sort(F.collect_list("r")).alias("reads"))
+        level = self.buckets.select(*keys, "b", _prune(_summarise_reads(F.col("reads"), margin)).alias("summary"))
+        self.levels = []
+        for _ in range(self.LEVELS - 1):
+            parents = (level.groupBy(*keys, _bucket("b", width).alias("up"))
+                       .agg(F.array_sort(F.collect_list(F.struct("b", "summary"))).alias("parts")))
+            self.levels.append(parents)
+            level = parents.select(*keys, F.col("up").alias("b"), _compose(F.col("parts"), margin).alias("summary"))
+        self.groups = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "summary"))).alias("parts"))
 
     def winners(self) -> DataFrame:
         """One row per group: the read kept at the end."""
         final = F.aggregate(F.col("parts"), F.lit(None).cast(READ), lambda kept, s: _after(kept, s["summary"], self.margin))
         return self.groups.select(*self.keys, final.alias("k")).select(*self.keys, "k.seq", "k.qty", "k.conf")
 
-    def _handed_down(self, parents: DataFrame, child: str, carried: str | None) -> DataFrame:
+    def _handed_down(self, parents: DataFrame, carried: str | None) -> DataFrame:
         """What each part of a parent starts from."""
         start = F.col(carried) if carried else F.lit(None).cast(READ)
         state = F.struct(start.alias("kept"), F.array().cast(f"array<struct<b:bigint,kept:{READ}>>").alias("log"))
 
         def step(acc: Column, s: Column) -> Column:
             return F.struct(_after(acc["kept"], s["summary"], self.margin).alias("kept"),
-                            F.array_append(acc["log"], F.struct(s[child].alias("b"), acc["kept"].alias("kept"))).alias("log"))
+                            F.array_append(acc["log"], F.struct(s["b"].alias("b"), acc["kept"].alias("kept"))).alias("log"))
         folded = F.aggregate(F.col("parts"), state, step)["log"]
-        return parents.select(*self.keys, F.inline(folded).alias(child, "carried"))
+        return parents.select(*self.keys, F.inline(folded).alias("b", "carried"))
 
     def conflicts(self) -> DataFrame:
         """One row per read that disagreed with what was kept: kept and new read, and the choice."""
-        into_blocks = self._handed_down(self.groups, "b2", None)
-        parents = self.blocks.join(into_blocks, [*self.keys, "b2"])
-        into_buckets = self._handed_down(parents, "b1", "carried")
-        rows = self.buckets.join(into_buckets, [*self.keys, "b1"])
+        down = self._handed_down(self.groups, None)
+        for parents in reversed(self.levels):
+            down = self._handed_down(parents.join(down.withColumnRenamed("b", "up"), [*self.keys, "up"]), "carried")
+        rows = self.buckets.join(down, [*self.keys, "b"])
         log_type = f"array<struct<new:{READ},kept:{READ},chosen:bigint>>"
         state = F.struct(F.col("carried").alias("kept"), F.array().cast(log_type).alias("log"))
 

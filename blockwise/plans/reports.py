@@ -26,7 +26,6 @@ LEVEL_ZONE = (0.05, 0.70)
 NAME_ZONE = {"attacker": (0.22, 0.48), "defender": (0.55, 0.88)}
 NAME_HEIGHT = (0.08, 0.28)
 DEFAULT_START = 0.4
-STRIP = 0.05
 CASUALTY = ["dead", "severely_wounded", "slightly_wounded", "remaining", "watchtower_damage"]
 
 
@@ -113,7 +112,7 @@ def level_names(blocks: DataFrame) -> DataFrame:
     marked = blocks.filter((F.col("block_type") != "UI") & names.is_level_text(F.col("txt")) & y.between(*LEVEL_ZONE))
     marked = marked.withColumn("rest", names.without_level(F.col("txt")))
     bare = marked.filter(F.col("rest") == "").select("page_id", F.col("ord").alias("src_ord"), "nx", "ny")
-    beside = nearest_in_direction(bare, blocks, "right", NAME_REACH, payload=["txt", "block_type"], strip=STRIP)
+    beside = nearest_in_direction(bare, blocks, "right", NAME_REACH, payload=["txt", "block_type"])
     beside = beside.filter(F.col("block_type") == "Unknown").select("page_id", F.col("src_ord").alias("ord"), F.col("txt").alias("beside"))
     named = marked.join(beside, ["page_id", "ord"], "left").withColumn(
         "raw_name", names.without_leading_digits(F.when(F.col("rest") == "", F.coalesce("beside", F.lit(""))).otherwise(F.col("rest"))))

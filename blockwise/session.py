@@ -37,6 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+# what an application has written with :func:`stage` and not removed
+_STAGED: dict[str, list[str]] = {}
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Removes everything this application has staged; call it when the results that read from it are written."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return len(paths)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads on from there.
 
@@ -45,5 +59,6 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/blockwise-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,9 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """A dictionary file (a JSON array) as labelled rows; a missing file is an empty dictionary."""
     try:
         entries = spark.read.schema(schemas.DICTIONARY_ENTRY).option("multiLine", True).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         entries = spark.createDataFrame([], schemas.DICTIONARY_ENTRY)
     # an array of one file arrives in order, in one partition
     return load_dictionary(entries.withColumn("entry_ord", F.monotonically_increasing_id()))

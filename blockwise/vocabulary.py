@@ -189,9 +189,6 @@ COLOR_RANGES: list[tuple[str, tuple[int, int, int], tuple[int, int, int]]] = [
 ]
 COLOR_ORDER: list[str] = ["Red", "Gold", "Green", "Blue", "Purple"]
 
-# Keyword lists are inlined into expressions, so their size is checked.
-MAX_INLINE_WORDS = 2000
-
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -203,10 +200,7 @@ class Vocabulary:
 
     def words(self, *names: str) -> list[str]:
         """Lists joined in order; duplicates are kept, so positions stay those of the lists."""
-        out = [word for name in names for word in self.keywords[name]]
-        if len(out) > MAX_INLINE_WORDS:
-            raise ValueError(f"{len(out)} words are too many to inline; use fuzzy_dictionary_join")
-        return out
+        return [word for name in names for word in self.keywords[name]]
 
 
 DEFAULT = Vocabulary()

@@ -34,7 +34,7 @@ def _rows(dialect: str, alias: str, columns: list[str], rows: list[tuple]) -> st
 # one page per customer
 PROFILE = """
 with b as (select c_custkey k, replace(c_name, 'Customer#000', 'Cust ') c_name, n_name, n_nationkey nk,
-             substr(c_mktsegment,1,3) s, abs(cast(round(c_acctbal*1000) as bigint)) p
+             substr(c_mktsegment,1,1) || cast(length(c_mktsegment)%10 as string) || right(c_mktsegment,1) s, abs(cast(round(c_acctbal*1000) as bigint)) p
            from customer join nation on c_nationkey = n_nationkey),
 t as (select k, 1 ord, case when k%5=0 then '(1D: ' else 'ID: ' end || cast(10000000+k as string) txt, 400 x, 100 y from b
  union all select k, 2, case when k%7=0 then 'AB' || cast(k%10 as string) || ' ' || n_name
@@ -70,10 +70,10 @@ t as (select k, j, 10+side*100+m*2 ord, lab txt, 100+side*500 x, 400+m*50 y from
  union all select k, j, 4, '2024/0' || cast(j%9+1 as string) || '/1' || cast(j%10 as string), 100, 50 from o
  union all select k, j, 5, 'X: ' || cast(j%1200 as string) || ' Y: ' || cast((j*3)%1200 as string), 300, 50 from o
  union all select k, j, 6+side, case when j%6=5 then 'Lv. ' || cast(j%60+1 as string) else 'Lv. ' || cast(j%60+1 as string) || ' ' || p_name end, 150+side*500, 200
-        from s join part on p_partkey = (j*5+side)%200
+        from s join part on p_partkey = (j*5+side)%(select count(*) from part)
  union all select k, j, 8, case when j%7=0 then 'Lv. ' || cast(j%40 as string) || ' Barbarian' else 'Rival' end, 620, 150 from o
  union all select k, j, 9, '-' || cast(j%90 as string) || ',' || cast(j%10 as string) || '%', 700, 250 from o
- union all select k, j, 200+side, p_name, 250+side*500, 201 from s join part on p_partkey = (j*5+side)%200
+ union all select k, j, 200+side, p_name, 250+side*500, 201 from s join part on p_partkey = (j*5+side)%(select count(*) from part)
  union all select k, j, 202, 'Sort by Category', 20, 960 from o)
 select k page_id, ord, txt, (50+(j*37+ord*11)%50)/100 conf, x x0, y y0, x+90 x2, y+20 y2, j%3 <> 0 isolated from t
 """

@@ -2,10 +2,13 @@
 
 import json
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from blockwise.functions.names import is_player_name
+from blockwise.functions.numbers import page_timestamp
 from blockwise.operators import grid as G
 from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_dictionary_join
 from blockwise.operators.neighbours import nearest_in_direction, proximity_veto
@@ -13,8 +16,10 @@ from blockwise.operators.ordered import ConflictFold, running_before, sequence_n
 from blockwise.operators.picks import top_k
 from blockwise.operators.rollups import full_text
 from blockwise.plans import item_lists
+from blockwise.session import clear_staged, stage
 from blockwise.sources import dictionaries, records, replies
 from blockwise.streaming import session_merge
+from blockwise.vocabulary import DEFAULT, Vocabulary
 from suite import fixtures as FX
 from tests.test_expressions import like, noisy
 
@@ -72,6 +77,41 @@ def test_conflict_fold_across_buckets(spark):
         assert got == sorted((g, *line) for g, rs in data.items() for line in py_fold(rs)[1])
 
 
+def test_conflict_fold_of_sparse_and_of_contrary_reads(spark):
+    rnd = random.Random(14)
+    sparse = [(s, rnd.randrange(6), float(rnd.randrange(50, 75))) for s in sorted(rnd.sample(range(10**12), 200))]
+    contrary = [(s, s, 100.0 - s / 10) for s in range(300)]
+    df = spark.createDataFrame([(g, "x", *r) for g, rs in ((0, sparse), (1, contrary)) for r in rs],
+                               "session_id int, item_id string, seq bigint, qty bigint, conf double")
+    fold = ConflictFold(df, ["session_id", "item_id"], "seq", "qty", "conf", width=16)
+    assert rows(fold.winners().select("session_id", "seq", "qty", "conf")) == sorted((g, *py_fold(rs)[0]) for g, rs in ((0, sparse), (1, contrary)))
+    got = rows(fold.conflicts().select("session_id", "seq", "previous_qty", "new_qty", "chosen_qty"))
+    assert got == sorted((g, *line) for g, rs in ((0, sparse), (1, contrary)) for line in py_fold(rs)[1])
+
+
+def test_long_vocabulary_and_long_text(spark):
+    words = [f"word{i:05d}" for i in range(2500)]
+    mine = Vocabulary(keywords={**DEFAULT.keywords, "pve_terms": words})
+    df = spark.createDataFrame([("a word02499 b",), ("plain",)], "txt string")
+    assert [r[0] for r in df.select(is_player_name(F.col("txt"), mine)).collect()] == [False, True]
+    texts = spark.createDataFrame([(0, "lorem ipsum " * 10_000), (1, "red bolt")], "id int, mention string")
+    labels = spark.createDataFrame([("red bolt",), ("red bolts",)], "label string")
+    assert rows(fuzzy_dictionary_join(texts, labels, 0.75).select("id", "label")) == [(1, "red bolt"), (1, "red bolts")]
+
+
+def test_staged_results_are_removed(spark):
+    df = stage(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and clear_staged(spark) >= 1 and not os.path.exists(path)
+    FX._STAGED.clear()
+
+
+def test_two_digit_years(spark):
+    df = spark.createDataFrame([("on 12/01/24",), ("2024/12/01",), ("12/01/2024",), ("99/99/99",)], "txt string")
+    got = [r[0] and r[0].strftime("%Y-%m-%d") for r in df.select(page_timestamp(F.col("txt"), 2024)).collect()]
+    assert got == ["2024-12-01"] * 3 + [None]
+
+
 def test_running_values_across_buckets(spark):
     rnd = random.Random(5)
     data = [(g, s, rnd.randrange(100)) for g in range(3) for s in rnd.sample(range(200), 40)]
@@ -100,7 +140,7 @@ def test_greedy_rounds_equal_one_pass(spark):
         assert rows(G.greedy_matching(df, limit).select("page_id", "anchor_ord", "qty_ord")) == sorted(want)
 
 
-def test_neighbours_with_and_without_strips(spark):
+def test_neighbours_by_cell(spark):
     rnd = random.Random(7)
     pts = [(0, i, f"t{i}", rnd.random(), rnd.random()) for i in range(150)]
     df = spark.createDataFrame(pts, "page_id int, ord int, txt string, nx double, ny double")
@@ -116,8 +156,9 @@ def test_neighbours_with_and_without_strips(spark):
                     best = min(best or (9e9, 0), (abs(across) * 10 + abs(along), j))
             if best:
                 want.append((i, best[1]))
-        for strip in (None, 0.03):
-            assert rows(nearest_in_direction(src, df, d, 0.3, strip=strip).select("src_ord", "ord")) == sorted(want)
+        assert rows(nearest_in_direction(src, df, d, 0.3).select("src_ord", "ord")) == sorted(want)
+        by_column = nearest_in_direction(src.withColumn("r", F.lit(0.3)), df, d, "r")
+        assert rows(by_column.select("src_ord", "ord")) == sorted(want)
 
 
 def test_veto_cells(spark):
@@ -180,7 +221,7 @@ def test_dictionary_file_and_missing_file(spark, tmp_path):
 def test_records_are_written_by_source(spark, tmp_path):
     df = spark.createDataFrame([(1, "report"), (2, "profile")], "page_id int, source string")
     records.write_records(df, str(tmp_path / "out"), "source")
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "report"), (2, "profile")] or spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "report"), (2, "profile")]
 
 
 def test_stream_continues_and_logs(spark, tmp_path):
