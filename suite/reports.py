@@ -256,7 +256,18 @@ def _(spark, sf):
     return R.identity_fallback(R.prepare(blocks))
 
 
-@query("report_repair")
+def _repaired_sql() -> str:
+    """Two extractions with the repair between them: the second chain reads the repaired blocks."""
+    again = S.report_chain("select * from fixed")
+    return rf"""with src as ({REPORT}),
+  bad as (select * from (with {S.report_chain()} select t.page_id, t.ord, t.conf from rtyped t join rpages p using (page_id) where not sound and block_type='Number' and conf < 0.85)),
+  best as (select page_id, ord, txt, conf from ({_rescan_sql()}) where conf > 0.60 and regexp_matches(txt, '^\d+$') qualify row_number() over (partition by page_id, ord order by conf desc, shot) = 1),
+  fixes as (select page_id, ord, best.txt, best.conf from bad join best using (page_id, ord) where best.conf > bad.conf),
+  fixed as (select src.* replace (coalesce(f.txt, src.txt) as txt, coalesce(f.conf, src.conf) as conf) from src left join fixes f using (page_id, ord))
+  select * from (with {again} select page_id, sound, round(score, 6) overall_confidence, a_total_units, d_total_units from scored)"""
+
+
+@query("report_repair", _repaired_sql())
 def _(spark, sf):
     blocks = raw(spark, sf)
     src = blocks
