@@ -57,8 +57,9 @@ def session_items(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> tuple[
     pages = blocks.select("page_id", "session_id", "page_seq").distinct()
     reads = page_items(prepared, vocabulary).join(pages, "page_id")
     fold = ConflictFold(reads, ["session_id", "item_id"], "page_seq", "quantity", "confidence")
-    values = F.create_map(*[x for _, v, i in vocabulary.titled_items for x in (F.lit(i), F.lit(v))])
-    won = fold.winners().select("session_id", "item_id", F.element_at(values, F.col("item_id")).alias("unit_value"),
+    known = F.create_map(*[x for t, v, i in vocabulary.titled_items for x in (F.lit(i), F.struct(F.lit(t).alias("title"), F.lit(v).alias("unit_value")))])
+    item = F.element_at(known, F.col("item_id"))
+    won = fold.winners().select("session_id", "item_id", item["title"].alias("title"), item["unit_value"].alias("unit_value"),
                                 F.col("qty").alias("quantity"), F.col("conf").alias("confidence"))
     return item_totals(won), fold.conflicts()
 

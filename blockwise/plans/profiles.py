@@ -226,10 +226,14 @@ class FieldExtractors:
         return self
 
     def run(self, blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-        """One row per page with a value and confidence column per field."""
+        """One row per page with a value and confidence column per field.
+
+        What an extractor finds is written once: it is needed for the result and by all extractors after it, whose
+        plans would otherwise repeat those before.
+        """
         out, left, done = blocks.select("page_id").distinct(), blocks, {}
         for name, extractor, claims in self._steps:
-            found = extractor(left, anchors, done)
+            found = stage(extractor(left, anchors, done))
             done[name] = found
             out = out.join(found.select("page_id", F.col("value").alias(name), F.col("confidence").alias(f"{name}_conf")), "page_id", "left")
             if claims:

@@ -381,7 +381,7 @@ def _(spark, sf):
 
 
 @query("build_ap_items", f"""with recursive {AP}, {fold_ctes(_READS)}, w as (select * from f qualify row_number() over (partition by session_id, item_id order by n desc) = 1)
-  select session_id, item_id, k.unit_value, qty quantity, conf confidence, qty*k.unit_value total_value from w join {_TITLES} using (item_id)""")
+  select session_id, item_id, k.title, k.unit_value, qty quantity, conf confidence, qty*k.unit_value total_value from w join {_TITLES} using (item_id)""")
 def _(spark, sf):
     return item_lists.session_items(titled(spark, sf))[0]
 
