@@ -106,8 +106,13 @@ def test_context_mixing(spark, texts):
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(counts[w] > 0 for w in own), n, crc(r.doc_id) % 10 == 0)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-    held = [r for r in got if r.held_out]
+
+
+def test_held_out_texts_are_likelier_than_under_the_base(spark):
+    # the base gives all unknown words one event and so pays little for them where the corpus is tiny
+    held = [r for r in queries.Q["op5_context_mixing"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert 1 < np.mean([r.bits_per_byte for r in held]) < 3
 
 
 def test_spelling_is_a_distribution():
