@@ -22,6 +22,44 @@ def inventory_envelopes(items: DataFrame, summary: DataFrame, found: str, nothin
                          F.to_json(F.struct(F.lit(True).alias("success"), message.alias("message"), data.alias("data"))).alias("envelope"))
 
 
+def unite_warnings(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """One table (source, key, code, message) of warnings from several steps.
+
+    A table has the key and either a ``code`` (with a ``detail`` if there is one) or a ``message``.
+    """
+    out = None
+    for source, table in tables.items():
+        code = F.col("code") if "code" in table.columns else F.lit(source.upper())
+        text = next((F.col(c) for c in ("message", "detail") if c in table.columns), F.lit(None))
+        rows = table.select(F.lit(source).alias("source"), F.col(key), code.alias("code"), text.cast("string").alias("message"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _warnings_of(warnings: DataFrame, key: str) -> DataFrame:
+    """The distinct codes of each record; a record has at most one per rule."""
+    return warnings.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("warnings"))
+
+
+def profile_envelopes(pages: DataFrame, profiles: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One JSON envelope per page: success, message, the profile if there is one, and the codes of its warnings."""
+    data = F.struct("id", "name", "alliance_tag", "alliance_name", "power", "kill_points", "civilization")
+    rows = profiles.select("page_id", "success", data.alias("data"))
+    joined = pages.join(rows, "page_id", "left").join(_warnings_of(warnings, "page_id"), "page_id", "left")
+    ok = F.coalesce("success", F.lit(False))
+    message = F.when(ok, "Profile read").when(F.col("data").isNull(), "No detections").otherwise("No profile found")
+    codes = F.coalesce("warnings", F.array().cast("array<string>"))
+    return joined.select("page_id", F.to_json(F.struct(ok.alias("success"), message.alias("message"), "data", codes.alias("warnings"))).alias("envelope"))
+
+
+def report_envelopes(reports: DataFrame) -> DataFrame:
+    """One JSON envelope per report page: whether its sums are sound, its score, both sides' figures and its warnings."""
+    sides = {side: F.struct(*[F.col(c).alias(c[2:]) for c in reports.columns if c.startswith(side[0] + "_")]) for side in ("attacker", "defender")}
+    data = F.struct("overall_confidence", "attacker_wins", *[s.alias(n) for n, s in sides.items()])
+    codes = F.transform("warnings", lambda w: w["code"])
+    return reports.select("page_id", F.to_json(F.struct(F.col("sound").alias("success"), data.alias("data"), codes.alias("warnings"))).alias("envelope"))
+
+
 def write_records(records: DataFrame, path: str, partition_by: Column | str | None = None, fmt: str = "parquet", mode: str = "append") -> None:
     """Writes records as parquet or JSON, partitioned by source if asked."""
     writer = records.write.mode(mode).format(fmt)

@@ -17,9 +17,11 @@ def parsed_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with one reply each; ``page_id`` is the path and position of the line's file."""
+    """JSON lines with one reply each; a line that is no JSON keeps the ``page_id`` written in it, or the name of its file."""
     schema = T.StructType([T.StructField("page_id", T.StringType()), *schemas.REPLY.fields, T.StructField("corrupt", T.StringType())])
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path))
+    read = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
+    written = F.nullif(F.regexp_extract("corrupt", r'"page_id"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    return read.withColumn("page_id", F.coalesce("page_id", written, F.input_file_name()))
 
 
 def load_detections(replies: DataFrame, keys: list[str]) -> DataFrame:

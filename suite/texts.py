@@ -10,6 +10,7 @@ from blockwise.functions.text import normalize_accents
 from blockwise.operators.classify import color_name, dominant_category
 from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_dictionary_join
 from blockwise.operators.rollups import full_text, session_text
+from blockwise.plans import flows
 from blockwise.session import shared_folder
 from blockwise.sources import dictionaries as D
 from blockwise.sources import replies as R
@@ -55,6 +56,33 @@ def _(spark, sf):
     return R.error_rows(_replies(spark, sf), ["page_id"]).select("page_id", "code")
 
 
+_GOOD = f"select * from ({PROFILE}) where page_id%10 <> 0 and page_id%13 <> 0"
+
+
+@query("profile_flow", f"""with {S.profile_chain(_GOOD)}, pages as (select distinct page_id from ({PROFILE})),
+  j as (select page_id, prof.id, prof.name, prof.alliance_tag, prof.alliance_name, prof.power, prof.kill_points, prof.civilization, coalesce(success, false) success,
+      case when success then 'Profile read' when prof.page_id is null then 'No detections' else 'No profile found' end message,
+      case when page_id%13=0 then 'UNREADABLE_REPLY' when page_id%10=0 then 'RECOGNISER_FAILED' when not complete then 'INCOMPLETE_PROFILE' end warning
+    from pages left join prof using (page_id))
+  select page_id, success, message, id, name, alliance_tag, alliance_name, power, kill_points, civilization, warning from j""")
+def _(spark, sf):
+    # the replies, for images scaled down by half, as JSON files; then what their envelopes say
+    fx = FX.load(spark, sf, "profile")
+    d = [(F.col(c) * 0.5).cast("double") for c in ("x0", "y0", "x2", "y2")]
+    box = F.array(F.array(d[0], d[1]), F.array(d[2], d[1]), F.array(d[2], d[3]), F.array(d[0], d[3]))
+    pages = fx.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("txt").alias("text"), box.alias("box"), "conf"))).alias("b"))
+    bare = F.transform("b", lambda x: F.struct(x["text"].alias("text"), x["box"].alias("box"), x["conf"].alias("conf")))
+    ok = F.col("page_id") % 10 != 0
+    text = F.to_json(F.struct(F.col("page_id").cast("string").alias("page_id"), ok.alias("success"), F.when(ok, bare).alias("blocks")))
+    cut = F.when(F.col("page_id") % 13 == 0, F.concat(F.substring_index(text, ",", 1), F.lit(', "succ'))).otherwise(text)
+    folder = f"{shared_folder(spark).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    pages.select(cut.alias("value")).write.text(folder)
+    envelopes, _ = flows.profile_flow(R.read_replies(spark, folder), 0.5)
+    schema = "success boolean, message string, data struct<id:bigint,name:string,alliance_tag:string,alliance_name:string,power:bigint,kill_points:bigint,civilization:string>, warnings array<string>"
+    e = envelopes.select(F.col("page_id").cast("bigint").alias("page_id"), F.from_json("envelope", schema).alias("e"))
+    return e.select("page_id", "e.success", "e.message", "e.data.*", F.get("e.warnings", F.lit(0)).alias("warning"))
+
+
 @query("load_dictionary", "with e as (select p_brand, min(p_partkey) entry_ord from part group by 1), l as (select p_brand, p_name, row_number() over (partition by p_brand order by p_name) - 1 label_ord from (select distinct p_brand, p_name from part)) "
        "select p_brand entry_id, entry_ord, p_brand canonical, cast(label_ord as int) label_ord, p_name label from e join l using (p_brand)")
 def _(spark, sf):
