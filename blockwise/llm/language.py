@@ -9,8 +9,8 @@ An n-gram belongs to a language if its share of the language's n-grams is at lea
 where it is most common, and it was seen twice.  All training texts are counted, in tasks and then by shuffle; the
 filters have a size that follows the number of distinct n-grams up to a fixed bound, and are broadcast.
 
-Defined results: ``und`` with score 0 for null texts, texts without letters and where nothing was learned; ties go to
-the language first in order; rows with a null language teach nothing; repeated rows count each time; extra columns are
+Defined results: ``und`` with score 0 for null texts, texts without letters and where nothing was learned; texts none of
+whose n-grams is known get the language with most training text; ties go to the language first in order; rows with a null language teach nothing; repeated rows count each time; extra columns are
 left out.
 """
 
@@ -40,10 +40,10 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def normal(text: str | None) -> bytes:
-    """Letters in lower case, other ASCII as spaces, one between words and at both ends; empty without a letter."""
+    """Letters in lower case, other ASCII as spaces, one between words and at both ends (more after a single letter)."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split(b" ")
     line = b" ".join(w for w in words if w)
-    return b" " + line + b" " if line else b""
+    return (b" " + line + b" ").ljust(N) if line else b""
 
 
 def has_letter(text: str | None) -> bool:
@@ -86,12 +86,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Filters:
-    """``words``: bits per language at each position; ``rates``: how often a language's filter holds what was never put in."""
+    """``words``: bits per language at each position; ``rates``: how often a language's filter holds what was never put in;
+    ``usual``: the language with most training text."""
 
     languages: list[str]
     bits: int
     words: np.ndarray
     rates: np.ndarray
+    usual: int = 0
 
     def positions(self, found: np.ndarray) -> list[np.ndarray]:
         wide = found.astype(np.uint64) + np.uint64(1)
@@ -108,7 +110,7 @@ class Filters:
 
     def identify(self, text: str | None) -> tuple[str, float]:
         data = np.frombuffer(normal(text), np.uint8)
-        if not self.languages or not has_letter(text) or len(data) < N:
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         hits = np.zeros(len(self.languages))
         n = len(data) - N + 1
@@ -119,7 +121,7 @@ class Filters:
                 hits[bit] += counts[(kinds >> np.uint64(bit)) & np.uint64(1) == 1].sum()
         true = np.clip((hits - n * self.rates) / (1 - self.rates), 0, n)
         if not true.any():
-            true = np.ones(len(self.languages))
+            return self.languages[self.usual], 1 / len(self.languages)
         # hits that all languages share tell nothing: each n-gram's vote is what its language has over the least
         lead = true - true.min() + 1e-9
         best = int(np.argmax(true))
@@ -158,7 +160,7 @@ def learn(docs: DataFrame) -> Filters:
     words = np.zeros(1 << bits, np.uint64)
     words[filled["at"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
     rates = np.array([np.mean((words >> np.uint64(i)) & np.uint64(1)) ** PROBES for i in range(len(languages))])
-    return Filters(languages, bits, words, np.minimum(rates, 0.99))
+    return Filters(languages, bits, words, np.minimum(rates, 0.99), languages.index(rows[0].lang))
 
 
 def _identify(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -219,6 +219,7 @@ def test_filters_hold_all_they_were_given(spark):
         bit = filters.languages.index(lang)
         masks = filters.contained(language.grams(np.frombuffer(language.normal(text), np.uint8)))
         assert ((masks >> np.uint64(bit)) & np.uint64(1)).all()
+    assert {filters.identify(t)[0] for t in ("a", "ж", "é")} <= {"de", "en"} and filters.identify("12 %")[0] == "und"
 
 
 def test_surrogates_are_distinct_and_consistent(spark):
