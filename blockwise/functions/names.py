@@ -52,6 +52,7 @@ def split_tag_and_name(text: Column) -> Column:
 def split_tag_rigid(text: Column) -> Column:
     """STRUCT<tag, suffix> for report headers."""
     t = F.trim(text)
+    # fixed values
     both = r"^\[([^\]]{2,6})\](.*)"
     tail = r"^(.{3,5})\](.*)"
     body = F.substr(t, F.lit(2))
@@ -80,6 +81,7 @@ def without_leading_digits(text: Column) -> Column:
 
 def is_player_name(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     """Long enough, not a date, time or coordinate, and free of PvE and interface words."""
+    # fixed values: what a date and a time look like
     looks_like_data = (text.rlike(r"\d{4}/\d{2}/\d{2}") | text.rlike(r"\d{2}:\d{2}")
                        | text.rlike(N.REPORT_COORDINATES))
     words = contains_any(text, vocabulary.words("pve_terms", "ui_blacklist"))

@@ -22,6 +22,10 @@ PAGE_DATE = r"(\d{2,4}[/-]\d{2}([/-]\d{2,4})?)"
 PAGE_COORDINATES = r"(?i)X:?\s*(\d+)\D*Y:?\s*(\d+)"
 LEVEL = r"(?i)[LN]V\.?\s*\d+"
 LEVEL_PREFIX = r"(?i)([LN]V\.?|Nível)\s*\d+"
+PLAYER_ID = r"\d{7,10}"
+METRIC = r"(\d+[.,]?\d*)\s*([KM]?)"
+METRIC_GROUPS = r"^[^0-9]*(\d{1,3}(?:[.,]\d{3}){2,})\s*([KM]?)"
+DECIMAL = r"(\d+[,.]\d+)"
 
 
 def _int(text: Column) -> Column:
@@ -61,7 +65,7 @@ def is_plain_number(text: Column) -> Column:
 
 def player_id(text: Column) -> Column:
     """First run of 7 to 10 digits after the prefix is removed; 0 when absent or beyond INT."""
-    return _int(F.regexp_extract(F.regexp_replace(text, ID_PREFIX, ""), r"\d{7,10}", 0))
+    return _int(F.regexp_extract(F.regexp_replace(text, ID_PREFIX, ""), PLAYER_ID, 0))
 
 
 def grouped_long(text: Column) -> Column:
@@ -80,16 +84,14 @@ def metric_text(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
 
 
 def _metric_value(clean: Column, fix_multi_group: bool) -> Column:
-    pattern = r"(\d+[.,]?\d*)\s*([KM]?)"
-    suffix = F.regexp_extract(clean, pattern, 2)
-    number = F.translate(F.regexp_extract(clean, pattern, 1), ",", ".")
+    suffix = F.regexp_extract(clean, METRIC, 2)
+    number = F.translate(F.regexp_extract(clean, METRIC, 1), ",", ".")
     thousands = (suffix == "") & number.rlike(r"\.\d{3}$")
     number = F.when(thousands, F.translate(number, ".", "")).otherwise(F.rtrim(number, F.lit(".")))
     if fix_multi_group:
-        groups = r"^[^0-9]*(\d{1,3}(?:[.,]\d{3}){2,})\s*([KM]?)"
-        whole = F.regexp_extract(clean, groups, 1)
+        whole = F.regexp_extract(clean, METRIC_GROUPS, 1)
         number = F.when(whole != "", F.translate(whole, ".,", "")).otherwise(number)
-        suffix = F.when(whole != "", F.regexp_extract(clean, groups, 2)).otherwise(suffix)
+        suffix = F.when(whole != "", F.regexp_extract(clean, METRIC_GROUPS, 2)).otherwise(suffix)
     scale = F.when(suffix == "K", 1000).when(suffix == "M", 1000000).otherwise(1)
     return F.rint(number.try_cast("double") * scale).cast("bigint")
 
@@ -117,7 +119,7 @@ def owned_quantity(text: Column) -> Column:
 
 def damage_percent(text: Column) -> Column:
     """The decimal number in a percentage text; 0 without decimals."""
-    number = F.translate(F.regexp_extract(text, r"(\d+[,.]\d+)", 1), ",", ".")
+    number = F.translate(F.regexp_extract(text, DECIMAL, 1), ",", ".")
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
 
 

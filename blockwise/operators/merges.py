@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from blockwise.operators.ordered import running_before
 from blockwise.operators.picks import first_by
 
-# Fixed value: quantities up to this may well repeat on one page.
+# Quantities up to this may well repeat on one page, and the wording of the warnings.
 GHOST_ABOVE = 150
+DIVERGENCE = "[AP Bar] Divergence detected in image %d. Previous: %d/%d, New: %d/%d. Kept previous value."
+GHOST = "[Sanity Check] Discarded %s with value %d because it duplicates a higher confidence neighbor (Ghost Read)."
+UNREAD = "[Ignored] Could not read quantity for %s (Color: %s)."
 
 
 def max_wins_merge(reads: DataFrame, keys: Sequence[str], qty: str, conf: str, seq: str,
@@ -41,8 +44,7 @@ def first_value_divergence(bars: DataFrame) -> DataFrame:
     kept = first_value_wins(bars).select("session_id", F.col("bar_current").alias("kept_current"), F.col("bar_max").alias("kept_max"))
     both = bars.filter(F.col("bar_max") > 0).join(kept, "session_id")
     differs = (F.col("bar_max") != F.col("kept_max")) | (F.col("bar_current") != F.col("kept_current"))
-    text = F.format_string("[AP Bar] Divergence detected in image %d. Previous: %d/%d, New: %d/%d. Kept previous value.",
-                           "page_seq", "kept_current", "kept_max", "bar_current", "bar_max")
+    text = F.format_string(DIVERGENCE, "page_seq", "kept_current", "kept_max", "bar_current", "bar_max")
     return both.filter(differs).select("session_id", "page_seq", text.alias("message"))
 
 
@@ -58,13 +60,12 @@ def ghost_reads(items: DataFrame) -> tuple[DataFrame, DataFrame]:
            .agg(F.max("confidence").alias("_top")))
     judged = items.join(top, ["page_id", "quantity"], "left")
     ghost = F.coalesce(F.col("_top") > F.col("confidence"), F.lit(False))
-    text = F.format_string("[Sanity Check] Discarded %s with value %d because it duplicates a higher confidence neighbor (Ghost Read).",
-                           "item_id", "quantity")
+    text = F.format_string(GHOST, "item_id", "quantity")
     return (judged.filter(~ghost).drop("_top").select(*items.columns),
             judged.filter(ghost).drop("_top").select(*items.columns, text.alias("message")))
 
 
 def pending_log(items: DataFrame) -> DataFrame:
     """Items whose quantity could not be read, with the message that says so."""
-    text = F.format_string("[Ignored] Could not read quantity for %s (Color: %s).", "item_id", "color")
+    text = F.format_string(UNREAD, "item_id", "color")
     return items.filter(F.col("quantity") == -1).select("*", text.alias("message"))
