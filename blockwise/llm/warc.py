@@ -33,6 +33,8 @@ from blockwise.session import shared_folder, stage
 #: Uncompressed size at which the next archive is begun.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Compressed bytes that a task reads back, and tasks that a step is dealt to at most.
+READ_BYTES, MOST_TASKS = 4 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -199,8 +201,8 @@ def _normaliser(folder: str, target: str) -> Callable[[Iterator[pa.RecordBatch]]
 
 def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
     """Rewrites the archives named in ``archives`` from ``folder`` to ``target`` record by record; the index of all records."""
-    # an archive is a task's work, wherever it was written
-    spread = archives.select("archive").repartition(F.col("archive"))
+    # an archive is a task's work: the rows are too small for Spark to spread them by itself
+    spread = archives.select("archive").repartition(min(MOST_TASKS, max(1, archives.count())))
     return stage(spread.mapInArrow(_normaliser(folder, target), INDEX))
 
 
@@ -234,7 +236,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` names, each read on its own: page_id, payload_bytes, payload_digest, record_type,
     refers_to, url, payload (null for a revisit)."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return index.select("archive", "offset", "length").mapInArrow(_reader(folder), schema)
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    places = index.select("archive", "offset", "length").repartitionByRange(min(MOST_TASKS, 1 + size // READ_BYTES), "archive", "offset")
+    return places.sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder), schema)
 
 
 def new_folder(df: DataFrame, name: str) -> str:
