@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from blockwise.llm.common import text_key
 from blockwise.llm.crf import Crf, train
+from blockwise.session import stage
 
 #: Bound of the labelled sample that the field is trained on.
 TRAINING_DOCUMENTS = 3000
@@ -108,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Crf:
     chosen = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS))
     sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    rows = sample.mapInArrow(_lines, "quality long, features array<double>").limit(2 * TRAINING_DOCUMENTS).collect()
+    # the limit is for ids that many rows share; written first, as a collected limit would run a few tasks after the other
+    rows = stage(sample.mapInArrow(_lines, "quality long, features array<double>").limit(2 * TRAINING_DOCUMENTS)).collect()
     texts = [(r.quality, np.array(r.features).reshape(-1, FEATURES)) for r in rows if r.features]
     if len({q for q, _ in texts}) < 2:
         return default_field()

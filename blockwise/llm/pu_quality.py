@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from blockwise.llm import line_quality
 from blockwise.llm.common import held_out
+from blockwise.session import stage
 
 #: Bounds of the samples that the model is fitted on.
 POSITIVES, UNLABELLED = 6000, 12000
@@ -149,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     unlabelled = training.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(positives.unionByName(unlabelled))  # POSITIVES + UNLABELLED ids at most
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select("positive", "text")
-    got = texts.mapInArrow(_measured, "positive boolean, x array<double>").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
+    # the limit is for ids that many rows share; written first, as a collected limit would run a few tasks after the other
+    got = stage(texts.mapInArrow(_measured, "positive boolean, x array<double>").limit(2 * (POSITIVES + UNLABELLED))).toArrow()
     flags = got["positive"].to_numpy(zero_copy_only=False).astype(bool)
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, MEASURES)
     order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # rows come in any order
