@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import counted, lower_ascii, small, text_key
+from blockwise.functions.literals import let
+from blockwise.llm.common import lower_ascii, small, text_key
 from blockwise.session import stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,8 +75,9 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = 13) -> tuple[DataFra
         F.collect_set(F.struct("at", "length", "window", "items")).alias("candidates"))
     candidates = small(candidates.withColumnsRenamed({"doc_id": "_doc", "key": "_key"}), 20_000)
     texts = texts.join(candidates, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = texts.select("doc_id", "key", words_of(F.col("text")).alias("words"), "candidates")
-    same = F.filter("candidates", lambda c: F.array_join(F.slice("words", c.at + 1, c.length), " ") == c.window)
+    # the words are bound to a name: inside the filter they would be split off anew for each candidate
+    same = let(words_of(F.col("text")), lambda words: F.filter(
+        "candidates", lambda c: F.array_join(F.slice(words, c.at + 1, c.length), " ") == c.window))
     hits = texts.select("doc_id", "key", F.explode(same).alias("c"))
     return sizes, hits.select("doc_id", "key", "c.at", "c.length", F.explode("c.items").alias("item_id"))
 
@@ -106,9 +108,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, percent: int =
     if remove == "documents":
         return docs.join(bad, on, "left_anti")
     marked = docs.join(bad, on, "left")
-    between = F.split("text", WORDS)  # one more than words: what stands before each, and after the last
-    words = F.filter(F.split("text", SEPARATORS), lambda w: w != "")
-    kept = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(words)), F.transform(words, lambda w, i: F.struct(
-        w.alias("w"), F.array_contains("_hit", i).alias("hit"))), lambda gap, w: F.when(w.hit, "").otherwise(F.concat(gap, w.w))), ""),
-        F.element_at(between, -1))
+    # one more gap than words: what stands before each, and after the last
+    pieces = F.struct(F.split("text", WORDS).alias("gaps"), F.filter(F.split("text", SEPARATORS), lambda w: w != "").alias("words"))
+    kept = let(pieces, lambda p: F.concat(F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(p.words) - 1), "_hit"), lambda i: F.concat(F.get(p.gaps, i), F.get(p.words, i))), ""),
+        F.element_at(p.gaps, -1)))
     return marked.select(*[F.when(F.col("_hit").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
