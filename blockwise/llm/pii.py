@@ -41,6 +41,8 @@ HINT = rf"[@\d]|(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? \p{{Lu}}|(?i:key|passw|secret|t
 _LATIN = "ba,de,fi,go,hu,ka,le,mi,no,pu,ra,se,ti,vo,wa,ze"
 _CYRILLIC = "ба,де,фи,го,ху,ка,ле,ми,но,пу,ра,се,ти,во,ва,зе"
 _GREEK = "βα,δε,φι,γο,χυ,κα,λε,μι,νο,πυ,ρα,σε,τι,ξο,ψα,ζε"
+#: Syllables of a surrogate name at the first draw; each draw after it has one more, so no kind of name can run out.
+SYLLABLES = 5
 MAX_ROUNDS = 40
 
 
@@ -132,7 +134,7 @@ def surrogate(key: str, attempt: Column, kind: Column, normal: Column) -> Column
 
     def name(syllables: str, endings: dict[str, str]) -> Column:
         parts = F.split(F.lit(syllables), ",")
-        drawn = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.element_at(
+        drawn = F.array_join(F.transform(F.sequence(F.lit(1), attempt + SYLLABLES), lambda i: F.element_at(
             parts, F.conv(F.substring(s, i, F.lit(1)), 16, 10).cast("int") + 1)), "")
         ending = F.lit("")
         for role, text in endings.items():

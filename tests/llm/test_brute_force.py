@@ -250,6 +250,12 @@ def test_clashing_draws_are_drawn_again(spark):
     assert len(set(drawn)) == len(drawn) == 12 and not set(drawn) & {r.normal for r in got}
 
 
+def test_names_of_a_kind_do_not_run_out(spark):
+    names = [("surname_x_latin", f"name{i}") for i in range(12_000)] + [("given_m_latin", f"name{i}") for i in range(5_000)]
+    got = pii.assign(spark.createDataFrame(names, "kind string, normal string"), "k").collect()
+    assert {(r.kind, r.normal) for r in got} == set(names) and len({(r.kind, r.surrogate) for r in got}) == len(names)
+
+
 def test_mix_keeps_to_its_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 50), "big" if i % 3 else f"s{i % 7}") for i in range(4000)], "doc_id long, text string, source string")
     for r in mixing.shares(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect():
