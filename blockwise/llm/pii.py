@@ -1,11 +1,18 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct and consistent.
 
 Detected are e-mail addresses, phone, social security and payment card numbers (with a valid check digit), IPv4
-addresses, credentials behind a naming keyword, and person names behind a title.  Each distinct entity of the whole table
-gets one surrogate, drawn from a keyed digest, so that all its mentions agree however they are written; name parts are
-entities of their own, so "Mr Jon Doe" and "Mr Doe" keep the same surname.  Gender (from the title), script, letter case,
-separators, length and check digits stay.  A surrogate that equals an entity of the table or another surrogate is drawn
-again, until all are distinct.
+addresses, credentials behind a naming keyword, and person names behind one or more titles.  Each distinct entity of the
+whole table gets one surrogate, drawn from a keyed digest, so that all its mentions agree however they are written; name
+parts are entities of their own, so "Mr Jon Doe" and "Mr Doe" keep the same surname.  Gender (from the title), script,
+letter case, separators, length and check digits stay.  A surrogate that equals an entity of the table or another surrogate
+is drawn again, until all are distinct.
+
+A name has any number of words; the last is the surname, the others are given names.  Particles ("van", "de la") stay, an
+initial becomes a keyed letter, the same throughout.  In a text with a titled name, its surname is replaced without a title
+too, and its given names and initials where the surname follows them.
+
+Not detected: names in texts that never give them a title, given names that stand alone, titles in capitals, names over
+more than one line (a title may end a line); capital words right behind a name count as parts of it.
 
 Native expressions only.  Defined results: null and empty texts stay as they are with no entities; repeated rows get the
 same text; extra columns pass through, a clashing ``n_pii`` is replaced.
@@ -13,6 +20,8 @@ same text; extra columns pass through, a clashing ``n_pii`` is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +30,15 @@ from blockwise.session import stage
 
 _MALE, _FEMALE = "Mr|Herr|Monsieur|Señor|Signor|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|Госпожа"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"\p{Lu}[\p{L}'’\-]++"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|Dr|Prof)\.?"
+_TITLES = rf"{_TITLE}(?:\s{{1,3}}{_TITLE}(?=\s))*+\s{{1,3}}"
+#: A name word ends with a letter, and before "'s"; it is no title.
+_NAME = rf"(?!{_TITLE}(?![\p{{L}}\p{{M}}'’\-]))(?:\p{{Ll}}{{1,2}}['’\-])?\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’\-](?=\p{{L}})(?!s(?!\p{{L}})))++"
+_INITIAL = r"\p{Lu}(?:\.(?:-?\p{Lu}\.)*+)?(?=\h)"
+_PARTICLE = (r"(?:(?:von|van|vom|zum?|zur)(?:\h{1,3}(?:der|den|dem|de|het))?|de(?:\h{1,3}(?:la|las|los))?|della|del|des|di|da|das|dos|do|du|la|le|"
+             r"ten|ter|te|af|av|al|el|bin|ibn|bint|ben|Ste?\.)(?=\h)")
+#: Possessive throughout, so that no run of name words is too long for the matcher's stack.
+_FULL = rf"(?:(?:{_PARTICLE}|{_INITIAL})\h{{1,3}})*+{_NAME}"
 #: Each part can only start where a token starts, so a text without any space is still scanned in linear time.
 PATTERN = "|".join((
     r"(?i:(?<![\p{L}\p{N}])(?:api[_-]?key|access[_-]?key|password|passwd|secret|token)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{16,}+)",
@@ -33,10 +50,12 @@ PATTERN = "|".join((
     r"(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}])",
-    rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
+    rf"(?<!\p{{L}}){_TITLES}{_FULL}(?:\h{{1,3}}{_FULL})*+",
 ))
+#: How a name without its title starts.
+_CAPITAL = r"(?:\p{Ll}{1,2}['’\-])?\p{Lu}"
 #: What every match contains; other texts are passed on unread.
-HINT = rf"[@\d]|(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? \p{{Lu}}|(?i:key|passw|secret|token)"
+HINT = rf"[@\d]|{_TITLE}\s{{1,3}}\p{{L}}|(?i:key|passw|secret|token)"
 
 _LATIN = "ba,de,fi,go,hu,ka,le,mi,no,pu,ra,se,ti,vo,wa,ze"
 _CYRILLIC = "ба,де,фи,го,ху,ка,ле,ми,но,пу,ра,се,ти,во,ва,зе"
@@ -68,20 +87,40 @@ def _credential(m: Column) -> Column:
     return F.regexp_extract(m, r"[A-Za-z0-9+/_\-]+$", 0)
 
 
-def _name_parts(m: Column) -> Column:
-    """Words after the title."""
-    return F.slice(F.split(m, " "), 2, 2)
+def _words(m: Column) -> Column:
+    """Words after the titles: name words, initials and particles."""
+    return F.split(F.trim(F.regexp_replace(m, f"^{_TITLES}", "")), r"\h+")
+
+
+def _is_name(word: Column) -> Column:
+    return word.rlike(f"^{_NAME}$")
+
+
+def _is_initial(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}(\.(-?\p{Lu}\.)*)?$")
+
+
+def _script(part: Column) -> Column:
+    return F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _gender(m: Column) -> Column:
+    start = F.substring(m, 1, 20)
+    return F.when(start.rlike(rf"^(?:{_MALE})\b"), "m").when(start.rlike(rf"^(?:{_FEMALE})\b"), "f").otherwise("x")
 
 
-def _name_kind(m: Column, part: Column, place: Column) -> Column:
-    gender = F.when(m.rlike(rf"^(?:{_MALE})\b"), "m").when(m.rlike(rf"^(?:{_FEMALE})\b"), "f").otherwise("x")
-    script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given = (place == 0) & (F.size(_name_parts(m)) == 2)
+def _name_kind(gender: Column, part: Column, given: Column) -> Column:
+    script = _script(part)
     # Cyrillic surnames show the gender as well
     role = F.when(given, F.concat(F.lit("given_"), gender)).when(script == "cyrillic", F.concat(F.lit("surname_"), gender)).otherwise("surname_x")
     return F.concat_ws("_", role, script)
 
 
+def _once(use: Callable[[Column], Column], **values: Column) -> Column:
+    """``use`` of a struct of values, each of which is worked out once and not for every element of a lambda inside."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
+
+
 def _normal(kind: Column, m: Column) -> Column:
     digits = _digits(m)
     number = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
@@ -95,7 +134,10 @@ def _entity(kind: Column, normal: Column) -> Column:
 def entities_of(m: Column) -> Column:
     """(kind, normal form) of what a match mentions; a card number whose check digit is wrong mentions nothing."""
     kind = kind_of(m)
-    names = F.transform(_name_parts(m), lambda p, i: _entity(_name_kind(m, p, i), F.lower(p)))
+    # the last word is a name
+    named = _once(lambda x: F.transform(x.words, lambda p, i: F.when(_is_name(p), _entity(_name_kind(x.gender, p, i < x.last), F.lower(p)))),
+                  words=_words(m), last=F.size(_words(m)) - 1, gender=_gender(m))
+    names = F.filter(named, lambda x: x.isNotNull())
     one = F.array(_entity(kind, _normal(kind, m)))
     none = F.slice(one, 1, 0)
     return F.when(kind == "person", names).when((kind == "card") & (_luhn(_digits(m)) % 10 != 0), none).otherwise(one)
@@ -184,15 +226,51 @@ def _formatted(m: Column, kind: Column, new: Column) -> Column:
     return F.when(kind == "secret", secret).when(kind == "email", mail).when(kind == "ip", new).otherwise(number)
 
 
-def _rewritten(m: Column, new: Column) -> Column:
-    """A match with its surrogates; ``new`` maps kind and normal form to them."""
-    kind = kind_of(m)
+def _initial(key: str, word: Column) -> Column:
+    """An initial, or several, with another letter for each."""
+    def put(c: Column) -> Column:
+        letters = F.when(_script(c) == "cyrillic", _CYRILLIC).when(_script(c) == "greek", _GREEK).otherwise(_LATIN)
+        others = F.filter(F.transform(F.split(letters, ","), lambda x: F.upper(F.substring(x, 1, 1))), lambda x: x != c)
+        at = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial"), c), 256), 1, 7), 16, 10).cast("int")
+        return F.when(c.rlike(r"\p{L}"), F.element_at(others, at % F.size(others) + 1)).otherwise(c)
+    return F.array_join(F.transform(F.split(word, ""), put), "")
+
 
-    def part(p: Column, i: Column) -> Column:
-        drawn = F.element_at(new, F.concat_ws("|", _name_kind(m, p, i), F.lower(p)))
-        return F.when(F.upper(p) == p, F.upper(drawn)).otherwise(F.initcap(drawn))
+def _untitled(new: Column) -> Column:
+    """What matches the names of a text without their titles (its surnames, and given names with the blank before more of the name),
+    as an alternative to go behind ``PATTERN``; empty if there are none."""
+    def names(role: str) -> Column:
+        keys = F.filter(F.map_keys(new), lambda k: k.startswith(role))
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.element_at(F.split(k, r"\|"), 2)))), "|")
 
-    person = F.concat_ws(" ", F.get(F.split(m, " "), 0), F.array_join(F.transform(_name_parts(m), part), " "))
+    def word(found: Column) -> Column:
+        # [^\s\S] for no names matches nothing
+        return F.concat(F.lit(rf"(?={_CAPITAL})(?iu:"), F.when(found == "", r"[^\s\S]").otherwise(found), F.lit(r")(?![\p{L}\p{N}\p{M}])"))
+
+    last, given = word(names("surname")), word(names("given"))
+    more = F.concat(F.lit(rf"\h{{1,3}}(?=(?:(?:{_PARTICLE}|{_INITIAL})\h{{1,3}})*+(?:"), given, F.lit("|"), last, F.lit("))"))
+    return F.when(names("surname") == "", "").otherwise(F.concat(
+        F.lit(r"|(?<![\p{L}\p{N}\p{M}])(?:(?:"), F.lit(_INITIAL), F.lit("|"), given, F.lit(")"), more, F.lit("|"), last, F.lit(")")))
+
+
+def _rewritten(m: Column, new: Column, key: str) -> Column:
+    """A match with its surrogates; ``new`` maps kind and normal form to them."""
+    kind = kind_of(m)
+    head = F.regexp_extract(m, f"^{_TITLES}", 0)
+    tail = F.substring(m, F.length(head) + 1, F.length(m))
+
+    def part(x: Column, p: Column, i: Column) -> Column:
+        titled = F.element_at(new, F.concat_ws("|", _name_kind(x.gender, p, i < x.last), F.lower(p)))
+        of = lambda role: F.coalesce(*[F.element_at(new, F.concat_ws("|", F.concat(F.lit(f"{role}_{g}_"), _script(p)), F.lower(p))) for g in "xmf"])
+        drawn = F.when(~x.alone, titled).when(x.leading, of("given")).otherwise(of("surname"))
+        name = F.when(F.upper(p) == p, F.upper(drawn)).otherwise(F.initcap(drawn))
+        return F.when(_is_initial(p), _initial(key, p)).when(drawn.isNotNull(), name).otherwise(p)
+
+    gaps = F.concat(F.regexp_extract_all(tail, F.lit(r"\h+"), F.lit(0)), F.array(F.lit("")))
+    # an untitled given name stands with the blank behind it
+    words = _once(lambda x: F.transform(x.words, lambda p, i: part(x, p, i)), words=_words(m), last=F.size(_words(m)) - 1, gender=_gender(m),
+                  alone=head == "", leading=m.rlike(r"\h$"))
+    person = F.concat(head, F.array_join(F.zip_with(words, gaps, lambda w, gap: F.concat(w, F.coalesce(gap, F.lit("")))), ""))
     drawn = F.element_at(new, F.concat_ws("|", kind, _normal(kind, m)))
     return F.when(kind == "person", person).otherwise(F.coalesce(_formatted(m, kind, drawn), m))
 
@@ -209,10 +287,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     maps = small(drawn.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("_new"))
                  .withColumnsRenamed({"doc_id": "_doc", "key": "_key"}), 50_000)
     dirty = docs.where(hinted).join(maps, (text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    dirty = dirty.withColumn("_found", F.when(F.col("_new").isNotNull(), found))
-    replaced = F.transform("_found", lambda m: _rewritten(m, F.col("_new")))
-    text = F.array_join(F.zip_with(F.split("text", PATTERN), F.concat(replaced, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    n = F.coalesce(F.size(F.filter("_found", lambda m: F.size(entities_of(m)) > 0)), F.lit(0)).cast("long")
+    dirty = dirty.withColumn("_pattern", F.when(F.col("_new").isNotNull(), F.concat(F.lit(PATTERN), _untitled(F.col("_new")))))
+    dirty = dirty.withColumn("_found", F.regexp_extract_all("text", F.col("_pattern"), F.lit(0)))
+    replaced = F.transform("_found", lambda m: _rewritten(m, F.col("_new"), key))
+    text = F.array_join(F.zip_with(F.split("text", F.col("_pattern")), F.concat(replaced, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
+    n = F.coalesce(F.size(F.filter("_found", lambda m: (F.size(entities_of(m)) > 0) & ~m.rlike(r"\h$"))), F.lit(0)).cast("long")
     dirty = dirty.withColumn("n_pii", F.when(F.col("_new").isNotNull(), n).otherwise(F.lit(0).cast("long")))
     dirty = dirty.withColumn("text", F.when(F.col("_new").isNotNull(), text).otherwise(F.col("text")))
     clean = docs.where(~hinted).withColumn("n_pii", F.lit(0).cast("long"))

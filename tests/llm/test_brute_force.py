@@ -250,6 +250,23 @@ def test_clashing_draws_are_drawn_again(spark):
     assert len(set(drawn)) == len(drawn) == 12 and not set(drawn) & {r.normal for r in got}
 
 
+def test_whole_names_and_untitled_mentions(spark):
+    rows = [(1, "Mr Juan Carlos Pérez met Herr Ludwig van Beethoven and Mr J. Doe, then Frau Prof. Dr. Weber-Klein."),
+            (2, "Mr  Pérez and Mr\nBeethoven; Juan Carlos Pérez said, J. Doe."),
+            (3, "Mr Jon Doe came. Jon Doe said DOE's name is Doe, not Doebler; the doe ran. Jon  van Doe? Jon sat."),
+            (4, "Doe has no title here"), (5, "Mr " + "Aaa Bbb " * 5_000 + "Ccc")]
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    juan, carlos, perez, ludwig, beethoven, j, doe, weber = re.fullmatch(
+        r"Mr (\w+) (\w+) (\w+) met Herr (\w+) van (\w+) and Mr (\w)\. (\w+), then Frau Prof\. Dr\. (\w+)\.", got[1][0]).groups()
+    assert not {juan, carlos, perez, ludwig, beethoven, j, doe} & {"Juan", "Carlos", "Pérez", "Ludwig", "Beethoven", "J", "Doe"} and got[1][1] == 4
+    # given names that no title shows in this text stay
+    assert got[2] == (f"Mr  {perez} and Mr\n{beethoven}; Juan Carlos {perez} said, J. Doe.", 3)
+    jon = got[3][0].split()[1]
+    assert got[3] == (f"Mr {jon} {doe} came. {jon} {doe} said {doe.upper()}'s name is {doe}, not Doebler; the doe ran. {jon}  van {doe}? Jon sat.", 5)
+    assert jon != "Jon" and got[4] == (rows[3][1], 0)
+    assert got[5][1] == 1 and not {"Aaa", "Bbb", "Ccc"} & set(got[5][0].split()) and len(got[5][0].split()) == 10_002
+
+
 def test_names_of_a_kind_do_not_run_out(spark):
     names = [("surname_x_latin", f"name{i}") for i in range(12_000)] + [("given_m_latin", f"name{i}") for i in range(5_000)]
     got = pii.assign(spark.createDataFrame(names, "kind string, normal string"), "k").collect()
