@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,6 +116,23 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert 1 < np.mean([r.bits_per_byte for r in held]) < 3
 
 
+def test_counts_keep_their_ratio_and_tables_grow():
+    block = np.zeros(context_mixing.BLOCK, np.uint32)
+    block[:4] = 74_333, 283_865, 3 << 30, 1 << 30
+    at = np.flatnonzero(block)
+    parts = pd.DataFrame({"block": [0] * 4, "at": [at.astype(np.uint16).tobytes()] * 4, "n": [block[at].tobytes()] * 4})
+    zeros, ones, more, less = np.frombuffer(context_mixing._added(parts)["n"][0], np.uint32)[:4].tolist()
+    assert (zeros, ones) == (4 * 74_333, 4 * 283_865) and more == 3 * less > 1 << 31
+    assert [context_mixing.table_bits(n) for n in (0, 1000, 400_000, 10**9)] == [20, 20, 21, 22]
+
+
+def test_larger_tables_score_as_small_ones_where_nothing_collides(spark):
+    words = spark.createDataFrame([(f"{w}{i}".encode(),) for i in range(300) for w in ("lorem", "ipsum")], "word binary")
+    small, large = (context_mixing.tally(words, size) for size in (20, 22))
+    assert large.shape == (context_mixing.ORDERS, 1 << 22, 2) and small.sum() == large.sum()
+    assert np.isclose(context_mixing.learn(words, 22).prepare().spell([b"lorem7"]), context_mixing.learn(words, 20).prepare().spell([b"lorem7"]), atol=0.1).all()
+
+
 def test_spelling_is_a_distribution():
     """Under any counts, the words that go on from a prefix share its probability."""
     rng = np.random.default_rng(1)
