@@ -1,8 +1,8 @@
 """Language identification with n-gram filters that hold a bit per language.
 
 The n-grams (``N`` bytes of lower-case text in which everything but letters is one space) of each language's training
-texts are put into Bloom filters that lie bit-sliced beside each other: a position holds one bit per language, so that
-ANDing the words at an n-gram's positions gives all languages that contain it.  Per language the hits of a text are
+texts are put into Bloom filters that lie bit-sliced beside each other: a position holds one bit per language, in as many
+words of 64 as the languages need, so that ANDing the words at an n-gram's positions gives all languages that contain it.  Per language the hits of a text are
 counted, corrected for the filter's own rate of false positives, and the largest share decides.
 
 An n-gram belongs to a language if its share of the language's n-grams is at least ``SHARE`` of that in the language
@@ -28,10 +28,10 @@ from blockwise.llm.common import held_out
 from blockwise.session import stage
 
 N, PROBES, SHARE = 4, 3, 0.25
-#: Positions of the filters: at least 2**MIN_BITS, about 16 per n-gram, at most 2**MAX_BITS (8 bytes each: 32 MB).
+#: Positions of the filters: at least 2**MIN_BITS, about 16 per n-gram, at most 2**MAX_BITS (8 bytes each for every 64 languages: 32 MB).
 MIN_BITS, MAX_BITS = 16, 22
-#: Languages a filter word has bits for; the most frequent ones if there are more.
-MAX_LANGUAGES = 64
+#: Languages a filter word has bits for.
+WORD = 64
 UNKNOWN = "und"
 #: Bytes of text that a task counts at a time.
 BLOCK = 4_000_000
@@ -86,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Filters:
-    """``words``: bits per language at each position; ``rates``: how often a language's filter holds what was never put in;
+    """``words``: bits per language at each position, a row for every 64 languages; ``rates``: how often a language's filter holds what was never put in;
     ``usual``: the language with most training text."""
 
     languages: list[str]
@@ -100,12 +100,16 @@ class Filters:
         shift = np.uint64(64 - self.bits)
         return [((wide * np.uint64(m)) >> shift).astype(np.int64) for m in _MULTIPLIERS[:PROBES]]
 
-    def contained(self, found: np.ndarray) -> np.ndarray:
-        """The languages of each n-gram, as bits."""
-        first, *rest = self.positions(found)
-        out = self.words[first]
+    def contained(self, found: np.ndarray, row: int = 0) -> np.ndarray:
+        """The languages of each n-gram, as bits; those from 64 * ``row`` on."""
+        return self._at(self.positions(found), row)
+
+    def _at(self, positions: list[np.ndarray], row: int) -> np.ndarray:
+        first, *rest = positions
+        words = self.words[row]
+        out = words[first]
         for p in rest:
-            out = out & self.words[p]
+            out = out & words[p]
         return out
 
     def identify(self, text: str | None) -> tuple[str, float]:
@@ -115,10 +119,11 @@ class Filters:
         hits = np.zeros(len(self.languages))
         n = len(data) - N + 1
         for i in range(0, n, BLOCK):
-            masks = self.contained(grams(data[i:i + BLOCK + N - 1]))
-            kinds, counts = np.unique(masks, return_counts=True)
-            for bit in range(len(self.languages)):
-                hits[bit] += counts[(kinds >> np.uint64(bit)) & np.uint64(1) == 1].sum()
+            positions = self.positions(grams(data[i:i + BLOCK + N - 1]))
+            for row in range(len(self.words)):
+                kinds, counts = np.unique(self._at(positions, row), return_counts=True)
+                for k in range(row * WORD, min(row * WORD + WORD, len(hits))):
+                    hits[k] += counts[(kinds >> np.uint64(k % WORD)) & np.uint64(1) == 1].sum()
         true = np.clip((hits - n * self.rates) / (1 - self.rates), 0, n)
         if not true.any():
             return self.languages[self.usual], 1 / len(self.languages)
@@ -133,21 +138,23 @@ def learn(docs: DataFrame) -> Filters:
     known = docs.where("lang is not null").select("lang", "text")
     counts = known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
-    rows = totals.collect()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang")
+    rows = totals.collect()  # one for each language
     languages = sorted(r.lang for r in rows)
     if not languages:
-        return Filters([], MIN_BITS, np.zeros(0, np.uint64), np.zeros(0))
-    total = F.create_map(*[F.lit(x) for r in rows for x in (r.lang, float(r.total))])
-    place = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
-    shares = counts.where(F.col("lang").isin(languages)).withColumn("share", F.col("n") / total[F.col("lang")])
-    masks = stage(shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share", "n")).alias("each"))
+        return Filters([], MIN_BITS, np.zeros((0, 0), np.uint64), np.zeros(0))
+    place = {lang: i for i, lang in enumerate(languages)}
+    known = docs.sparkSession.createDataFrame([(r.lang, float(r.total), place[r.lang]) for r in rows], "lang string, total double, place int")
+    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
+    n_rows = -(-len(languages) // WORD)
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.place % WORD)
+    mask = lambda each, row: F.aggregate(F.filter(each, lambda e: F.floor(e.place / WORD) == row), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(bit(e)))
+    masks = stage(shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("place", "share", "n")).alias("each"))
                   .withColumn("each", F.filter("each", lambda e: (e.share >= SHARE * F.col("top")) & (e.n > 1))).where(F.size("each") > 0)
-                  .select("gram", F.aggregate("each", F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(
-                      F.call_function("shiftleft", F.lit(1).cast("long"), place[e.lang]))).alias("mask")))
+                  .select("gram", F.array(*[mask("each", row) for row in range(n_rows)]).alias("masks")))
     distinct = masks.count()
     bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(16 * max(1, distinct))))))
-    empty = Filters(languages, bits, np.zeros(0, np.uint64), np.zeros(0))
+    empty = Filters(languages, bits, np.zeros((0, 0), np.uint64), np.zeros(0))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +162,13 @@ def learn(docs: DataFrame) -> Filters:
             mask = np.tile(batch["mask"].to_numpy(), PROBES)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask)], names=["at", "mask"])
 
-    # at most 2**MAX_BITS positions, whatever the input
-    filled = masks.mapInArrow(positions, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(1 << bits, np.uint64)
-    words[filled["at"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
-    rates = np.array([np.mean((words >> np.uint64(i)) & np.uint64(1)) ** PROBES for i in range(len(languages))])
+    words = np.zeros((n_rows, 1 << bits), np.uint64)
+    for row in range(n_rows):
+        of = masks.select("gram", F.get("masks", F.lit(row)).alias("mask")).where("mask != 0")
+        # at most 2**MAX_BITS positions, whatever the input
+        filled = of.mapInArrow(positions, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words[row, filled["at"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
+    rates = np.array([np.mean((words[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)) ** PROBES for i in range(len(languages))])
     return Filters(languages, bits, words, np.minimum(rates, 0.99), languages.index(rows[0].lang))
 
 

@@ -240,6 +240,15 @@ def test_filters_hold_all_they_were_given(spark):
     assert {filters.identify(t)[0] for t in ("a", "ж", "é")} <= {"de", "en"} and filters.identify("12 %")[0] == "und"
 
 
+def test_every_one_of_many_languages_is_predicted(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(150)]
+    rows = [(i, f"l{i:03d}", f"{w} " * (4 + i % 5)) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.learn(docs)).collect()}
+    assert got == {i: lang for i, lang, _ in rows}
+
+
 def test_surrogates_are_distinct_and_consistent(spark):
     rows = [(i, f"mail u.{i:02d}@mail{i % 9}.example.com or U.{i:02d}@MAIL{i % 9}.EXAMPLE.COM, ip 10.1.{i // 250}.{i % 250}, ssn 123-45-{i:04d}") for i in range(600)]
     rows += [(9000, "Mr Jon Doe met Mrs Ann Doe; Mr. Doe left. Госпожа Анна Иванова"), (9001, "card 4111 1111 1111 1111, no card 4111 1111 1111 1112"),
