@@ -12,7 +12,8 @@ initial becomes a keyed letter, the same throughout.  In a text with a titled na
 too, and its given names and initials where the surname follows them.
 
 Not detected: names in texts that never give them a title, given names that stand alone, titles in capitals, names over
-more than one line (a title may end a line); capital words right behind a name count as parts of it.
+more than one line (a title may end a line); capital words right behind a name count as parts of it.  Nor are credentials of fewer than 16 letters, digits and +/_-
+(ordinary passwords), what follows another character in a longer one, and numbers in other groups than the patterns have.
 
 Native expressions only.  Defined results: null and empty texts stay as they are with no entities; repeated rows get the
 same text; extra columns pass through, a clashing ``n_pii`` is replaced.
@@ -46,6 +47,7 @@ PATTERN = "|".join((
     rf"(?<![\p{{L}}\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     r"(?<![\p{L}\d+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
     r"(?<![\p{L}\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)",
+    r"(?<![\p{L}\d+])\+\d{1,3}[ .\-]\d(?:[ .\-]\d{2,4}){3,4}(?!\d)",
     r"(?<![\p{L}\d(])\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)",
     r"(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",

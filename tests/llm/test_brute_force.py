@@ -277,6 +277,11 @@ def test_clashing_draws_are_drawn_again(spark):
     assert len(set(drawn)) == len(drawn) == 12 and not set(drawn) & {r.normal for r in got}
 
 
+def test_numbers_with_a_one_digit_group(spark):
+    text = pii.pseudonymise(spark.createDataFrame([(1, "call +33 6 12 34 56 78 now; +3 4 12")], "doc_id long, text string"), "k").first().text
+    assert re.fullmatch(r"call \+\d\d \d \d\d \d\d \d\d \d\d now; \+3 4 12", text) and "12 34 56 78" not in text
+
+
 def test_whole_names_and_untitled_mentions(spark):
     rows = [(1, "Mr Juan Carlos Pérez met Herr Ludwig van Beethoven and Mr J. Doe, then Frau Prof. Dr. Weber-Klein."),
             (2, "Mr  Pérez and Mr\nBeethoven; Juan Carlos Pérez said, J. Doe."),
