@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat, context_mixing, decontamination, language, line_quality, mixing, pii, pu_quality, simhash, warc
+from blockwise.llm import (chat, context_mixing, decontamination, language, line_quality, mixing, pii, pu_quality, ranked_search, simhash,
+                           warc)
 from blockwise.llm.common import held_out, table
 
 Q, SQL = {}, {}
@@ -163,3 +164,25 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     training = docs.where(~held_out(F.col("doc_id"), 4, 2))
     return language.identify(docs, language.learn(training))
+
+
+@_query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_ranked_search"] = r"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+sized as (select r, doc_id, len(t)::bigint as n from docs where len(t) > 0),
+total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sized),
+tfs as (select r, term, count(*)::bigint as tf from (select r, unnest(t) as term from docs) group by r, term),
+items as (select row_number() over () as i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from benchmark),
+wanted as (select i, term, count(*)::bigint as times from (select i, unnest(t) as term from items) group by i, term),
+weighed as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from tfs, total group by term),
+scored as (select i, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from wanted join tfs using (term) join weighed using (term) join sized using (r), total group by i, r, doc_id),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked join items using (i) where rank <= 20"""
