@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import (chat, context_mixing, decontamination, language, line_quality, mixing, pii, pu_quality, ranked_search, simhash,
-                           warc)
+from blockwise.llm import (chat, context_mixing, conversation_repair, decontamination, language, line_quality, mixing, pii, pu_quality,
+                           ranked_search, simhash, warc)
 from blockwise.llm.common import held_out, table
 
 Q, SQL = {}, {}
@@ -186,3 +186,58 @@ scored as (select i, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf
   from wanted join tfs using (term) join weighed using (term) join sized using (r), total group by i, r, doc_id),
 ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from scored where score > 0)
 select item_id, rank::int as rank, doc_id, score from ranked join items using (i) where rank <= 20"""
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of each conversation, after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    out = conversation_repair.report(conversation_repair.damage(turns), turns)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+SQL["op13_conversation_repair"] = r"""
+with recursive crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) as v from (select unnest(range(256)) as i))),
+faults as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda s: ascii(s)::bigint),
+      lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295) % 20 as fault
+  from conversations, crc_table),
+damaged as (
+  select coalesce('=' || conv_id::varchar, '') as c, turn, case when fault = 4 then 'user' else role end as role,
+    case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from faults, (values (0), (1)) copies(n) where fault != 0 and (n = 0 or fault = 3)),
+placed as (
+  select *, row_number() over (partition by c order by turn nulls first, role, unhex(sha256(text))) as pos,
+    not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) not in ('.', '!', '?') as unended,
+    case when role[1] in ('s', 'u', 'a') then role[1] else 'o' end as initial from damaged),
+judged as (select *, not blank and row_number() over (partition by c, role, text order by pos) > 1 as duplicate from placed),
+marked as (select *, unended and not blank and not duplicate as truncated,
+  (lead(initial) over (partition by c order by pos)) is not null and initial || lead(initial) over (partition by c order by pos) not in ('su', 'ua', 'au') as clash from judged),
+counted as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, sum(blank::int)::bigint as blank, sum(duplicate::int)::bigint as duplicate,
+    sum(truncated::int)::bigint as truncated, sum(clash::int)::bigint as illegal, max(pos) as n from marked group by c),
+inserts(q, here, letters, price, lines) as (values (0, 0, '', 0, []::varchar[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []),
+  (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (3, 2, 'I', 2, ['user:']),
+  (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:']), (2, 2, 'II', 4, ['assistant:', 'user:']), (3, 3, 'II', 4, ['user:', 'assistant:'])),
+moves(here, needs, goes, letter, price, said) as (values (0, '', 0, 'D', 3, null), (1, '', 1, 'D', 3, null), (2, '', 2, 'D', 3, null), (3, '', 3, 'D', 3, null),
+  (0, '', 2, 'R', 2, 'user'), (1, '', 2, 'R', 2, 'user'), (2, '', 3, 'R', 2, 'assistant'), (3, '', 2, 'R', 2, 'user'),
+  (0, 's', 1, 'K', 0, null), (0, 'u', 2, 'K', 0, null), (1, 'u', 2, 'K', 0, null), (2, 'a', 3, 'K', 0, null), (3, 'u', 2, 'K', 0, null)),
+run as (
+  select c, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit, []::varchar[] as lines from counted
+  union all
+  select r.c, r.i + 1, m.goes, r.cost + n.price + m.price + (m.letter != 'D' and w.truncated)::int, r.audit || n.letters || m.letter,
+    r.lines || n.lines || case when m.letter = 'D' then [] else [coalesce(m.said, w.role) || ':' || w.text] end
+  from run r join marked w on w.c = r.c and w.pos = r.i + 1 join inserts n on n.q = r.q
+    join moves m on m.here = n.here and (m.needs = '' or m.needs = w.initial) and (m.letter = 'D' or not (w.blank or w.duplicate))
+  qualify row_number() over (partition by r.c, m.goes order by r.cost + n.price + m.price + (m.letter != 'D' and w.truncated)::int, r.audit || n.letters || m.letter) = 1),
+ended as (
+  select r.c, r.cost + n.price as cost, r.audit || n.letters as audit, r.lines || n.lines as lines
+  from run r join counted using (c) join inserts n on n.q = r.q where r.i = counted.n and n.here in (0, 3)
+  qualify row_number() over (partition by r.c order by r.cost + n.price, r.audit || n.letters) = 1)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id, coalesce('=' || conv_id::varchar, '') as c from conversations) left join counted using (c) left join ended using (c)"""
