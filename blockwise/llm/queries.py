@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import (chat, context_mixing, conversation_repair, decontamination, language, line_quality, mixing, pii, pu_quality,
+from blockwise.llm import (chat, context_mixing, conversation_repair, decontamination, language, licenses, line_quality, mixing, pii, pu_quality,
                            ranked_search, simhash, warc)
 from blockwise.llm.common import held_out, table
 
@@ -241,3 +241,31 @@ ended as (
 select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
   coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
 from (select distinct conv_id, coalesce('=' || conv_id::varchar, '') as c from conversations) left join counted using (c) left join ended using (c)"""
+
+
+@_query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and notices in each document."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_NOTICE_ROWS = ", ".join(f"({k}, '{t.label}', {t.length}, {len(t.tokens)}, {t.needed}, '{w}')"
+                         for k, t in enumerate(licenses.templates(licenses.NOTICES)) for w in sorted(t.tokens))
+
+SQL["op11_license_scan"] = rf"""
+with notice(k, label, width, n, needed, w) as (values {_NOTICE_ROWS}),
+doc as (select row_number() over () as r, doc_id, {_TOKENS} as words from documents),
+spot as (select r, unnest(words) as w, unnest(range(len(words))) as p from doc),
+following as (select r, p, w, lead(w, 1) over o as w1, lead(w, 2) over o as w2 from spot window o as (partition by r order by p)),
+base as (select r, p, case when w = 'cc' then 'cc-by' when w = 'general' then 'gpl' else 'reserved' end as label from following
+  where (w = 'cc' and w1 = 'by') or (w = 'general' and w1 = 'public' and w2 = 'license') or (w = 'all' and w1 = 'rights' and w2 = 'reserved')),
+phrased as (select r, count(*) as n_base, min(p) as first_word, max(p) as last_word, list(distinct label) as labels from base group by r),
+met as (select r, k, label, count(distinct w) / n::double as share from (
+    select spot.r, k, label, n, needed, w, unnest([p // width, p // width - 1]) as block from spot join notice using (w)) where block >= 0
+  group by r, k, label, n, needed, block having count(distinct w) >= needed),
+named as (select r, list(distinct label) as labels, max(share) as score from met group by r)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  array_to_string(list_sort(coalesce(phrased.labels, [])), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(phrased.labels, []) || coalesce(named.labels, []))), ',') as labels, coalesce(score, 0) as score
+from doc left join phrased using (r) left join named using (r)"""
