@@ -33,17 +33,33 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="blockwise-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    # the setting itself cannot change while a session runs
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blockwise-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-# what an application has written with :func:`stage` and not removed
+# what an application has written and not removed, and how often it has removed all
 _STAGED: dict[str, list[str]] = {}
+_CLEARED: dict[str, int] = {}
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, which :func:`clear_staged` removes."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleared(spark: SparkSession) -> int:
+    """How often this application has removed its folders: a cache of staged frames holds only while this stays."""
+    return _CLEARED.get(spark.sparkContext.applicationId, 0)
 
 
 def clear_staged(spark: SparkSession) -> int:
-    """Removes everything this application has staged; call it when the results that read from it are written."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    """Removes every folder this application has got from :func:`new_folder`; call it when the results that read from them are written."""
+    app = spark.sparkContext.applicationId
+    paths = _STAGED.pop(app, [])
+    _CLEARED[app] = cleared(spark) + 1
     jvm = spark._jvm
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,8 +73,6 @@ def stage(df: DataFrame) -> DataFrame:
     For results that several later steps need: they are computed once, survive the loss of executors, and
     being parquet they can be read by column and filtered in the scan.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/blockwise-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_folder(df.sparkSession, "blockwise")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

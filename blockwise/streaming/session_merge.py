@@ -1,19 +1,33 @@
-"""Sessions that arrive over time: the max-wins merge kept up to date.
+"""Sessions that arrive over time: the max-wins merge and its log of disagreements, kept up to date.
 
-The merge is a maximum, so each micro-batch is reduced to its own winners and written; nothing is held in
-state, no read is ever too late, and a batch that is run again overwrites its own folder.
+Reads of a session's item come in any order within the allowed lateness, and may come again.  The state of an open item is the
+read kept so far and the reads that the watermark has not passed; once it has, they are settled in the order of their arrival times,
+so that the log tells what a batch over the whole session would tell.  A state ends when the watermark is ``gap`` past its last read.
+
+No micro-batch reads what an earlier one wrote: rows are appended to one table by Spark's file sink, which lists each file once
+also where a batch is run again.
+
+Defined results: a read whose arrival the watermark has passed is dropped (Spark counts it as late); a read that comes again, with the
+same ``seq``, counts once; a row without a session is a heartbeat, which only moves the watermark; other rows with a null are left out; a session that goes on after
+more than ``gap`` is logged as a new one, while its winner is still the best of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from blockwise.operators.merges import max_wins_conflicts
-
-READ_SCHEMA = "session_id bigint, item_id string, seq bigint, qty bigint, conf double, unit_value bigint"
+READ_SCHEMA = "session_id bigint, item_id string, seq bigint, qty bigint, conf double, unit_value bigint, arrived timestamp"
 KEYS = ["session_id", "item_id"]
+OUT = "kind string, session_id bigint, item_id string, seq bigint, qty bigint, conf double, unit_value bigint, previous_qty bigint, chosen_qty bigint"
+#: The kept read (null before the first), the last arrival, and the columns of the reads that wait.
+STATE = ("seq bigint, qty bigint, conf double, unit_value bigint, last bigint, "
+         "w_us array<bigint>, w_seq array<bigint>, w_qty array<bigint>, w_conf array<double>, w_unit array<bigint>")
+WINNER, CONFLICT = "winner", "conflict"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -21,6 +35,65 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     return spark.readStream.schema(READ_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _settle(gap_us: int) -> Callable:
+    """What a state does with new reads, or with a watermark that has moved on."""
+    def settle(key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        session, item = key
+        if pd.isna(session):
+            return
+        kept, last, waiting = None, None, [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8", "i8")]
+        if state.exists:
+            seq, qty, conf, unit, last, *lists = state.get
+            kept = None if pd.isna(seq) else (int(qty), conf, -int(seq), int(unit))
+            waiting = [np.array(x, w.dtype) for x, w in zip(lists, waiting)]
+        new = [[f[c].to_numpy() for c in ("us", "seq", "qty", "conf", "unit_value")] for f in frames]
+        us, seq, qty, conf, unit = (np.concatenate([w, *[n[i] for n in new]]).astype(w.dtype) for i, w in enumerate(waiting))
+        first = np.unique(seq, return_index=True)[1]
+        order = first[np.lexsort((seq[first], us[first]))]
+        us, seq, qty, conf, unit = (x[order] for x in (us, seq, qty, conf, unit))
+        if len(us):
+            last = max(last or 0, int(us[-1]))
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = int(np.searchsorted(us, passed, "right"))
+        if n:
+            start = kept[0] if kept else qty[0]
+            previous = np.maximum.accumulate(np.concatenate([[start], qty[:n - 1]]))
+            previous[1:] = np.maximum(previous[1:], start)
+            best = np.lexsort((seq[:n], -conf[:n], -qty[:n]))[0]
+            offered = (int(qty[best]), float(conf[best]), -int(seq[best]), int(unit[best]))
+            better = kept is None or offered[:3] > kept[:3]
+            kept = offered if better else kept
+            at = np.concatenate([np.flatnonzero(previous != qty[:n]), [best] if better else []]).astype("i8")
+            kinds = [CONFLICT] * (len(at) - better) + [WINNER] * better
+            yield pd.DataFrame({"kind": kinds, "session_id": session, "item_id": item, "seq": seq[at], "qty": qty[at], "conf": conf[at], "unit_value": unit[at],
+                                "previous_qty": previous[at], "chosen_qty": np.maximum(previous, qty[:n])[at]})
+        if n == len(us) and passed > last + gap_us:
+            state.remove()
+            return
+        read = (-kept[2], kept[0], kept[1], kept[3]) if kept else (None, None, None, None)
+        state.update((*read, last, *[x[n:].tolist() for x in (us, seq, qty, conf, unit)]))
+        wake = int(us[n]) if n < len(us) else last + gap_us
+        state.setTimeoutTimestamp(max(-(-wake // 1000), state.getCurrentWatermarkMs() + 1))
+    return settle
+
+
+def merge(reads: DataFrame, late: str = "1 hour", gap_seconds: int = 30 * 86400) -> DataFrame:
+    """Rows of both kinds as they are settled: a winner whenever a better read is kept, and every disagreement once."""
+    names = [*KEYS, "seq", "qty", "conf", "unit_value"]
+    whole = reads.where(F.col("session_id").isNull() | ~F.greatest(*[F.col(c).isNull() for c in (*names, "arrived")]))
+    timed = whole.select(*names, "arrived").withWatermark("arrived", late).withColumn("us", F.unix_micros("arrived"))
+    return timed.groupBy(*KEYS).applyInPandasWithState(_settle(gap_seconds * 1_000_000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run(reads: DataFrame, out: str, checkpoint: str, late: str = "1 hour", gap_seconds: int = 30 * 86400) -> StreamingQuery:
+    """Starts the merge over what is available; a later run continues from the checkpoint."""
+    return (merge(reads, late, gap_seconds).writeStream.format("parquet").partitionBy("kind").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def _best() -> Column:
     return F.max(F.struct(F.col("qty"), F.col("conf"), (-F.col("seq")).alias("neg_seq"), F.col("unit_value")))
 
@@ -31,30 +104,12 @@ def winners(reads: DataFrame) -> DataFrame:
             .select(*KEYS, "b.qty", "b.conf", (-F.col("b.neg_seq")).alias("seq"), "b.unit_value"))
 
 
-def _write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    spark = batch.sparkSession
-    winners(batch).write.mode("overwrite").parquet(f"{out}/winners/batch={batch_id}")
-    reads = batch.select(*KEYS, "seq", "qty")
-    if batch_id > 0:
-        # what was kept before stands in front of the batch's own reads
-        before = winners(spark.read.parquet(f"{out}/winners").filter(F.col("batch") < batch_id))
-        touched = before.join(reads.select(*KEYS).distinct(), KEYS, "left_semi")
-        reads = reads.unionByName(touched.select(*KEYS, F.lit(-1).cast("bigint").alias("seq"), "qty"))
-    max_wins_conflicts(reads, KEYS, "qty", "seq").write.mode("overwrite").parquet(f"{out}/conflicts/batch={batch_id}")
-
-
-def run(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Starts the merge over what is available; a later run continues from the checkpoint."""
-    return (reads.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda batch, batch_id: _write_batch(batch, batch_id, out))
-            .trigger(availableNow=True).start())
-
-
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The winners over all batches so far."""
-    return winners(spark.read.parquet(f"{out}/winners"))
+    """The winners among all settled reads."""
+    return winners(spark.read.schema(OUT).parquet(out).where(F.col("kind") == WINNER))
 
 
 def conflict_log(spark: SparkSession, out: str) -> DataFrame:
-    """Every disagreement logged so far, with the batch it came in."""
-    return spark.read.parquet(f"{out}/conflicts")
+    """Every settled disagreement."""
+    log = spark.read.schema(OUT).parquet(out).where(F.col("kind") == CONFLICT)
+    return log.select(*KEYS, "seq", "previous_qty", F.col("qty").alias("new_qty"), "chosen_qty")

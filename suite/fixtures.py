@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwise.session import stage
+from blockwise.session import cleared, stage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -52,7 +52,7 @@ t as (select k, 1 ord, case when k%5=0 then '(1D: ' else 'ID: ' end || cast(1000
 select k page_id, ord, txt, (50+(k*37+ord*11)%50)/100 conf, x x0, y y0, x+80 x2, y+20 y2 from t
 """
 
-# one page per ten orders; the figures come from all of them
+# one page per ten orders; the figures come from all of them, and the names from all parts, dealt out in turn
 REPORT = """
 with o as (select cast(floor(o_orderkey/10) as bigint)*10 k, cast(floor(o_orderkey/10) as bigint) j,
              cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) price from orders group by 1, 2),
@@ -70,10 +70,10 @@ t as (select k, j, 10+side*100+m*2 ord, lab txt, 100+side*500 x, 400+m*50 y from
  union all select k, j, 4, '2024/0' || cast(j%9+1 as string) || '/1' || cast(j%10 as string), 100, 50 from o
  union all select k, j, 5, 'X: ' || cast(j%1200 as string) || ' Y: ' || cast((j*3)%1200 as string), 300, 50 from o
  union all select k, j, 6+side, case when j%6=5 then 'Lv. ' || cast(j%60+1 as string) else 'Lv. ' || cast(j%60+1 as string) || ' ' || p_name end, 150+side*500, 200
-        from s join part on p_partkey = (j*5+side)%(select count(*) from part)
+        from s join part on p_partkey = (j*2+side)%(select count(*) from part)
  union all select k, j, 8, case when j%7=0 then 'Lv. ' || cast(j%40 as string) || ' Barbarian' else 'Rival' end, 620, 150 from o
  union all select k, j, 9, '-' || cast(j%90 as string) || ',' || cast(j%10 as string) || '%', 700, 250 from o
- union all select k, j, 200+side, p_name, 250+side*500, 201 from s join part on p_partkey = (j*5+side)%(select count(*) from part)
+ union all select k, j, 200+side, p_name, 250+side*500, 201 from s join part on p_partkey = (j*2+side)%(select count(*) from part)
  union all select k, j, 202, 'Sort by Category', 20, 960 from o)
 select k page_id, ord, txt, (50+(j*37+ord*11)%50)/100 conf, x x0, y y0, x+90 x2, y+20 y2, j%3 <> 0 isolated from t
 """
@@ -81,7 +81,7 @@ select k page_id, ord, txt, (50+(j*37+ord*11)%50)/100 conf, x x0, y y0, x+90 x2,
 # repeated reads of one item in one session, ordered
 READS = """
 select user_id session_id, event_type item_id, event_id seq, cast(floor(value) as bigint) qty,
-       cast((event_id*37)%50+50 as double) conf, 1+user_id%7 unit_value from events
+       cast((event_id*37)%50+50 as double) conf, 1+user_id%7 unit_value, cast(ts as timestamp) arrived from events
 """
 
 _GRID_SOURCE = """
@@ -163,14 +163,14 @@ def sql(name: str, dialect: str) -> str:
     return text
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table, or a derived view that is written once per session and read back as a table."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, cleared(spark), sf_dir, name)
     if key not in _STAGED:
         text = sql(name, "spark")
         for table in TABLES:

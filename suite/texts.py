@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from blockwise.functions.text import normalize_accents
@@ -11,7 +9,7 @@ from blockwise.operators.classify import color_name, dominant_category
 from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_dictionary_join
 from blockwise.operators.rollups import full_text, session_text
 from blockwise.plans import flows
-from blockwise.session import shared_folder
+from blockwise.session import new_folder
 from blockwise.sources import dictionaries as D
 from blockwise.sources import replies as R
 from blockwise.streaming import session_merge
@@ -75,7 +73,7 @@ def _(spark, sf):
     ok = F.col("page_id") % 10 != 0
     text = F.to_json(F.struct(F.col("page_id").cast("string").alias("page_id"), ok.alias("success"), F.when(ok, bare).alias("blocks")))
     cut = F.when(F.col("page_id") % 13 == 0, F.concat(F.substring_index(text, ",", 1), F.lit(', "succ'))).otherwise(text)
-    folder = f"{shared_folder(spark).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "replies")
     pages.select(cut.alias("value")).write.text(folder)
     envelopes, _ = flows.profile_flow(R.read_replies(spark, folder), 0.5)
     schema = "success boolean, message string, data struct<id:bigint,name:string,alliance_tag:string,alliance_name:string,power:bigint,kill_points:bigint,civilization:string>, warnings array<string>"
@@ -173,10 +171,30 @@ def _(spark, sf):
     return session_text(full_text(FX.load(spark, sf, "titled"), ["session_id", "page_seq"], " | "))
 
 
+def _delivered(spark, sf):
+    """The stream's output.  Reads are delivered in slices of three days; every seventh comes a slice late, every tenth once more a
+    slice later, and after the last slice a heartbeat ends all sessions."""
+    folder, day = new_folder(spark, "stream"), 86_400
+    reads = FX.load(spark, sf, "reads").withColumn("slice", F.floor(F.unix_seconds("arrived") / (3 * day)))
+    late, again = F.col("seq") % 7 == 0, F.col("seq") % 10 == 0
+    times = F.concat(F.array(F.col("slice") + late.cast("int")), F.when(again, F.array(F.col("slice") + 1)).otherwise(F.array()))
+    sent = reads.withColumn("slice", F.explode(times))
+    first, last, end = sent.agg(F.min("slice"), F.max("slice"), F.max("arrived")).first()
+    for slice_ in range(first, last + 1):
+        sent.where(F.col("slice") == slice_).drop("slice").write.mode("append").parquet(f"{folder}/in")
+    beat = spark.range(1).select(*[F.lit(None).cast(reads.schema[c].dataType).alias(c) for c in ("session_id", "item_id", "seq", "qty", "conf", "unit_value")],
+                                 (F.lit(end) + F.expr("interval 60 days")).alias("arrived"))
+    beat.write.mode("append").parquet(f"{folder}/in")
+    session_merge.run(session_merge.read_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", "7 days").awaitTermination()
+    return f"{folder}/out"
+
+
 @query("stream_session_merge", f"with fx as ({FX.sql('reads', 'duckdb')}) select session_id, item_id, qty, conf, seq, unit_value from fx qualify row_number() over (partition by session_id, item_id order by qty desc, conf desc, seq) = 1")
 def _(spark, sf):
-    # the reads are written as several files and arrive in several batches
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    FX.load(spark, sf, "reads").repartitionByRange(8, "seq").write.parquet(f"{folder}/in")
-    session_merge.run(session_merge.read_stream(spark, f"{folder}/in", 2), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return session_merge.current(spark, f"{folder}/out")
+    return session_merge.current(spark, _delivered(spark, sf))
+
+
+@query("stream_conflict_log", f"""with fx as ({FX.sql('reads', 'duckdb')}), w as (select *, max(qty) over (partition by session_id, item_id order by arrived, seq rows between unbounded preceding and 1 preceding) previous_qty from fx)
+  select session_id, item_id, seq, previous_qty, qty new_qty, greatest(previous_qty, qty) chosen_qty from w where previous_qty <> qty""")
+def _(spark, sf):
+    return session_merge.conflict_log(spark, _delivered(spark, sf))
