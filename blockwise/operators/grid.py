@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwise.functions.geometry import distance
 from blockwise.functions.numbers import digits_only_int
-from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
 # Search limits in units of the page's median anchor height.
@@ -15,9 +16,6 @@ ALIGN = 2.0
 RADIUS = 5.5
 MAX_QUANTITY_TEXT = 9
 
-# Pages with more pairs than this are matched in rounds instead of one fold.
-FOLD_LIMIT = 4096
-
 
 def value_color_lookup(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Anchors: blocks whose digits are a known unit value and whose colour that value allows."""
@@ -47,25 +45,28 @@ def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / F.when(size > 0, size)).cast("bigint")
 
 
-def grid_candidates(anchors: DataFrame, quantities: DataFrame, scale: DataFrame) -> DataFrame:
+def grid_candidates(anchors: DataFrame, quantities: DataFrame, scale: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Anchor and quantity pairs close enough to belong together.
 
-    Both sides meet on cells as large as the search window, so only neighbours are compared.
+    Both sides meet on cells as large as the search window, so only neighbours are compared.  With ``limits``, an anchor's
+    ``blocked_from``, a pair has to be in sight as well, and no cell below that height is searched.
     """
-    m = F.col("m")
-    a = (anchors.join(scale, "page_id")
-         .select("page_id", F.col("ord").alias("anchor_ord"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "m",
-                 _cell(F.col("cx"), m * ALIGN).alias("gx"), _cell(F.col("cy"), m * RADIUS).alias("gy"))
+    m, blocked = F.col("m"), F.col("blocked_from")
+    a = anchors.join(scale, "page_id").withColumnRenamed("ord", "anchor_ord")
+    a = a.withColumn("blocked_from", F.lit(None).cast("double")) if limits is None else a.join(limits, ["page_id", "anchor_ord"], "left")
+    own, below = _cell(F.col("cy"), m * RADIUS), _cell(blocked, m * RADIUS)
+    a = (a.select("page_id", "anchor_ord", F.col("cx").alias("ax"), F.col("cy").alias("ay"), "m", "blocked_from",
+                  _cell(F.col("cx"), m * ALIGN).alias("gx"), F.sequence(own, F.least(own + 1, below)).alias("gy"))
          .withColumn("gx", F.explode(F.array(F.col("gx") - 1, F.col("gx"), F.col("gx") + 1)))
-         .withColumn("gy", F.explode(F.array(F.col("gy"), F.col("gy") + 1))))
+         .withColumn("gy", F.explode("gy")))
     q = (quantities.join(scale, "page_id")
          .select("page_id", F.col("ord").alias("qty_ord"), F.col("cx").alias("qx"), F.col("cy").alias("qy"), "qty",
                  _cell(F.col("cx"), m * ALIGN).alias("gx"), _cell(F.col("cy"), m * RADIUS).alias("gy")))
     gap = distance(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"))
     return (a.join(q, ["page_id", "gx", "gy"]).withColumn("dist", gap)
             .filter((F.col("qy") > F.col("ay")) & (F.abs(F.col("qx") - F.col("ax")) <= m * ALIGN)
-                    & (F.col("dist") < m * RADIUS))
-            .select("page_id", "anchor_ord", "qty_ord", "qty", "ax", "ay", "qy", "dist"))
+                    & (F.col("dist") < m * RADIUS) & (blocked.isNull() | (blocked >= F.col("qy"))))
+            .select("page_id", "anchor_ord", "qty_ord", "qty", "ax", "ay", "qx", "qy", "m", "dist"))
 
 
 def next_anchor_below(anchors: DataFrame, scale: DataFrame) -> DataFrame:
@@ -84,62 +85,60 @@ def next_anchor_below(anchors: DataFrame, scale: DataFrame) -> DataFrame:
             .groupBy("page_id", "anchor_ord").agg(F.min("cy").alias("blocked_from")))
 
 
-def line_of_sight(pairs: DataFrame, anchors: DataFrame, scale: DataFrame) -> DataFrame:
-    """Pairs without another anchor of the same column strictly between."""
-    limits = next_anchor_below(anchors, scale)
-    return (pairs.join(limits, ["page_id", "anchor_ord"], "left")
-            .filter(F.col("blocked_from").isNull() | (F.col("blocked_from") >= F.col("qy"))).drop("blocked_from"))
-
+def line_of_sight(anchors: DataFrame, quantities: DataFrame, scale: DataFrame) -> DataFrame:
+    """Candidate pairs without another anchor of the same column strictly between."""
+    return grid_candidates(anchors, quantities, scale, next_anchor_below(anchors, scale))
 
-def _fold(pairs: DataFrame) -> DataFrame:
-    """Greedy matching of pages with few pairs: one ordered pass per page."""
-    row = "struct<dist:double,anchor_ord:int,qty_ord:int>"
-    state = F.struct(F.array().cast("array<int>").alias("a"), F.array().cast("array<int>").alias("q"),
-                     F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.array_contains(acc["a"], x["anchor_ord"]) | F.array_contains(acc["q"], x["qty_ord"])
-        return F.when(taken, acc).otherwise(F.struct(
-            F.array_append(acc["a"], x["anchor_ord"]).alias("a"),
-            F.array_append(acc["q"], x["qty_ord"]).alias("q"), F.array_append(acc["out"], x).alias("out")))
-    ordered = F.array_sort(F.collect_list(F.struct("dist", "anchor_ord", "qty_ord")))
-    matched = pairs.groupBy("page_id").agg(ordered.alias("p"))
-    return matched.select("page_id", F.inline(F.aggregate("p", state, step)["out"]))
+def page_parts(pairs: DataFrame) -> DataFrame:
+    """Adds ``column`` and ``part``: stretches of a page that no pair crosses, so that each can be matched on its own.
 
-
-def _rounds(pairs: DataFrame) -> DataFrame:
-    """Greedy matching of any page: repeatedly take the pairs that are first for both their ends.
-
-    Under a strict order this yields the same pairs as going through all of them one by one.
+    A page is cut where no pair spans the border between two cells, first across, then each of the columns down.  Only the distinct
+    cells of a page are put in order; its pairs stay spread.
     """
-    order = F.struct("dist", "anchor_ord", "qty_ord")
-    left, matched = pairs.select("page_id", "dist", "anchor_ord", "qty_ord"), None
-    while True:
-        left = stage(left)
-        by_anchor = left.groupBy("page_id", "anchor_ord").agg(F.min(order).alias("best_a"))
-        by_qty = left.groupBy("page_id", "qty_ord").agg(F.min(order).alias("best_q"))
-        taken = stage(by_anchor.join(by_qty, (by_anchor["best_a"] == by_qty["best_q"]) & (by_anchor["page_id"] == by_qty["page_id"]))
-                            .select(by_anchor["page_id"], "best_a.*"))
-        if taken.isEmpty():
-            return matched if matched is not None else taken
-        matched = taken if matched is None else matched.unionByName(taken)
-        left = (left.join(taken.select("page_id", "anchor_ord"), ["page_id", "anchor_ord"], "left_anti")
-                .join(taken.select("page_id", "qty_ord"), ["page_id", "qty_ord"], "left_anti"))
-
-
-def greedy_matching(pairs: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """One-to-one pairs taken in ascending (dist, anchor_ord, qty_ord) order.
-
-    Pages of ordinary size are folded in one task each; a page too large for that is matched in rounds of
-    joins and minima that spread over the cluster.
+    def cut(df: DataFrame, keys: Sequence[str], low: Column, high: Column, name: str) -> DataFrame:
+        df = df.withColumns({"_low": low, "_high": high})
+        cells = (df.select(*keys, "_high", F.explode(F.sequence("_low", "_high")).alias("_cell"))
+                 .groupBy(*keys, "_cell").agg(F.max(F.col("_cell") < F.col("_high")).alias("_on")))
+        order = Window.partitionBy(*keys).orderBy("_cell")
+        joined = F.lag("_on").over(order) & (F.lag("_cell").over(order) == F.col("_cell") - 1)
+        numbered = cells.withColumn("_new", (~F.coalesce(joined, F.lit(False))).cast("int"))
+        numbered = numbered.select(*keys, F.col("_cell").alias("_low"), F.sum("_new").over(order).alias(name))
+        return df.join(numbered, [*keys, "_low"]).drop("_low", "_high")
+
+    m = F.col("m")
+    across = cut(pairs, ["page_id"], _cell(F.least("ax", "qx"), m * ALIGN), _cell(F.greatest("ax", "qx"), m * ALIGN), "column")
+    return cut(across, ["page_id", "column"], _cell(F.col("ay"), m * RADIUS), _cell(F.col("qy"), m * RADIUS), "part")
+
+
+def _take(keys: int) -> Callable:
+    """Takes each pair whose ends are both free; a group's pairs come nearest first."""
+    def run(batches):
+        group, anchors, quantities = None, set(), set()
+        for batch in batches:
+            *key, a_ords, q_ords = (batch.column(i).to_pylist() for i in (*range(keys), batch.num_columns - 2, batch.num_columns - 1))
+            taken = []
+            for i, now in enumerate(zip(*key)):
+                if now != group:
+                    group, anchors, quantities = now, set(), set()
+                a, q = a_ords[i], q_ords[i]
+                if a not in anchors and q not in quantities:
+                    anchors.add(a)
+                    quantities.add(q)
+                    taken.append(i)
+            yield batch.take(taken)
+    return run
+
+
+def greedy_matching(pairs: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """One-to-one pairs taken in ascending (dist, anchor_ord, qty_ord) order within the groups that ``keys`` name.
+
+    A group passes through a task as a sorted stream; what is held are the ends taken so far.
     """
-    pairs = stage(pairs.select("page_id", F.col("dist"), F.col("anchor_ord").cast("int"), F.col("qty_ord").cast("int")))
-    large = pairs.groupBy("page_id").count().filter(F.col("count") > fold_limit).select("page_id")
-    if large.isEmpty():
-        return _fold(pairs)
-    large = stage(large)
-    small = pairs.join(large, "page_id", "left_anti")
-    return _fold(small).unionByName(_rounds(pairs.join(large, "page_id", "left_semi")))
+    ordered = pairs.select(*keys, F.col("dist").cast("double").alias("dist"), F.col("anchor_ord").cast("int").alias("anchor_ord"),
+                           F.col("qty_ord").cast("int").alias("qty_ord"))
+    stream = ordered.repartition(*keys).sortWithinPartitions(*keys, "dist", "anchor_ord", "qty_ord")
+    return stream.mapInArrow(_take(len(keys)), ordered.schema).select("page_id", "dist", "anchor_ord", "qty_ord")
 
 
 def matched_items(anchors: DataFrame, quantities: DataFrame, matches: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
 """Order-dependent work over groups of any size.
 
 A group is cut into buckets of its order column.  Each bucket is summarised on its own, summaries are
-combined in order, level by level, and what stood before a bucket is handed back to its rows.  A task holds one
-bucket of reads or of summaries, whatever share of the table a group has.
+taken in order, and what stood before a bucket is handed back to its rows.  A row holds one bucket of reads or
+its summary, whatever share of the table a group has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Keys = Sequence[str]
 
@@ -104,63 +105,76 @@ def _summarise_reads(reads: Column, margin: float) -> Column:
     return F.aggregate(F.reverse(reads), F.array().cast(SUMMARY), prepend)
 
 
-def _compose(summaries: Column, margin: float) -> Column:
-    """Summaries of consecutive runs, combined into that of the whole run."""
-    def prepend(acc: Column, s: Column) -> Column:
-        through = F.transform(s["summary"], lambda e: _entry(e, _after(e["out"], acc, margin)))
-        return _prune(F.concat(through, acc))
-    return F.aggregate(F.reverse(summaries), F.array().cast(SUMMARY), prepend)
+def _scan(keys: int, margin: float, winners: bool) -> Callable:
+    """Takes the buckets of each group in order, holding one read: the one kept so far.
+
+    Gives a row for each bucket, with the read kept before it, or one for each group, with the read kept at its end.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        names, group, kept, ready = None, None, None, []
+
+        def replaced(new, old) -> bool:
+            gap = new["conf"] - old["conf"]
+            if new["qty"] == old["qty"]:
+                return gap > 0
+            return new["qty"] > old["qty"] if abs(gap) <= margin else gap > margin
+
+        def rows():
+            return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in ready], t) for i, (n, t) in enumerate(names)})
+
+        for batch in batches:
+            fields = batch.schema
+            names = [*[(fields.names[i], fields.types[i]) for i in range(keys)], ("b", pa.int64()), ("seq", pa.int64()), ("qty", pa.int64()), ("conf", pa.float64())]
+            columns = [batch.column(i).to_pylist() for i in range(keys + 2)]
+            for *key, b, summary in zip(*columns):
+                if key != group:
+                    if winners and group is not None:
+                        ready.append((*group, None, kept["seq"], kept["qty"], kept["conf"]))
+                    group, kept = key, None
+                if not winners:
+                    ready.append((*key, b, *((kept["seq"], kept["qty"], kept["conf"]) if kept else (None, None, None))))
+                kept = summary[0]["out"] if kept is None else next((e["out"] for e in summary if replaced(e, kept)), kept)
+            if ready:
+                yield rows()
+                ready = []
+        if winners and group is not None:
+            ready.append((*group, None, kept["seq"], kept["qty"], kept["conf"]))
+            yield rows()
+    return run
 
 
 class ConflictFold:
     """Ordered merge of repeated reads, for groups of any size.
 
-    ``seq`` must be unique within a group; reads are numbered densely first.  ``width`` bounds what a row gathers: that
-    many reads, then summaries of that many buckets, on ``LEVELS`` levels, which is enough for width ** (LEVELS + 1) reads.
-    A summary keeps only reads that no earlier one forestalls, so it is long only where quantities keep rising while
-    confidence keeps falling.
+    ``seq`` must be unique within a group, so a bucket of ``width`` numbers gathers at most that many reads, and its summary has at
+    most that many entries.  Buckets are summarised in tasks of their own; then the summaries of a group, not its reads, pass through
+    one task as a sorted stream that holds a single read.  For the log, what was kept before a bucket is joined back to it.
     """
 
-    LEVELS = 3
-
     def __init__(self, reads: DataFrame, keys: Keys, seq: str, qty: str, conf: str,
-                 margin: float = 5.0, width: int = 512):
+                 margin: float = 5.0, width: int = 128):
         self.keys, self.margin = list(keys), margin
         one = F.struct(F.col(seq).cast("bigint").alias("seq"), F.col(qty).cast("bigint").alias("qty"),
                        F.col(conf).cast("double").alias("conf"))
-        numbered = sequence_number(reads.select(*keys, F.col(seq).cast("bigint").alias("_seq"), one.alias("r")), keys, "_seq", "_n")
-        self.buckets = numbered.groupBy(*keys, _bucket("_n", width).alias("b")).agg(F.array_sort(F.collect_list("r")).alias("reads"))
-        level = self.buckets.select(*keys, "b", _prune(_summarise_reads(F.col("reads"), margin)).alias("summary"))
-        self.levels = []
-        for _ in range(self.LEVELS - 1):
-            parents = (level.groupBy(*keys, _bucket("b", width).alias("up"))
-                       .agg(F.array_sort(F.collect_list(F.struct("b", "summary"))).alias("parts")))
-            self.levels.append(parents)
-            level = parents.select(*keys, F.col("up").alias("b"), _compose(F.col("parts"), margin).alias("summary"))
-        self.groups = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "summary"))).alias("parts"))
+        self.buckets = (reads.select(*keys, _bucket(seq, width).alias("b"), one.alias("r"))
+                        .groupBy(*keys, "b").agg(F.array_sort(F.collect_list("r")).alias("reads")))
+
+    def _scanned(self, winners: bool) -> DataFrame:
+        summaries = self.buckets.select(*self.keys, "b", _prune(_summarise_reads(F.col("reads"), self.margin)).alias("summary"))
+        schema = T.StructType([*[summaries.schema[k] for k in self.keys], *T.StructType.fromDDL("b bigint, seq bigint, qty bigint, conf double")])
+        stream = summaries.repartition(*self.keys).sortWithinPartitions(*self.keys, "b")
+        return stream.mapInArrow(_scan(len(self.keys), self.margin, winners), schema)
 
     def winners(self) -> DataFrame:
         """One row per group: the read kept at the end."""
-        final = F.aggregate(F.col("parts"), F.lit(None).cast(READ), lambda kept, s: _after(kept, s["summary"], self.margin))
-        return self.groups.select(*self.keys, final.alias("k")).select(*self.keys, "k.seq", "k.qty", "k.conf")
-
-    def _handed_down(self, parents: DataFrame, carried: str | None) -> DataFrame:
-        """What each part of a parent starts from."""
-        start = F.col(carried) if carried else F.lit(None).cast(READ)
-        state = F.struct(start.alias("kept"), F.array().cast(f"array<struct<b:bigint,kept:{READ}>>").alias("log"))
-
-        def step(acc: Column, s: Column) -> Column:
-            return F.struct(_after(acc["kept"], s["summary"], self.margin).alias("kept"),
-                            F.array_append(acc["log"], F.struct(s["b"].alias("b"), acc["kept"].alias("kept"))).alias("log"))
-        folded = F.aggregate(F.col("parts"), state, step)["log"]
-        return parents.select(*self.keys, F.inline(folded).alias("b", "carried"))
+        return self._scanned(True).drop("b")
 
     def conflicts(self) -> DataFrame:
         """One row per read that disagreed with what was kept: kept and new read, and the choice."""
-        down = self._handed_down(self.groups, None)
-        for parents in reversed(self.levels):
-            down = self._handed_down(parents.join(down.withColumnRenamed("b", "up"), [*self.keys, "up"]), "carried")
-        rows = self.buckets.join(down, [*self.keys, "b"])
+        before = self._scanned(False).select(*self.keys, "b", F.when(F.col("seq").isNotNull(), F.struct("seq", "qty", "conf")).alias("carried"))
+        rows = self.buckets.join(before, [*self.keys, "b"])
         log_type = f"array<struct<new:{READ},kept:{READ},chosen:bigint>>"
         state = F.struct(F.col("carried").alias("kept"), F.array().cast(log_type).alias("log"))
 

@@ -22,13 +22,16 @@ class GridPage:
         self.anchors = stage(G.value_color_lookup(prepared, vocabulary))
         self.scale = G.upper_median_height(self.anchors)
         self.quantities = G.quantity_blocks(prepared, self.anchors)
-        self.candidates = G.grid_candidates(self.anchors, self.quantities, self.scale)
+
+    def candidates(self) -> DataFrame:
+        return G.grid_candidates(self.anchors, self.quantities, self.scale)
 
     def visible(self) -> DataFrame:
-        return G.line_of_sight(self.candidates, self.anchors, self.scale)
+        return G.line_of_sight(self.anchors, self.quantities, self.scale)
 
     def matches(self) -> DataFrame:
-        return G.greedy_matching(self.visible())
+        # written once: the cells of the pairs are counted before the pairs are dealt out
+        return G.greedy_matching(G.page_parts(stage(self.visible())), ["page_id", "column", "part"])
 
     def items(self) -> DataFrame:
         """Matched items and pending orphans in page order (dist, anchor_ord)."""

@@ -151,7 +151,7 @@ def _(spark, sf):
 
 @query("grid_candidates", f"with {GRID_CTES} select page_id, anchor_ord, qty_ord, qty, round(dist, 9) dist from cand")
 def _(spark, sf):
-    return page(spark, sf).candidates.select("page_id", "anchor_ord", "qty_ord", "qty", F.round("dist", 9).alias("dist"))
+    return page(spark, sf).candidates().select("page_id", "anchor_ord", "qty_ord", "qty", F.round("dist", 9).alias("dist"))
 
 
 @query("line_of_sight_anti_join", f"with {GRID_CTES} select page_id, anchor_ord, qty_ord from vis")

@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ from blockwise.operators.rollups import full_text
 from blockwise.plans import item_lists
 from blockwise.session import clear_staged, stage
 from blockwise.sources import dictionaries, records, replies
-from blockwise.streaming import session_merge
 from blockwise.vocabulary import DEFAULT, Vocabulary
 from suite import fixtures as FX
 from tests.test_expressions import like, noisy
@@ -89,6 +89,17 @@ def test_conflict_fold_of_sparse_and_of_contrary_reads(spark):
     assert got == sorted((g, *line) for g, rs in ((0, sparse), (1, contrary)) for line in py_fold(rs)[1])
 
 
+def test_conflict_fold_of_a_hundred_thousand_contrary_reads(spark):
+    # quantities rise while confidence falls: no read forestalls another
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("session_id"), F.lit("x").alias("item_id"), F.col("id").alias("seq"), F.col("id").alias("qty"), (100 - F.col("id") / 1500).alias("conf"))
+    fold = ConflictFold(df, ["session_id", "item_id"], "seq", "qty", "conf")
+    kept, log = py_fold([(i, i, 100 - i / 1500) for i in range(n)])
+    assert rows(fold.winners().select("seq", "qty", "conf")) == [kept]
+    assert rows(fold.conflicts().select("seq", "previous_qty", "new_qty", "chosen_qty")) == log
+    assert fold.buckets.agg(F.max(F.size("reads"))).first()[0] == 128
+
+
 def test_long_vocabulary_and_long_text(spark):
     words = [f"word{i:05d}" for i in range(2500)]
     mine = Vocabulary(keywords={**DEFAULT.keywords, "pve_terms": words})
@@ -126,18 +137,47 @@ def test_running_values_across_buckets(spark):
     assert all(r.n == 1 + sum(1 for h, t, _ in data if h == r.g and t < r.s) for r in numbered)
 
 
-def test_greedy_rounds_equal_one_pass(spark):
-    rnd = random.Random(6)
-    pairs = [(p, float(rnd.randrange(8)), a, q) for p in range(3) for a in range(12) for q in range(12) if rnd.random() < 0.4]
-    want = []
-    for p in range(3):
+def py_greedy(pairs):
+    out = []
+    for p in {x[0] for x in pairs}:
         used_a, used_q = set(), set()
         for _, d, a, q in sorted(x for x in pairs if x[0] == p):
             if a not in used_a and q not in used_q:
-                used_a.add(a), used_q.add(q), want.append((p, a, q))
+                used_a.add(a), used_q.add(q), out.append((p, a, q))
+    return sorted(out)
+
+
+def test_greedy_matching(spark):
+    rnd = random.Random(6)
+    pairs = [(p, float(rnd.randrange(8)), a, q) for p in range(3) for a in range(12) for q in range(12) if rnd.random() < 0.4]
     df = spark.createDataFrame(pairs, "page_id int, dist double, anchor_ord int, qty_ord int")
-    for limit in (0, 55, 4096):
-        assert rows(G.greedy_matching(df, limit).select("page_id", "anchor_ord", "qty_ord")) == sorted(want)
+    assert rows(G.greedy_matching(df).select("page_id", "anchor_ord", "qty_ord")) == py_greedy(pairs)
+    assert G.greedy_matching(df.limit(0)).count() == 0
+
+
+def test_greedy_matching_of_a_long_chain(spark):
+    # each anchor's nearer number is also the next anchor's: the choice runs through from one end
+    n = 5000
+    pairs = [x for i in range(n) for x in ((0, 1.0 + (2 * i) / 1e4, i, i), (0, 1.0 + (2 * i + 1) / 1e4, i + 1, i))]
+    df = spark.createDataFrame(pairs, "page_id int, dist double, anchor_ord int, qty_ord int")
+    started = time.time()
+    assert rows(G.greedy_matching(df).select("page_id", "anchor_ord", "qty_ord")) == py_greedy(pairs)
+    assert time.time() - started < 20
+
+
+def test_parts_of_a_page_are_matched_alone(spark):
+    rnd = random.Random(16)
+    a = [(p, i, rnd.randrange(900) * 1.0, rnd.randrange(4000) * 1.0) for p in range(2) for i in range(150)]
+    q = [(p, 500 + i, rnd.randrange(900) * 1.0, rnd.randrange(4000) * 1.0, 5) for p in range(2) for i in range(200)]
+    m = spark.createDataFrame([(0, 10.0), (1, 25.0)], "page_id int, m double")
+    pairs = stage(G.grid_candidates(spark.createDataFrame(a, "page_id int, ord int, cx double, cy double"),
+                                    spark.createDataFrame(q, "page_id int, ord int, cx double, cy double, qty int"), m))
+    parted = stage(G.page_parts(pairs))
+    assert parted.count() == pairs.count() and parted.select("page_id", "column", "part").distinct().count() > 20
+    ends = parted.select("page_id", F.explode(F.array("anchor_ord", "qty_ord")).alias("end"), F.struct("column", "part").alias("g"))
+    assert ends.groupBy("page_id", "end").agg(F.count_distinct("g").alias("n")).where("n > 1").count() == 0
+    whole = py_greedy([(r.page_id, r.dist, r.anchor_ord, r.qty_ord) for r in pairs.collect()])
+    assert rows(G.greedy_matching(parted, ["page_id", "column", "part"]).select("page_id", "anchor_ord", "qty_ord")) == whole
 
 
 def test_neighbours_by_cell(spark):
@@ -182,7 +222,7 @@ def test_grid_candidates_match_all_pairs(spark):
     assert rows(pairs.select("anchor_ord", "qty_ord")) == sorted(near)
     pos, qpos = {i: (x, y) for _, i, x, y in a}, {j: v for _, j, _, v, _ in q}
     seen = [(i, j) for i, j in near if not any(k != i and pos[i][1] < y < qpos[j] and abs(x - pos[i][0]) < 20 for k, (x, y) in pos.items())]
-    assert rows(G.line_of_sight(pairs, ad, m).select("anchor_ord", "qty_ord")) == sorted(seen)
+    assert rows(G.line_of_sight(ad, qd, m).select("anchor_ord", "qty_ord")) == sorted(seen)
 
 
 def test_top_k_of_one_hot_group(spark):
@@ -222,14 +262,3 @@ def test_records_are_written_by_source(spark, tmp_path):
     df = spark.createDataFrame([(1, "report"), (2, "profile")], "page_id int, source string")
     records.write_records(df, str(tmp_path / "out"), "source")
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "report"), (2, "profile")]
-
-
-def test_stream_continues_and_logs(spark, tmp_path):
-    schema = session_merge.READ_SCHEMA
-    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    spark.createDataFrame([(1, "a", 1, 5, 60.0, 2), (1, "a", 2, 9, 50.0, 2)], schema).coalesce(1).write.parquet(src)
-    session_merge.run(session_merge.read_stream(spark, src), out, cp).awaitTermination()
-    spark.createDataFrame([(1, "a", 3, 7, 99.0, 2), (2, "a", 1, 1, 1.0, 2)], schema).coalesce(1).write.mode("append").parquet(src)
-    session_merge.run(session_merge.read_stream(spark, src), out, cp).awaitTermination()
-    assert rows(session_merge.current(spark, out).select("session_id", "qty", "seq")) == [(1, 9, 2), (2, 1, 1)]
-    assert rows(session_merge.conflict_log(spark, out).select("seq", "previous_qty", "new_qty", "chosen_qty")) == [(2, 5, 9, 9), (3, 9, 7, 9)]
