@@ -6,10 +6,13 @@ import os
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockwise.functions.names import is_player_name
 from blockwise.functions.numbers import page_timestamp
+from blockwise.functions.text import edit_budget
+from blockwise.operators import dictionary_match as M
 from blockwise.operators import grid as G
 from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_dictionary_join
 from blockwise.operators.neighbours import nearest_in_direction, proximity_veto
@@ -42,6 +45,50 @@ def test_fuzzy_join_matches_brute_force(spark):
     assert got == sorted((i, w) for i, t in enumerate(texts) for w in labels if like(t, w) > 0.8 or w.lower() in t.lower())
 
 
+def within(a, b, k):
+    """Whether the edit distance is k or less."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1] <= k
+
+
+@pytest.mark.parametrize("threshold, strict", [(0.6, True), (0.75, True), (0.83, False), (0.9, True)])
+def test_keys_find_every_pair(spark, threshold, strict):
+    rnd = random.Random(21)
+    letters = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    labels = sorted({letters(rnd.randint(1, 30)) for _ in range(80)})
+    texts = sorted(set(noisy(labels, 150, 9)) | {letters(rnd.randint(1, 12)) for _ in range(60)} | {letters(3000)} - {""})
+    got = rows(M._similar_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(x,) for x in labels], "label string"), threshold, (), strict))
+    want = {(t, x) for t in texts for x in labels if t and within(t, x, edit_budget(len(t), len(x), threshold, strict))}
+    assert want <= set(got)
+
+
+def test_short_words_have_few_candidates(spark):
+    rnd = random.Random(22)
+    parts = [c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou"]
+    def words(n):
+        out = set()
+        while len(out) < n:
+            out.add(("".join(rnd.choice(parts) for _ in range(3)) + rnd.choice("nrst"))[rnd.randint(0, 2):][:rnd.randint(4, 6)])
+        return sorted(out)
+    texts, labels = (spark.createDataFrame([(w,) for w in words(8000)], f"{c} string") for c in ("text", "label"))
+    pairs = M._similar_pairs(texts, labels, 0.75).groupBy("text").count()
+    assert pairs.agg(F.sum("count")).first()[0] < 10 * 8000
+    keys = labels.select(F.inline(F.expr(M._short_keys("label", 0.75, True))))
+    assert keys.agg(F.min(F.length("seg"))).first()[0] >= 3
+
+
+def test_containment_by_the_rarest_piece(spark):
+    texts, labels = ["small red ring", "small gear", "smal", "ab", "x", "hot small pot"], ["small", "small red", "ring", "b", "all g", "smalls", "x"]
+    got = rows(M._containing_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(x,) for x in labels], "label string")))
+    assert got == sorted((t, x) for t in texts for x in labels if x in t)
+
+
 def test_entities_ties_and_word_order(spark):
     d = spark.createDataFrame([("prime", 0, "Scipio Africanus", 0), ("old", 1, "Scipio Africanus", 0), ("old", 1, "Scipio", 1), ("sun", 2, "Sun Tzu", 0)],
                               "entry_id string, entry_ord int, label string, label_ord int")
