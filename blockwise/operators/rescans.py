@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockwise.functions.numbers import digits_only_int, has_digit, is_digits
 from blockwise.operators.picks import first_by
@@ -96,11 +99,15 @@ def accept_titles(rescans: DataFrame) -> DataFrame:
     return rescans.filter((F.col("conf") > TITLE_ACCEPT) & has_digit(F.col("txt")))
 
 
-def accept_profile(rescans: DataFrame) -> DataFrame:
-    """The first strategy per region that read enough text."""
-    readable = rescans.filter(F.length(F.trim("txt")) >= PROFILE_MIN_TEXT)
-    rest = [c for c in rescans.columns if c not in ("page_id", "ord")]
-    return first_by(readable, ["page_id", "ord"], [F.col("shot")], rest)
+def accept_profile(rescans: DataFrame, keys: Sequence[str] = ("page_id", "ord"), line: str | None = None) -> DataFrame:
+    """The first strategy per region that read enough text; with ``line``, all lines of that reading, which count together."""
+    if line is None:
+        readable = rescans.filter(F.length(F.trim("txt")) >= PROFILE_MIN_TEXT)
+        return first_by(readable, keys, [F.col("shot")], [c for c in rescans.columns if c not in keys])
+    lines = F.array_sort(F.collect_list(F.struct(line, "txt")))
+    read = rescans.groupBy(*keys, "shot").agg(F.trim(F.array_join(lines["txt"], " ")).alias("_text"))
+    first = read.filter(F.length("_text") >= PROFILE_MIN_TEXT).groupBy(*keys).agg(F.min("shot").alias("shot"))
+    return rescans.join(first, [*keys, "shot"])
 
 
 def best_per_region(requests: DataFrame, lines: DataFrame) -> DataFrame:
@@ -136,14 +143,65 @@ def rescan_quantity_merge(items: DataFrame, rescans: DataFrame) -> DataFrame:
     return items.join(best, ["page_id", "anchor_ord"], "left").withColumns(filled).drop("_best")
 
 
-def repair_assignment(numbers: DataFrame, rescans: DataFrame) -> DataFrame:
-    """Unsure numbers replaced by the surest numeric rescan of their own region, if that is surer."""
-    numeric = accept_report(rescans).filter(is_digits(F.col("txt")))
-    best = first_by(numeric, ["page_id", "ord"], [-F.col("conf"), F.col("shot")], ["txt", "conf"])
-    best = best.withColumnsRenamed({"txt": "new_txt", "conf": "new_conf"})
+def _numeric(rescans: DataFrame) -> DataFrame:
+    return accept_report(rescans).filter(is_digits(F.col("txt")))
+
+
+def _repaired(found: DataFrame) -> DataFrame:
+    """Numbers next to their rescan (new_txt, new_conf), replaced where that is surer."""
     better = F.col("new_conf") > F.col("conf")
-    return (numbers.join(best, ["page_id", "ord"], "left")
-            .withColumns({"repaired": F.coalesce(better, F.lit(False)),
-                          "txt": F.when(better, F.col("new_txt")).otherwise(F.col("txt")),
-                          "conf": F.when(better, F.col("new_conf")).otherwise(F.col("conf"))})
+    return (found.withColumns({"repaired": F.coalesce(better, F.lit(False)),
+                               "txt": F.when(better, F.col("new_txt")).otherwise(F.col("txt")),
+                               "conf": F.when(better, F.col("new_conf")).otherwise(F.col("conf"))})
             .drop("new_txt", "new_conf"))
+
+
+def _deal(batches):
+    """Rows (page_id, ord, surer) in page order: the rank of the rescan that each takes, while one of the ``surer`` is left."""
+    import pyarrow as pa
+
+    page, used = None, 0
+    for batch in batches:
+        pages, surer = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        takes, ranks = [], []
+        for i, (now, n) in enumerate(zip(pages, surer)):
+            page, used = (page, used) if now == page else (now, 0)
+            if used < n:
+                used += 1
+                takes.append(i)
+                ranks.append(used)
+        taken = batch.take(pa.array(takes, pa.int64()))
+        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(ranks, pa.int64())], names=["page_id", "ord", "rank"])
+
+
+def _from_pool(numbers: DataFrame, rescans: DataFrame) -> DataFrame:
+    """Each number next to the rescan that it takes from its page's pool.
+
+    A number takes the surest rescan left if that is surer than itself, so it takes the next one exactly while fewer are gone than
+    are surer.  How many are surer is counted where numbers and rescans lie sorted by confidence; then the numbers pass in page
+    order as a stream that holds one count.
+    """
+    surest = Window.partitionBy("page_id").orderBy(F.desc("conf"), "ord", "shot")
+    pool = _numeric(rescans).select("page_id", F.row_number().over(surest).cast("bigint").alias("rank"), F.col("txt").alias("new_txt"), F.col("conf").alias("new_conf"))
+    both = numbers.select("page_id", "ord", "conf", F.lit(0).alias("of_pool")).unionByName(
+        pool.select("page_id", F.lit(None).cast(numbers.schema["ord"].dataType).alias("ord"), F.col("new_conf").alias("conf"), F.lit(1).alias("of_pool")))
+    # a rescan that is only as sure comes after the number
+    before = Window.partitionBy("page_id").orderBy(F.desc("conf"), "of_pool").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("surer", F.sum("of_pool").over(before)).filter((F.col("of_pool") == 0) & (F.col("surer") > 0))
+    stream = counted.select("page_id", "ord", "surer").repartition("page_id").sortWithinPartitions("page_id", "ord")
+    schema = T.StructType([stream.schema["page_id"], stream.schema["ord"], T.StructField("rank", T.LongType())])
+    dealt = stream.mapInArrow(lambda batches, deal=_deal: deal(batches), schema)
+    return numbers.join(dealt.join(pool, ["page_id", "rank"]).drop("rank"), ["page_id", "ord"], "left")
+
+
+def repair_assignment(numbers: DataFrame, rescans: DataFrame, pool: bool = False) -> DataFrame:
+    """Unsure numbers replaced by the surest numeric rescan of their own region, if that is surer.
+
+    With ``pool``, a page's numbers take their rescans in page order from one pool, whatever region a rescan came from, and each
+    rescan is taken once.
+    """
+    if pool:
+        return _repaired(_from_pool(numbers, rescans))
+    best = first_by(_numeric(rescans), ["page_id", "ord"], [-F.col("conf"), F.col("shot")], ["txt", "conf"])
+    best = best.withColumnsRenamed({"txt": "new_txt", "conf": "new_conf"})
+    return _repaired(numbers.join(best, ["page_id", "ord"], "left"))

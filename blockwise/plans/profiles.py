@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions import names, numbers
-from blockwise.functions.geometry import distance, with_geometry
+from blockwise.functions.geometry import distance, remapped, with_geometry
 from blockwise.functions.text import first_matching_word, matches_any, similar_to_any
 from blockwise.operators.classify import CIVILIZATION_THRESHOLD, LABEL_THRESHOLD, classify_profile_blocks
 from blockwise.operators.neighbours import proximity_veto, right_neighbor_same_line, topk_nearest
 from blockwise.operators.picks import first_by, first_struct
+from blockwise.operators.rescans import accept_profile
 from blockwise.session import stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
@@ -166,23 +167,33 @@ def best_name(scored: DataFrame) -> DataFrame:
                        F.col("score").alias("name_conf"), F.col("ord").alias("name_ord"))
 
 
-def build_profiles(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT, draft_id: int = 0) -> DataFrame:
-    """Unaudited profiles from prepared blocks."""
+RECORD = ["page_id", "id", "name", "alliance_tag", "alliance_name", "power", "kill_points", "civilization"]
+
+
+def _records(blocks: DataFrame, vocabulary: Vocabulary, draft_id: int) -> DataFrame:
+    """Unaudited profiles, and the fields that a page has an ``anchor`` to search by."""
     state = with_alliance(blocks, with_stats(blocks, page_state(blocks, vocabulary)))
     named = best_name(score_names(blocks, state, [*CLAIMS, "alliance_ord"], vocabulary))
     civ = F.coalesce(first_matching_word(F.col("civ_block.txt"), vocabulary.words("civilizations"), CIVILIZATION_THRESHOLD),
                      F.col("civ_block.txt"))
+    has = {"Civilization": F.col("CivLabel").isNotNull(), "Power": F.col("PowerLabel").isNotNull(), "Name": F.col("id_conf") > 60}
+    anchors = F.array_compact(F.array(*[F.when(there, F.lit(field)) for field, there in has.items()]))
     return state.join(named, "page_id", "left").select(
         "page_id",
         F.when(F.col("id_conf") > 60, F.col("id_value")).otherwise(F.lit(draft_id)).alias("id"),
         F.coalesce("name", F.lit("--")).alias("name"),
         F.coalesce("alliance_tag", F.lit("--")).alias("alliance_tag"),
         F.coalesce("alliance_name", F.lit("--")).alias("alliance_name"),
-        "power", "kill_points", F.coalesce(civ, F.lit("--")).alias("civilization"))
+        "power", "kill_points", F.coalesce(civ, F.lit("--")).alias("civilization"), anchors.alias("anchors"))
+
+
+def build_profiles(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT, draft_id: int = 0) -> DataFrame:
+    """Unaudited profiles from prepared blocks."""
+    return _records(blocks, vocabulary, draft_id).select(*RECORD)
 
 
 def audit_profiles(profiles: DataFrame) -> DataFrame:
-    """Swaps implausible power with kill points, fills blanks, judges success and completeness."""
+    """Swaps implausible power with kill points, fills blanks, judges success and completeness; other columns stay."""
     swap = F.col("power") > SWAP_ABOVE
     power = F.when(swap, F.col("kill_points")).otherwise(F.col("power"))
     kills = F.when(swap, F.col("power")).otherwise(F.col("kill_points"))
@@ -190,25 +201,74 @@ def audit_profiles(profiles: DataFrame) -> DataFrame:
     def filled(c: str) -> Column:
         return F.when(F.trim(F.col(c)) == "", F.lit("--")).otherwise(F.col(c)).alias(c)
     out = profiles.select("page_id", "id", filled("name"), filled("alliance_tag"), filled("alliance_name"),
-                          power.alias("power"), kills.alias("kill_points"), "civilization")
+                          power.alias("power"), kills.alias("kill_points"), "civilization", *[c for c in profiles.columns if c not in RECORD])
     return (out.withColumn("success", (F.col("id") > 0) & ((F.col("name") != "--") | (F.col("power") > 0)))
             .withColumn("complete", (F.col("id") > 0) & (F.col("power") > 0) & (F.col("name") != "--") & (F.col("civilization") != "--")))
 
 
+# A page is read again at most twice, and a name shorter than this is searched for.
+ROUNDS = 2
+MIN_NAME = 3
+#: In the order in which their blocks join a page's own.
+SEARCHED = ["Civilization", "Power", "Name"]
+#: Orders of rescanned blocks: beyond those of a page, by round, field and line.
+_ROUND_ORD, _FIELD_ORD = 1_000_000, 10_000
+
+
+# the label a field is searched by; a name is searched by the id
+SEARCHED_BY = {"CivLabel": "Civilization", "PowerLabel": "Power", "KpLabel": "KillPoints", "AllianceLabel": "Alliance"}
+
+
+def search_anchors(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
+    """(page_id, ord, field, box): the block that each field's search regions are laid out from."""
+    field = F.element_at(F.create_map(*[F.lit(x) for pair in SEARCHED_BY.items() for x in pair]), F.col("anchor"))
+    corners = ["x0", "y0", "x1", "y2"]
+    labels = anchor_lookup(blocks, vocabulary).select("page_id", "ord", field.alias("field"), *corners)
+    ids = extract_id(blocks).filter(F.col("id_conf") > 60).select("page_id", F.col("id_ord").alias("ord"))
+    return labels.unionByName(blocks.join(ids, ["page_id", "ord"]).select("page_id", "ord", F.lit("Name").alias("field"), *corners))
+
+
+def search_requests(audited: DataFrame) -> DataFrame:
+    """(page_id, field) of what an incomplete page lacks and has an anchor to search by."""
+    lacks = {"Civilization": F.col("civilization") == "--", "Power": F.col("power") == 0,
+             "Name": (F.col("id") > 0) & ((F.col("name") == "--") | (F.length("name") < MIN_NAME))}
+    fields = F.filter("anchors", lambda a: F.array_contains(F.array(*[F.when(missing, F.lit(f)) for f, missing in lacks.items()]), a))
+    return audited.filter(~F.col("complete")).select("page_id", F.explode(fields).alias("field"))
+
+
+def search_answers(requests: DataFrame, rescans: DataFrame, round_: int) -> DataFrame:
+    """Detections (page_id, ord, txt, conf, box) that a round adds: per request the first readable strategy, put on the page."""
+    asked = rescans.filter(F.col("round") == round_).join(requests, ["page_id", "field"])
+    read = accept_profile(asked, ["page_id", "field"], "line")
+    place = F.array_position(F.array(*[F.lit(f) for f in SEARCHED]), F.col("field"))
+    boxes = remapped(F.col("origin_x"), F.col("origin_y"), F.col("scale"))
+    on_page = read.select("page_id", (F.lit(_ROUND_ORD) * round_ + place * _FIELD_ORD + F.col("line")).cast("int").alias("ord"), "txt", "conf", *boxes)
+    return on_page.select("*", F.col("x2").alias("x1"), F.col("y0").alias("y1"))
+
+
 def profiles_with_rescans(blocks: DataFrame, rescans: DataFrame, vocabulary: Vocabulary = DEFAULT, draft_id: int = 0) -> DataFrame:
-    """Audited profiles; incomplete pages are extracted again with their rescanned blocks added.
+    """Audited profiles; incomplete pages are extracted again, round by round, with the answers to what they lack.
 
-    ``blocks`` and ``rescans`` are raw detections; rescans carry ``ord`` beyond the page's own.
+    ``blocks`` are raw detections; ``rescans`` has page_id, round, field, shot, line, txt, conf, a box within the crop, and the
+    crop's origin and scale.  A round looks only at the pages that the one before left incomplete and found something new for, so
+    a page that is complete, or that a round adds nothing to, is done.  Pages hold fewer than a million blocks, crops fewer than
+    ten thousand lines.
     """
-    prepared = prepare(blocks, vocabulary)
-    first = stage(audit_profiles(build_profiles(prepared, vocabulary, draft_id)))
-    extra = prepare(rescans, vocabulary)
-    again = first.filter(~F.col("complete")).join(extra.select("page_id").distinct(), "page_id", "left_semi").select("page_id")
-    common = [c for c in prepared.columns if c in extra.columns]
-    evidence = stage(prepared.join(again, "page_id", "left_semi").select(*common).unionByName(
-        extra.join(again, "page_id", "left_semi").select(*common)))
-    second = audit_profiles(build_profiles(evidence, vocabulary, draft_id))
-    return first.join(again, "page_id", "left_anti").unionByName(second)
+    evidence = prepare(blocks, vocabulary)
+    audited = stage(audit_profiles(_records(evidence, vocabulary, draft_id)))
+    finished = []
+    for round_ in range(1, ROUNDS + 1):
+        # incomplete pages are few, and each round's are among those before
+        answers = prepare(search_answers(search_requests(audited), rescans, round_), vocabulary)
+        again = answers.select("page_id").distinct()
+        finished.append(audited.join(again, "page_id", "left_anti"))
+        common = [c for c in evidence.columns if c in answers.columns]
+        evidence = stage(evidence.join(again, "page_id", "left_semi").select(*common).unionByName(answers.select(*common)))
+        audited = stage(audit_profiles(_records(evidence, vocabulary, draft_id)))
+    out = audited
+    for done in reversed(finished):
+        out = done.unionByName(out)
+    return out.drop("anchors")
 
 
 class FieldExtractors:

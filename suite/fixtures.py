@@ -111,6 +111,20 @@ select k page_id, cast(r as int) ord, shot, k*100+r region_id, case when shot=1
 from g {{SHOTS}}
 """
 
+# crops of profile pages, at twice the size: what each strategy read, by round and field
+HUNTS = [(1, "Civilization", 1, 1), (1, "Civilization", 2, 1), (2, "Civilization", 1, 1), (1, "Name", 1, 1), (1, "Name", 1, 2),
+         (2, "Name", 1, 1), (1, "Power", 1, 1), (2, "Power", 2, 1)]
+HUNT = """
+select c_custkey page_id, round, field, shot, line,
+       case when field='Civilization' then case when round=2 then 'gChina' when shot=1 then 'Ch' when c_custkey%3=0 then 'Germany' when c_custkey%3=1 then 'Nothing here' else ' . ' end
+            when field='Name' then case when line=2 then 'x' when c_custkey%5=0 then ' ' else 'Late Player ' || cast(c_custkey%1000+round as string) end
+            else cast(5000+c_custkey*round as string) end txt,
+       (60+(c_custkey*7+round*3)%40)/100 conf, case field when 'Civilization' then 80 when 'Name' then 360 else 40 end x0, case field when 'Civilization' then 120 else 20*line end y0,
+       case field when 'Civilization' then 240 when 'Name' then 520 else 200 end x2, case field when 'Civilization' then 160 else 20*line+40 end y2,
+       case field when 'Civilization' then 860 when 'Name' then 250 else 400 end origin_x, case field when 'Civilization' then 250 when 'Name' then 120 else 320 end origin_y, 2 scale
+from customer {HUNTS}
+"""
+
 VOTES = """
 select l_orderkey page_id, case l_partkey%6 when 0 then 'Red' when 1 then 'Gold' when 2 then 'Green' when 3 then 'Blue' when 4 then 'Purple' else 'None' end color,
        cast(sum(cast(l_quantity as int)) as bigint) cnt from lineitem group by 1, 2
@@ -146,7 +160,7 @@ TEXT_DUCK = """
 select doc_id page_id, cast(unnest(range(len(a))) as int) ord, unnest(a) txt from (select doc_id, string_split(text, chr(10)) a from documents)
 """
 
-VIEWS = {"profile": PROFILE, "report": REPORT, "reads": READS, "grid": GRID, "rescan": RESCAN, "votes": VOTES,
+VIEWS = {"profile": PROFILE, "report": REPORT, "reads": READS, "grid": GRID, "rescan": RESCAN, "hunt": HUNT, "votes": VOTES,
          "mentions": MENTIONS, "dictionary": DICTIONARY, "titled": TITLED, "pixels": PIXELS}
 
 
@@ -158,6 +172,7 @@ def sql(name: str, dialect: str) -> str:
     for mark, args in (("{SIDES}", ("v", ["side"], [(0,), (1,)])),
                        ("{METRICS}", ("l", ["m", "lab"], METRICS)),
                        ("{TITLES}", ("w", ["i", "title", "unit_value"], TITLES)),
+                       ("{HUNTS}", ("v", ["round", "field", "shot", "line"], HUNTS)),
                        ("{SHOTS}", ("v", ["shot"], [(1,), (2,)]))):
         text = text.replace(mark, _rows(dialect, *args))
     return text

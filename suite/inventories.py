@@ -13,7 +13,7 @@ from blockwise.operators.ordered import ConflictFold, sequence_number
 from blockwise.operators.picks import first_by
 from blockwise.operators.rollups import grand_total, item_totals
 from blockwise.plans import grids, item_lists
-from blockwise.plans.profiles import ANCHOR_LISTS
+from blockwise.plans.profiles import SEARCHED_BY
 from blockwise.sources.records import inventory_envelopes
 from suite import fixtures as FX
 from suite import sql as S
@@ -244,6 +244,18 @@ def _(spark, sf):
     return RS.repair_assignment(unsure, FX.load(spark, sf, "rescan"))
 
 
+@query("repair_pool", rf"""with recursive n as (select page_id, ord, txt, conf, row_number() over (partition by page_id order by ord) i from ({GRID}) where conf < 0.85),
+  b as (select page_id, txt, conf, row_number() over (partition by page_id order by conf desc, ord, shot) rank from ({RESCAN}) where conf > 0.60 and regexp_matches(txt, '^\d+$')),
+  f as (select distinct page_id, 0::bigint i, 0::bigint used, null::int ord, null::varchar txt, null::double conf, false repaired from n
+    union all select f.page_id, n.i, used + coalesce(b.conf > n.conf, false)::int, n.ord, case when b.conf > n.conf then b.txt else n.txt end,
+      case when b.conf > n.conf then b.conf else n.conf end, coalesce(b.conf > n.conf, false)
+    from f join n on n.page_id=f.page_id and n.i=f.i+1 left join b on b.page_id=f.page_id and b.rank=f.used+1)
+  select page_id, ord, txt, conf, repaired from f where i > 0""")
+def _(spark, sf):
+    unsure = FX.load(spark, sf, "grid").filter(F.col("conf") < 0.85).select("page_id", "ord", "txt", "conf")
+    return RS.repair_assignment(unsure, FX.load(spark, sf, "rescan"), pool=True)
+
+
 @query("best_per_region", f"""with q as (select distinct page_id, ord, page_id*100+ord region_id from ({GRID})),
   l as (select region_id, shot line, txt, conf from ({RESCAN}) where conf > 0.5)
   select page_id, ord, q.region_id, coalesce(txt, '') txt, coalesce(conf, 0) conf from q left join
@@ -295,22 +307,20 @@ def _(spark, sf):
     return out
 
 
-_FIELDS = {"CivLabel": "Civilization", "PowerLabel": "Power", "KpLabel": "KillPoints", "AllianceLabel": "Alliance"}
 _W, _H = "(a.x2-a.x0)", "(a.y2-a.y0)"
 _PROFILE_SHOTS = [("Civilization", 1, "1_Civ_Inverted_Binary", "x0-20", "y0-15", f"{_W}+800"), ("Civilization", 2, "2_Civ_Normal_Sharpen", "x0-20", "y0-15", f"{_W}+800"),
                   ("Power", 1, "1_Stat_Below_Binary", "x0-20", f"y0+{_H}*0.5e0", f"{_W}+300"), ("Power", 2, "2_Stat_Wide_Contrast", "x0-50", "y0-10", f"{_W}+400"),
                   ("KillPoints", 1, "1_Stat_Below_Binary", "x0-20", f"y0+{_H}*0.5e0", f"{_W}+300"), ("KillPoints", 2, "2_Stat_Wide_Contrast", "x0-50", "y0-10", f"{_W}+400"),
-                  ("Alliance", 1, "1_Alliance_Panorama", "x0-50", f"y0+{_H}*0.5e0", f"{_W}+500")]
-_FIELD_OF = {v: k for k, v in _FIELDS.items()}
+                  ("Alliance", 1, "1_Alliance_Panorama", "x0-50", f"y0+{_H}*0.5e0", f"{_W}+500"), ("Name", 1, "1_Name_Panorama", "x0-150", f"y0+{_H}", f"{_W}+500")]
+_FIELD_OF = {**{v: k for k, v in SEARCHED_BY.items()}, "Name": "ID"}
 
 
-@query("rescan_plan_profile", f"with {S.profile_ctes()}, {S.anchor_cte()} " + " union all ".join(
-    f"select page_id, ord, '{f}' field, {s} shot, '{n}' strategy, cast(trunc({x}) as int) x, cast(trunc({y}) as int) y, cast({w} as int) w, 300 h from anc a where anchor='{_FIELD_OF[f]}'"
+@query("rescan_plan_profile", f"""with {S.profile_ctes()}, {S.anchor_cte()}, {S.id_cte()},
+  every as (select * from anc union all select page_id, 'ID', t.ord, t.cx, t.cy, x0, y0, x2, y2 from ids i join typed t using (page_id) where t.ord = i.ord) """ + " union all ".join(
+    f"select page_id, ord, '{f}' field, {s} shot, '{n}' strategy, cast(trunc({x}) as int) x, cast(trunc({y}) as int) y, cast({w} as int) w, 300 h from every a where anchor='{_FIELD_OF[f]}'"
     for f, s, n, x, y, w in _PROFILE_SHOTS))
 def _(spark, sf):
-    anchors = P.anchor_lookup(prepared_profile(spark, sf))
-    field = F.create_map(*[x for a in ANCHOR_LISTS for x in (F.lit(a), F.lit(_FIELDS[a]))])
-    return RS.plan_profile(anchors.withColumn("field", F.element_at(field, F.col("anchor"))))
+    return RS.plan_profile(P.search_anchors(prepared_profile(spark, sf)))
 
 
 # --- titled item lists -----------------------------------------------------------------------------

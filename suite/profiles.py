@@ -218,18 +218,30 @@ def _(spark, sf):
     return P.audit_profiles(P.build_profiles(prepared(spark, sf)))
 
 
-EXTRA = "select c_custkey page_id, {base}+v.i ord, case v.i when 1 then 'Germany' else 'Late Player ' || cast(c_custkey%1000 as string) end txt, 0.9e0 conf, 900-v.i*450 x0, 310-v.i*60 y0, 980-v.i*450 x2, 330-v.i*60 y2 from customer {j}"
-EXTRA_DUCK = EXTRA.format(base=100, j="cross join (values (1),(2)) v(i)") + " where v.i = 1 or c_nationkey <> 3"
-
-
-@query("evidence_union_reextract", f"""with {S.profile_chain()}, inc as (select page_id from prof where not complete),
-  {S.profile_chain("select * from (select page_id, ord, txt, conf, x0, y0, x2, y2 from (" + PROFILE + ") union all select * from (" + EXTRA_DUCK + ")) where page_id in (select page_id from inc)", suffix="_b")}
-  select {COLS}, success, complete from prof where complete union all select {COLS}, success, complete from prof_b""")
+HUNT = FX.sql("hunt", "duckdb")
+
+
+def hunted(round_: int, prof: str, anc: str, ids: str) -> str:
+    """acc{n}: what a round adds to the pages of audited profiles ``prof`` with their anchors and ids."""
+    place = " ".join(f"when '{f}' then {i + 1}" for i, f in enumerate(P.SEARCHED))
+    return f"""req{round_} as (select page_id, 'Civilization' field from {prof} where not complete and civilization = '--' and page_id in (select page_id from {anc} where anchor='CivLabel')
+      union all select page_id, 'Power' from {prof} where not complete and power = 0 and page_id in (select page_id from {anc} where anchor='PowerLabel')
+      union all select page_id, 'Name' from {prof} where not complete and id > 0 and (name = '--' or length(name) < 3) and page_id in (select page_id from {ids})),
+    hit{round_} as (select page_id, field, min(shot) shot from (select page_id, field, shot from ({HUNT}) join req{round_} using (page_id, field) where round = {round_}
+      group by 1, 2, 3 having length(trim(string_agg(txt, ' ' order by line))) >= 3) group by 1, 2),
+    acc{round_} as (select page_id, {P._ROUND_ORD * round_} + {P._FIELD_ORD} * case field {place} end + line ord, txt, conf,
+      origin_x+x0/2e0 x0, origin_y+y0/2e0 y0, origin_x+x2/2e0 x2, origin_y+y2/2e0 y2 from ({HUNT}) join hit{round_} using (page_id, field, shot) where round = {round_})"""
+
+
+@query("evidence_union_reextract", f"""with {S.profile_chain()}, {hunted(1, 'prof', 'anc', 'ids')},
+  src2 as (select * from (select page_id, ord, txt, conf, x0, y0, x2, y2 from ({PROFILE}) union all select * from acc1) where page_id in (select page_id from acc1)),
+  {S.profile_chain("select * from src2", suffix="_b")}, {hunted(2, 'prof_b', 'anc_b', 'ids_b')},
+  src3 as (select * from (select * from src2 union all select * from acc2) where page_id in (select page_id from acc2)),
+  {S.profile_chain("select * from src3", suffix="_c")}
+  select {COLS}, success, complete from prof where page_id not in (select page_id from acc1)
+  union all select {COLS}, success, complete from prof_b where page_id not in (select page_id from acc2) union all select {COLS}, success, complete from prof_c""")
 def _(spark, sf):
-    FX.load(spark, sf, "customer").createOrReplaceTempView("customer")
-    extra = spark.sql(EXTRA.format(base=100, j="lateral view inline(array(struct(1 as i), struct(2 as i))) v as i").replace("0.9e0", "0.9D") + " where v.i = 1 or c_nationkey <> 3")
-    extra = extra.select("*", F.col("x2").alias("x1"), F.col("y0").alias("y1"))
-    return P.profiles_with_rescans(FX.blocks(spark, sf, "profile"), extra)
+    return P.profiles_with_rescans(FX.blocks(spark, sf, "profile"), FX.load(spark, sf, "hunt"))
 
 
 def _id_extractor(blocks, anchors, done):

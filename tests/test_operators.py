@@ -18,8 +18,9 @@ from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_d
 from blockwise.operators.neighbours import nearest_in_direction, proximity_veto
 from blockwise.operators.ordered import ConflictFold, running_before, sequence_number
 from blockwise.operators.picks import top_k
+from blockwise.operators.rescans import repair_assignment
 from blockwise.operators.rollups import full_text
-from blockwise.plans import item_lists
+from blockwise.plans import item_lists, profiles
 from blockwise.session import clear_staged, stage
 from blockwise.sources import dictionaries, records, replies
 from blockwise.vocabulary import DEFAULT, Vocabulary
@@ -272,6 +273,40 @@ def test_grid_candidates_match_all_pairs(spark):
     assert rows(G.line_of_sight(ad, qd, m).select("anchor_ord", "qty_ord")) == sorted(seen)
 
 
+def py_pool(numbers, pool):
+    out = []
+    for page in sorted({n[0] for n in numbers}):
+        left = sorted((x for x in pool if x[0] == page and x[3].isdigit() and x[4] > 0.6), key=lambda x: (-x[4], x[1], x[2]))
+        for _, ord_, txt, conf in sorted(n for n in numbers if n[0] == page):
+            takes = bool(left) and left[0][4] > conf
+            _, _, _, new, sure = left.pop(0) if takes else (0, 0, 0, txt, conf)
+            out.append((page, ord_, new, sure, takes))
+    return out
+
+
+def test_numbers_take_from_one_pool_in_page_order(spark):
+    rnd = random.Random(31)
+    numbers = [(p, o, f"{o}", rnd.randrange(10, 85) / 100) for p in range(4) for o in rnd.sample(range(90), (0, 1, 30, 60)[p])]
+    pool = [(p, rnd.randrange(90), s, rnd.choice(["7", "12", "x1", ""]), rnd.randrange(30, 100) / 100) for p in range(5) for s in range(40)]
+    got = repair_assignment(spark.createDataFrame(numbers, "page_id int, ord int, txt string, conf double"),
+                            spark.createDataFrame(pool, "page_id int, ord int, shot int, txt string, conf double"), pool=True)
+    assert rows(got.select("page_id", "ord", "txt", "conf", "repaired")) == py_pool(numbers, pool)
+
+
+def test_a_complete_page_ignores_later_rounds(spark):
+    page = [(1, "ID: 10000007", 400, 100), (2, "Ann Example", 430, 130), (3, "Power", 400, 300), (4, "5,000,000", 420, 330), (5, "Civilization", 880, 270)]
+    blocks = [(p, o, t, 0.9, float(x), float(y), x + 80.0, float(y), x + 80.0, y + 20.0) for p in (1, 2, 3) for o, t, x, y in page if (p, o) != (3, 2)]
+    crop = (0.0, 0.0, 160.0, 40.0, 860.0, 310.0, 2.0)
+    rescans = [(1, 1, "Civilization", 1, 1, "Ge"), (1, 1, "Civilization", 2, 1, "Germany"), (1, 2, "Civilization", 1, 1, "China"),  # complete after its first round
+               (2, 1, "Civilization", 1, 1, "nothing"), (2, 2, "Civilization", 1, 1, "China"), (2, 2, "Power", 1, 1, "9,000,000"),  # civilization in the second, power not asked for
+               (3, 2, "Civilization", 1, 1, "China"), (3, 2, "Name", 1, 1, "Late One")]                                           # nothing in the first: no second
+    out = profiles.profiles_with_rescans(
+        spark.createDataFrame(blocks, "page_id int, ord int, txt string, conf double, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double"),
+        spark.createDataFrame([(*r, 0.9, *crop) for r in rescans], "page_id int, round int, field string, shot int, line int, txt string, conf double, "
+                              "x0 double, y0 double, x2 double, y2 double, origin_x double, origin_y double, scale double"))
+    assert rows(out.select("page_id", "civilization", "power", "complete")) == [(1, "Germany", 5_000_000, True), (2, "China", 5_000_000, True), (3, "--", 5_000_000, False)]
+
+
 def test_top_k_of_one_hot_group(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), "id", (F.col("id") * 7919 % 5000).alias("v"))
     got = top_k(df, ["g"], [F.col("v"), F.col("id")], 3, F.col("id")).orderBy("rank").collect()
