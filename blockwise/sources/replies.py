@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +18,17 @@ def parsed_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
     return parsed.select(*[c for c in replies.columns if c != text], "_r.*").withColumnRenamed("_corrupt", "corrupt")
 
 
-def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with one reply each; a line that is no JSON keeps the ``page_id`` written in it, or the name of its file."""
-    schema = T.StructType([T.StructField("page_id", T.StringType()), *schemas.REPLY.fields, T.StructField("corrupt", T.StringType())])
+def read_replies(spark: SparkSession, path: str, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """JSON lines with one reply each and what it belongs to (``keys``, as texts).
+
+    A line that is no JSON keeps the keys written in it; without a ``page_id`` it has the name of its file.
+    """
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *schemas.REPLY.fields, T.StructField("corrupt", T.StringType())])
     read = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
-    written = F.nullif(F.regexp_extract("corrupt", r'"page_id"\s*:\s*"([^"]*)"', 1), F.lit(""))
-    return read.withColumn("page_id", F.coalesce("page_id", written, F.input_file_name()))
+
+    def written(key: str) -> Column:
+        return F.nullif(F.regexp_extract("corrupt", rf'"{key}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    return read.withColumns({k: F.coalesce(F.col(k), written(k), *([F.input_file_name()] if k == "page_id" else [])) for k in keys})
 
 
 def load_detections(replies: DataFrame, keys: list[str]) -> DataFrame:

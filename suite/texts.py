@@ -81,6 +81,116 @@ def _(spark, sf):
     return e.select("page_id", "e.success", "e.message", "e.data.*", F.get("e.warnings", F.lit(0)).alias("warning"))
 
 
+def _sent(spark, view, keys, failed, cut, container=None, color=False):
+    """The pages of a view as reply files: JSON lines, some of which failed or are cut off."""
+    d = [F.col(c).cast("double") for c in ("x0", "y0", "x2", "y2")]
+    box = F.array(F.array(d[0], d[1]), F.array(d[2], d[1]), F.array(d[2], d[3]), F.array(d[0], d[3]))
+    fields = ["ord", F.col("txt").alias("text"), box.alias("box"), "conf", *(["color"] if color else [])]
+    per_page = [F.array_sort(F.collect_list(F.struct(*fields))).alias("b"), *([container.alias("container")] if container is not None else [])]
+    pages = view.groupBy(*keys).agg(*per_page)
+    bare = F.transform("b", lambda x: F.struct(*[x[c].alias(c) for c in ("text", "box", "conf", *(["color"] if color else []))]))
+    text = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys], (~failed).alias("success"), F.when(~failed, bare).alias("blocks"),
+                              F.when(failed, F.lit("no image")).alias("detail"), *(["container"] if container is not None else [])))
+    folder = new_folder(spark, "replies")
+    pages.select(F.when(cut, F.concat(F.substring_index(text, ',"success"', 1), F.lit(', "succ'))).otherwise(text).alias("value")).write.text(folder)
+    return R.read_replies(spark, folder, keys)
+
+
+def _envelopes(df, key, schema):
+    return df.select(F.col(key).cast("bigint").alias(key), F.from_json("envelope", schema).alias("e"))
+
+
+_REPORT = FX.sql("report", "duckdb")
+_SENT = f"select * from ({_REPORT}) where page_id%90 <> 0 and page_id%130 <> 0"
+
+
+@query("report_flow", f"""with {S.report_chain(_SENT)}, sent as (select page_id, string_agg(txt, ' | ' order by ord) raw_text from ({_REPORT}) group by 1),
+  w as (select page_id, string_agg(code, ',' order by code) codes from (select page_id, code from warn union all select page_id, 'UNREADABLE_REPLY' from sent where page_id%130 = 0
+    union all select page_id, 'RECOGNISER_FAILED' from sent where page_id%90 = 0 and page_id%130 <> 0) group by 1)
+  select s.page_id, p.page_id is not null success, case when p.page_id is null then 'No detections' else 'Report processed' end message,
+    case when p.page_id is null then md5('') else md5(raw_text) end text_md5, case when npc then 'Barbarian' when p.page_id is not null then 'SingleBattle_PVP' end page_type, sound,
+    round(score, 6) overall_confidence, a_governor_name attacker, d_governor_name defender, a_total_units, d_dead, coalesce(codes, '') codes
+  from sent s left join scored p using (page_id) left join w using (page_id)""")
+def _(spark, sf):
+    from suite import reports as SR
+    container = F.struct(F.struct(F.lit(1000).alias("width"), F.lit(1000).alias("height")).alias("canvas_size"), F.bool_and("isolated").alias("is_isolated"))
+    replies = _sent(spark, FX.load(spark, sf, "report"), ["page_id"], F.col("page_id") % 90 == 0, F.col("page_id") % 130 == 0, container)
+    envelopes, _ = flows.report_flow(replies, *SR.dictionaries(spark, sf), SR.YEAR)
+    side = "struct<governor_name:string,total_units:bigint,dead:bigint>"
+    e = _envelopes(envelopes, "page_id", f"success boolean, message string, raw_text string, warnings array<string>, "
+                   f"data struct<page_type:string,sound:boolean,overall_confidence:double,attacker:{side},defender:{side}>")
+    return e.select("page_id", "e.success", "e.message", F.md5("e.raw_text").alias("text_md5"), "e.data.page_type", "e.data.sound",
+                    F.round("e.data.overall_confidence", 6).alias("overall_confidence"), F.col("e.data.attacker.governor_name").alias("attacker"),
+                    F.col("e.data.defender.governor_name").alias("defender"), F.col("e.data.attacker.total_units").alias("a_total_units"),
+                    F.col("e.data.defender.dead").alias("d_dead"), F.array_join("e.warnings", ",").alias("codes"))
+
+
+_ITEM = "struct<unit_value:int,item_id:string,quantity:bigint,confidence:double,total_value:bigint>"
+
+
+def _session_columns(envelopes, more=""):
+    e = _envelopes(envelopes, "session_id", f"success boolean, message string, raw_text string, warnings array<string>, data struct<grand_total:bigint{more},items:array<{_ITEM}>>")
+    listed = F.array_join(F.transform("e.data.items", lambda x: F.concat_ws(":", x.item_id, x.quantity.cast("string"), x.total_value.cast("string"))), ",")
+    return e.select("session_id", "e.success", "e.message", F.md5("e.raw_text").alias("text_md5"), "e.data.grand_total",
+                    *[F.col(f"e.data.{c.split(':')[0]}") for c in more.split(",")[1:]], listed.alias("items"), F.md5(F.array_join("e.warnings", "\n")).alias("warnings_md5"))
+
+
+# what every session query ends in: sent (session_id, page_seq, page_id), txt, msg (session_id, page_seq, source, message), tot
+def _session_sql(view, good, more=""):
+    return f"""sent as (select distinct session_id, page_seq, page_id from ({view})),
+  txt as (select session_id, string_agg('[IMG ' || page_seq || '] ' || t, ' | ' order by page_seq) raw_text from (select session_id, page_seq, string_agg(txt, ' | ' order by ord) t from ({good}) group by 1, 2) group by 1)""", f"""
+  select s.session_id, true success, case when n > 0 then n || ' item types identified' else 'No items identified' end message, md5(coalesce(raw_text, '')) text_md5, grand_total{more},
+    coalesce(items, '') items, md5(coalesce(warned, '')) warnings_md5
+  from (select distinct session_id from sent) s left join tot using (session_id) left join txt using (session_id){' left join fb using (session_id)' if more else ''}
+    left join (select session_id, string_agg(message, chr(10) order by page_seq, source, message) warned from msg group by 1) m using (session_id)"""
+
+
+def _list_sql():
+    from suite import inventories as I
+    titled = FX.sql("titled", "duckdb")
+    good = f"select * from ({titled}) where page_id%17 <> 0 and page_id%23 <> 0"
+    start, end = _session_sql(titled, good, ", bar_current, bar_max")
+    number = "regexp_replace({}::varchar, '\\.0$', '')"
+    return f"""with recursive {I.AP.replace(f"({titled})", f"({good})")}, {I.fold_ctes(I._READS)}, win as (select * from f qualify row_number() over (partition by session_id, item_id order by n desc) = 1),
+  it as (select session_id, item_id, k.unit_value, qty, qty*k.unit_value total from win join {I._TITLES} using (item_id)),
+  tot as (select session_id, count(*) n, sum(total)::bigint grand_total, string_agg(item_id || ':' || qty || ':' || total, ',' order by unit_value, item_id) items from it group by 1),
+  fb as (select * from bar qualify row_number() over (partition by session_id order by page_seq) = 1), {start},
+  msg as (select session_id, page_seq, 'reply' source, case when page_id%23=0 then 'UNREADABLE_REPLY' else 'RECOGNISER_FAILED: no image' end message from sent where page_id%17=0 or page_id%23=0
+    union all select b.session_id, b.page_seq, 'bar', '[AP Bar] Divergence detected in image ' || b.page_seq || '. Previous: ' || w.bar_current || '/' || w.bar_max || ', New: ' || b.bar_current || '/' || b.bar_max || '. Kept previous value.'
+      from bar b join fb w using (session_id) where b.bar_max <> w.bar_max or b.bar_current <> w.bar_current
+    union all select session_id, nseq, 'item', '[Item Conflict] ''' || title || ''' diverged between images. Values: ' || pq || ' vs ' || nq || '. System chose: ' || qty || ' (Conf: ' || {number.format('nc')} || '% vs ' || {number.format('pc')} || '%).'
+      from f join {I._TITLES} using (item_id) where pq <> nq) {end}"""
+
+
+def _grid_sql():
+    from suite import inventories as I
+    grid = FX.sql("grid", "duckdb")
+    good = f"select * from ({grid}) where page_id%170 <> 0 and page_id%230 <> 0"
+    start, end = _session_sql(grid, good)
+    return f"""with recursive {I.XP.replace(f"({grid})", f"({good})")}, {I.GHOST}, o as (select g.*, session_id, page_seq from gh g join {I._PAGES} using (page_id)), rd as (select * from o where not ghost and quantity <> -1),
+  win as (select * from rd qualify row_number() over (partition by session_id, item_id order by quantity desc, confidence desc, page_seq, dist, anchor_ord) = 1),
+  tot as (select session_id, count(*) n, sum(cast(quantity as bigint)*unit_value)::bigint grand_total,
+    string_agg(item_id || ':' || quantity || ':' || cast(quantity as bigint)*unit_value, ',' order by unit_value, item_id) items from win group by 1),
+  cf as (select *, max(quantity) over (partition by session_id, item_id order by page_seq, dist, anchor_ord rows between unbounded preceding and 1 preceding) pq from rd), {start},
+  msg as (select session_id, page_seq, 'reply' source, case when page_id%230=0 then 'UNREADABLE_REPLY' else 'RECOGNISER_FAILED: no image' end message from sent where page_id%170=0 or page_id%230=0
+    union all select session_id, page_seq, 'read', case when ghost then '[Sanity Check] Discarded ' || item_id || ' with value ' || quantity || ' because it duplicates a higher confidence neighbor (Ghost Read).'
+      else '[Ignored] Could not read quantity for ' || item_id || ' (Color: ' || color || ').' end from o where ghost or quantity = -1
+    union all select session_id, page_seq, 'item', '[Conflict] ' || item_id || ': ' || pq || ' vs ' || quantity || '. Using ' || greatest(pq, quantity) || '.' from cf where pq <> quantity) {end}"""
+
+
+@query("list_flow", _list_sql())
+def _(spark, sf):
+    replies = _sent(spark, FX.load(spark, sf, "titled"), ["session_id", "page_id", "page_seq"], F.col("page_id") % 17 == 0, F.col("page_id") % 23 == 0)
+    return _session_columns(flows.list_flow(replies)[0], ",bar_current:bigint,bar_max:bigint")
+
+
+@query("grid_flow", _grid_sql())
+def _(spark, sf):
+    replies = _sent(spark, FX.load(spark, sf, "grid"), ["session_id", "page_id", "page_seq"], F.col("page_id") % 170 == 0, F.col("page_id") % 230 == 0, color=True)
+    rescans = FX.load(spark, sf, "rescan").withColumn("page_id", F.col("page_id").cast("string"))
+    return _session_columns(flows.grid_flow(replies, rescans=rescans)[0])
+
+
 @query("load_dictionary", "with e as (select p_brand, min(p_partkey) entry_ord from part group by 1), l as (select p_brand, p_name, row_number() over (partition by p_brand order by p_name) - 1 label_ord from (select distinct p_brand, p_name from part)) "
        "select p_brand entry_id, entry_ord, p_brand canonical, cast(label_ord as int) label_ord, p_name label from e join l using (p_brand)")
 def _(spark, sf):

@@ -20,7 +20,7 @@ from blockwise.operators.ordered import ConflictFold, running_before, sequence_n
 from blockwise.operators.picks import top_k
 from blockwise.operators.rescans import repair_assignment
 from blockwise.operators.rollups import full_text
-from blockwise.plans import item_lists, profiles
+from blockwise.plans import flows, item_lists, profiles
 from blockwise.session import clear_staged, stage
 from blockwise.sources import dictionaries, records, replies
 from blockwise.vocabulary import DEFAULT, Vocabulary
@@ -344,3 +344,38 @@ def test_records_are_written_by_source(spark, tmp_path):
     df = spark.createDataFrame([(1, "report"), (2, "profile")], "page_id int, source string")
     records.write_records(df, str(tmp_path / "out"), "source")
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "report"), (2, "profile")]
+
+
+def files(folder):
+    return sorted((os.path.join(d, f), os.path.getsize(os.path.join(d, f)), os.path.getmtime(os.path.join(d, f))) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_a_run_is_written_once(spark, tmp_path):
+    out = str(tmp_path / "out")
+    one, none = spark.range(5).withColumn("v", F.rand()), spark.range(0)
+    assert records.committed(spark, out).count() == 0
+    assert records.write_run({"records": one, "warnings": none}, out, "a") == {"records": 5, "warnings": 0}
+    before, kept = files(out), rows(records.read_runs(spark, out, "records"))
+    assert records.write_run({"records": one, "warnings": none}, out, "a") == {"records": 5, "warnings": 0}
+    assert files(out) == before and rows(records.read_runs(spark, out, "records")) == kept
+    spark.range(99).write.parquet(f"{out}/records/run=b")  # broken off: no commit
+    assert records.read_runs(spark, out, "records").count() == 5
+    assert records.write_run({"records": spark.range(2), "warnings": none}, out, "b") == {"records": 2, "warnings": 0}
+    assert rows(records.read_runs(spark, out, "records").groupBy("run").count()) == [("a", 5), ("b", 2)]
+
+
+def test_list_pages_are_numbered_by_arrival(spark, tmp_path):
+    title, unit, item = DEFAULT.titled_items[0]
+    def reply(page, arrival, qty, conf):
+        box = lambda y: [[100, y], [400, y], [400, y + 20], [100, y + 20]]
+        blocks = [{"text": title, "box": box(100), "conf": conf}, {"text": f"Owned: {qty}", "box": box(140), "conf": conf}]
+        return json.dumps({"session_id": "7", "page_id": page, "arrival": str(arrival), "success": True, "blocks": blocks})
+    lost = '{"session_id": "7", "page_id": "c", "arrival": "25", "succ'
+    (tmp_path / "r.json").write_text("\n".join([reply("b", 20, 9, 0.8), lost, reply("a", 10, 5, 0.8), reply("d", 30, 9, 0.95)]))
+    keys = ["session_id", "page_id", "arrival"]
+    envelopes, warnings = flows.list_flow(replies.read_replies(spark, str(tmp_path), keys))
+    envelope = json.loads(envelopes.first().envelope)
+    assert envelope["data"] == {"grand_total": 9 * unit, "items": [{"unit_value": unit, "item_id": item, "title": title, "quantity": 9, "confidence": 95.0, "total_value": 9 * unit}]}
+    assert envelope["raw_text"] == f"[IMG 1] {title} | Owned: 5 | [IMG 2] {title} | Owned: 9 | [IMG 4] {title} | Owned: 9"
+    assert envelope["warnings"] == [f"[Item Conflict] '{title}' diverged between images. Values: 5 vs 9. System chose: 9 (Conf: 80% vs 80%).", "UNREADABLE_REPLY"]
+    assert rows(warnings.select("source", "session_id", "page_seq")) == [("item", 7, 2), ("reply", 7, 3)]
