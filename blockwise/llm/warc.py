@@ -9,6 +9,10 @@ in full, the others are revisits that name it.
 Archives lie in the shared folder, under names made from their content: a task that is run twice leaves the same file or
 an unused one, and rows only name files that their own task has finished.
 
+A damaged archive (cut off, not gzip, a record without its length) ends the job with a ``DamagedArchive`` that names it; with
+``strict=False`` its whole records are kept and the index says ``damaged`` once in the place of the rest.  Zero bytes that pad a
+file are no damage.
+
 Defined results: null html is an empty payload; null urls become ``about:blank``; a null page_id comes after all others;
 of rows with the same page_id and payload one is the response; an empty table gives no archives; extra columns are left out.
 """
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockwise import session
 from blockwise.llm.common import small
-from blockwise.session import shared_folder, stage
+from blockwise.session import stage
 
 #: Uncompressed size at which the next archive is begun.
 ARCHIVE_BYTES = 64 << 20
@@ -38,9 +43,14 @@ READ_BYTES, MOST_TASKS = 4 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+DAMAGED = "damaged"
 INDEX = "archive string, offset long, length long, record_type string, page_id long"
 
 
+class DamagedArchive(ValueError):
+    """An archive that cannot be read to its end."""
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'payload:{digest}')}>"
 
@@ -67,7 +77,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     top, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = top.decode().split("\r\n")
     if not version.startswith("WARC/"):
-        raise ValueError("not a WARC record")
+        raise DamagedArchive("not a WARC record")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
     return fields, rest[:int(fields["Content-Length"])]
 
@@ -83,15 +93,17 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
                 if end < 0:
                     break
                 lines = bytes(held[:end]).split(b"\r\n")
-                size = next(int(x.split(b":", 1)[1]) for x in lines if x.lower().startswith(b"content-length:"))
-                need = end + 4 + size + 4
+                size = next((x.split(b":", 1)[1].strip() for x in lines if x.lower().startswith(b"content-length:")), b"")
+                if not size.isdigit():
+                    raise DamagedArchive("a record does not say its length")
+                need = end + 4 + int(size) + 4
             if len(held) < need:
                 break
             yield bytes(held[:need])
             del held[:need]
             need = 0
     if held:
-        raise ValueError("the archive ends inside a record")
+        raise DamagedArchive("the archive ends inside a record")
 
 
 class _Archive:
@@ -166,29 +178,46 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file of one member or several, in pieces."""
-    unpacker = zlib.decompressobj(31)
-    while data := stream.read(CHUNK):
-        while data:
-            yield unpacker.decompress(data)
-            data = unpacker.unused_data
-            if unpacker.eof:
-                unpacker = zlib.decompressobj(31)
-
-
-def _normaliser(folder: str, target: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The content of a gzip file of one member or several, in pieces of at most ``CHUNK`` bytes."""
+    unpacker = None
+    try:
+        while data := stream.read(CHUNK):
+            while data:
+                if unpacker is None:
+                    data = data.lstrip(b"\0")  # what pads a file after a member
+                    if not data:
+                        break
+                    unpacker = zlib.decompressobj(31)
+                yield unpacker.decompress(data, CHUNK)
+                data = unpacker.unconsumed_tail
+                if unpacker.eof:
+                    data, unpacker = unpacker.unused_data, None
+        while unpacker is not None and (rest := unpacker.decompress(unpacker.unconsumed_tail, CHUNK)):
+            yield rest
+    except zlib.error as e:
+        raise DamagedArchive(str(e)) from None
+    if unpacker is not None and not unpacker.eof:
+        raise DamagedArchive("the gzip stream is cut off")
+
+
+def _normaliser(folder: str, target: str, strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch["archive"].to_pylist():
                 out, index = _Archive(target, ".warc.gz"), []
-                with source.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                    for data in split_records(_inflated(stream)):
-                        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                        member = packer.compress(data) + packer.flush()
-                        fields, _ = parse(data)
-                        index.append((out.size, len(member), fields["WARC-Type"], int(fields["X-Page-Id"]) if fields.get("X-Page-Id") else None))
-                        out.add(member)
+                try:
+                    with source.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                        for data in split_records(_inflated(stream)):
+                            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                            member = packer.compress(data) + packer.flush()
+                            fields, _ = parse(data)
+                            index.append((out.size, len(member), fields["WARC-Type"], int(fields["X-Page-Id"]) if fields.get("X-Page-Id") else None))
+                            out.add(member)
+                except DamagedArchive as e:
+                    if strict:
+                        raise DamagedArchive(f"{name}: {e}") from None
+                    index.append((out.size, 0, DAMAGED, None))
                 done = out.close()
                 with out.fs.open_output_stream(f"{out.folder}/{done}.idx") as sidecar:
                     sidecar.write("".join("\t".join("" if v is None else str(v) for v in row) + "\n" for row in index).encode())
@@ -199,11 +228,11 @@ def _normaliser(folder: str, target: str) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, target: str, strict: bool = True) -> DataFrame:
     """Rewrites the archives named in ``archives`` from ``folder`` to ``target`` record by record; the index of all records."""
     # an archive is a task's work: the rows are too small for Spark to spread them by itself
     spread = archives.select("archive").repartition(min(MOST_TASKS, max(1, archives.count())))
-    return stage(spread.mapInArrow(_normaliser(folder, target), INDEX))
+    return stage(spread.mapInArrow(_normaliser(folder, target, strict), INDEX))
 
 
 def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -236,6 +265,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` names, each read on its own: page_id, payload_bytes, payload_digest, record_type,
     refers_to, url, payload (null for a revisit)."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+    index = index.where(F.col("record_type") != DAMAGED)
     size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     places = index.select("archive", "offset", "length").repartitionByRange(min(MOST_TASKS, 1 + size // READ_BYTES), "archive", "offset")
     return places.sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder), schema)
@@ -243,4 +273,4 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 def new_folder(df: DataFrame, name: str) -> str:
     """A folder of its own in the shared one."""
-    return f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return session.new_folder(df.sparkSession, name)
