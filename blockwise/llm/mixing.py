@@ -7,7 +7,9 @@ the fraction for the first documents in a seeded order until it is used up.
 
 Defined results: null and empty texts have size 0 and are taken as often as the others of their source; a null source is
 a source of its own, the last one; sources without a word have target 0; repeated rows are taken together; an empty
-table gives no rows; columns of ``docs`` that clash with an added one are replaced.
+table gives no rows; columns of ``docs`` that clash with an added one are replaced.  Given weights of a source that is listed
+more than once are added up; a source without a weight, or with none above 0, has target 0, so its documents are taken 0 times,
+and it does not count towards the budget.
 """
 
 from __future__ import annotations
@@ -66,9 +68,14 @@ def plan(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5,
     if weights is None:
         sources = cyclic_weights(sources)
     else:
-        named = weights.select(F.col("source").alias("_source"), F.col("weight").alias("weight"))
-        sources = sources.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    filled = (water_fill(sources, share, max_epochs)
+        named = weights.groupBy(F.col("source").alias("_source")).agg(F.sum("weight").alias("weight"))
+        sources = sources.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    wanted = sources if weights is None else sources.where("weight > 0")
+    targets = water_fill(wanted, share, max_epochs)
+    if weights is not None:
+        rest = sources.where("weight is null or weight <= 0").select("source", "source_size", "weight", F.lit(0.0).alias("target"))
+        targets = targets.unionByName(rest)
+    filled = (targets
               .withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
               .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")))
     filled = small(filled)

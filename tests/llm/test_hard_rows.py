@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import hashlib
+import zlib
 from collections import Counter
 
 import pytest
@@ -54,6 +56,16 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_given_weights(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["a", "b", "c", "d", None] * 40)], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 1.0), ("c", 0.0), (None, None), ("z", 5.0)], "source string, weight double")
+    got = {r.source: (r.n, r.target, r.taken) for r in mixing.shares(docs, weights, share=1.0).groupBy("source").agg(
+        F.count("*").alias("n"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert got == {"a": (40, 600.0, 600), "b": (40, 200.0, 200), "c": (40, 0.0, 0), "d": (40, 0.0, 0), None: (40, 0.0, 0)}
+    nothing = mixing.shares(docs, weights.where("weight = 0"))
+    assert nothing.count() == 200 and nothing.agg(F.sum("taken")).first()[0] == 0
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "assistant", None), (None, 1, None, "</turn> \\ <turn x>"), (2, 1, "a>b\\g", "<\\\\turn"),
              (3, 0, "assistant", "a" * 500_000), (4, 0, "user", "")]
@@ -105,6 +117,25 @@ def test_warc(spark):
     assert warc.read(warc.normalise(warc.write(empty, streams), streams, members), members).count() == 0
 
 
+@pytest.mark.parametrize("harm, kept", [("pad", 6), ("cut", 3), ("zeros", 6), ("length", 5), ("text", 0)])
+def test_damaged_archives(spark, tmp_path, harm, kept):
+    records = [warc.record(i, "u", bytes([65 + i]) * 50_000, hashlib.sha1(bytes([65 + i]) * 50_000).hexdigest(), "response", None) for i in range(6)]
+    if harm == "length":
+        records[5] = records[5].replace(b"Content-Length:", b"Content-Size:")
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    first = b"".join(packer.compress(r) for r in records[:3]) + packer.flush(zlib.Z_FULL_FLUSH)
+    whole = first + b"".join(packer.compress(r) for r in records[3:]) + packer.flush()
+    data = {"pad": whole + bytes(3000), "cut": first, "zeros": whole + bytes(1) + zlib.compress(b"", wbits=31), "length": whole, "text": b"no gzip"}[harm]
+    (tmp_path / "a").write_bytes(data)
+    archives, target = spark.createDataFrame([("a",)], "archive string"), warc.new_folder(spark.range(0), "t-members")
+    index = warc.normalise(archives, f"file://{tmp_path}", target, strict=False)
+    assert [r.record_type for r in index.orderBy("offset", F.desc("length")).collect()] == ["response"] * kept + ["damaged"] * (harm in ("cut", "length", "text"))
+    assert sorted(r.page_id for r in warc.read(index, target).collect()) == list(range(kept))
+    if harm in ("cut", "length", "text"):
+        with pytest.raises(Exception, match="DamagedArchive: a: "):
+            warc.normalise(archives, f"file://{tmp_path}", target)
+
+
 def test_line_quality(docs, none, labels):
     field = line_quality.fit(docs, labels)
     got = line_quality.judge(docs, field).collect()
