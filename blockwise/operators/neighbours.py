@@ -63,6 +63,26 @@ def nearest_in_direction(sources: DataFrame, blocks: DataFrame, direction: str,
     return found.select(*keys, "cost", *[F.col(f"t_{p}").alias(p) for p in payload])
 
 
+def nearest_around(sources: DataFrame, blocks: DataFrame, reach: dict[str, float], keys: Sequence[str] = ("page_id", "src_ord"),
+                   payload: Sequence[str] = ("ord", "txt")) -> DataFrame:
+    """For each source and each ``direction`` with its reach the cheapest block ahead, in one meeting of both sides."""
+    where, size = [k for k in keys if k != "src_ord" and k in blocks.columns], max(reach.values())
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / size).cast("bigint")
+    targets = blocks.select(*where, F.col("nx").alias("tx"), F.col("ny").alias("ty"), cell("nx").alias("gx"), cell("ny").alias("gy"),
+                            *[F.col(p).alias(f"t_{p}") for p in dict.fromkeys(["ord", *payload])])
+    spots = sources.select(*keys, F.col("nx").alias("sx"), F.col("ny").alias("sy"))
+    for name, of in (("gx", "sx"), ("gy", "sy")):
+        spots = spots.withColumn(name, F.explode(F.array(*[cell(of) + step for step in (-1, 0, 1)])))
+    dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+    ways = F.array(*[F.struct(F.lit(d).alias("direction"), F.when((F.abs(dx) < r) & (F.abs(dy) < r), direction_cost(dx, dy, d)).alias("cost"))
+                     for d, r in reach.items()])
+    hits = targets.join(spots, [*where, "gx", "gy"]).withColumn("_way", F.explode(F.filter(ways, lambda w: w["cost"].isNotNull()))).select("*", "_way.*")
+    found = first_by(hits, [*keys, "direction"], [F.col("cost"), F.col("t_ord")], ["cost", *[f"t_{p}" for p in payload]])
+    return found.select(*keys, "direction", "cost", *[F.col(f"t_{p}").alias(p) for p in payload])
+
+
 def nearest_to_anchor(anchors: DataFrame, candidates: DataFrame, payload: Sequence[str] = ("ord", "value")) -> DataFrame:
     """For each page's one anchor (page_id, ax, ay) the closest candidate (page_id, ord, cx, cy, ...)."""
     pairs = candidates.join(anchors.select("page_id", "ax", "ay"), "page_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blockwise.functions import names, numbers
 from blockwise.operators.classify import classify_report_blocks, page_type_detect
 from blockwise.operators.filters import low_confidence_numbers, side_split
-from blockwise.operators.neighbours import nearest_in_direction
+from blockwise.operators.neighbours import nearest_around
 from blockwise.operators.picks import first_by
 from blockwise.operators.rollups import mean_confidence
 from blockwise.plans import reports as R
@@ -92,11 +92,7 @@ _DIRS = [("right", 0.45), ("left", 0.3), ("down", 0.3), ("up", 0.2)]
 def _(spark, sf):
     blocks = prepared(spark, sf)
     sources = blocks.filter(F.col("block_type").isin("Tag", "UnitsLabel", "StatusResult")).withColumn("src_ord", F.col("ord"))
-    out = None
-    for d, reach in _DIRS:
-        part = nearest_in_direction(sources, blocks, d, reach).select(F.lit(d).alias("direction"), "page_id", "src_ord", "ord", "txt")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return nearest_around(sources, blocks, dict(_DIRS)).select("direction", "page_id", "src_ord", "ord", "txt")
 
 
 @query("mean_confidence", f"with fx as ({REPORT}) select page_id, round(avg(conf), 6) mean_conf from fx group by 1")

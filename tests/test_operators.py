@@ -15,7 +15,7 @@ from blockwise.functions.text import edit_budget
 from blockwise.operators import dictionary_match as M
 from blockwise.operators import grid as G
 from blockwise.operators.dictionary_match import entity_resolution_topk, fuzzy_dictionary_join
-from blockwise.operators.neighbours import nearest_in_direction, proximity_veto
+from blockwise.operators.neighbours import nearest_around, nearest_in_direction, proximity_veto
 from blockwise.operators.ordered import ConflictFold, running_before, sequence_number
 from blockwise.operators.picks import top_k
 from blockwise.operators.rescans import repair_assignment
@@ -245,6 +245,8 @@ def test_neighbours_by_cell(spark):
             if best:
                 want.append((i, best[1]))
         assert rows(nearest_in_direction(src, df, d, 0.3).select("src_ord", "ord")) == sorted(want)
+        around = nearest_around(src, df, {"right": 0.3, "left": 0.1, "up": 0.3, "down": 0.2}).where(F.col("direction") == d)
+        assert rows(around.select("src_ord", "ord")) == sorted(want)
         by_column = nearest_in_direction(src.withColumn("r", F.lit(0.3)), df, d, "r")
         assert rows(by_column.select("src_ord", "ord")) == sorted(want)
 
