@@ -40,6 +40,15 @@ def _words_by_length(words: tuple[str, ...], threshold: float) -> list[list[dict
     return table
 
 
+def _few_digits(text: Column, words: list[str], threshold: float) -> Column:
+    """False where a text has more digits than edits allowed, so that none of ``words``, if they have none, resembles it."""
+    if any(c.isdigit() for w in words for c in w):
+        return F.lit(True)
+    size = F.length(text)
+    digits = size - F.length(F.translate(text, "0123456789", ""))
+    return digits <= size * ((1.0 - threshold) / threshold) + 1e-9
+
+
 def similar_to_any(text: Column, words: list[str], threshold: float) -> Column:
     """True where the text is more similar than ``threshold`` to one of the words.
 
@@ -50,13 +59,24 @@ def similar_to_any(text: Column, words: list[str], threshold: float) -> Column:
     lowered = F.lower(text)
     hit = F.exists(F.get(by_length, F.length(lowered)),
                    lambda x: F.call_function("levenshtein", lowered, x["w"], x["k"]) >= 0)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(F.when(_few_digits(lowered, words, threshold), hit), F.lit(False))
 
 
 def _literal(word: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", word)
 
 
+def _trie_pattern(words: list[str]) -> str:
+    """A pattern for any of ``words`` that tries what they begin alike once."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    branches = []
+    for first, tails in by_first.items():
+        branches.append(_literal(first) + ("" if "" in tails else _trie_pattern(tails)))
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """True where the text contains one of the words, ignoring case."""
     distinct = sorted({w.lower() for w in words if w})
@@ -64,9 +84,8 @@ def contains_any(text: Column, words: list[str]) -> Column:
     needed = [w for w in distinct if not any(o != w and o in w for o in distinct)]
     if not needed:
         return F.lit(False)
-    # one alternation of literals: a single pass in generated code
-    pattern = "|".join(_literal(w) for w in needed)
-    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
+    # one pattern: a single pass in generated code
+    return F.coalesce(F.lower(text).rlike(_trie_pattern(needed)), F.lit(False))
 
 
 def matches_any(text: Column, words: list[str], threshold: float) -> Column:
@@ -74,6 +93,34 @@ def matches_any(text: Column, words: list[str], threshold: float) -> Column:
     return contains_any(text, words) | similar_to_any(text, words, threshold)
 
 
+@lru_cache(maxsize=64)
+def _ranked_by_length(lists: tuple[tuple[str, ...], ...], threshold: float) -> list[list[dict]]:
+    """At index n the words of all lists that can pass against a text of length n, with their budgets and first lists."""
+    rank: dict[str, int] = {}
+    for i, words in enumerate(lists, 1):
+        for w in words:
+            rank.setdefault(w.lower(), i)
+    table = _words_by_length(tuple(rank), threshold)
+    return [[{**x, "rank": rank[x["w"]]} for x in fits] for fits in table]
+
+
+def first_matching_list(text: Column, lists: list[list[str]], threshold: float) -> Column:
+    """Number (from 1) of the first list with a word that the text contains or resembles, NULL if there is none.
+
+    A text is compared once with each word of a workable length, whatever number of lists has it, and searched once for all
+    words together; only a text that contains one is looked at list by list.
+    """
+    table = constant(_ranked_by_length(tuple(map(tuple, lists)), threshold), "array<array<struct<w:string,k:int,rank:int>>>")
+    lowered = F.lower(text)
+    every = [w for words in lists for w in words]
+    alike = F.when(_few_digits(lowered, every, threshold), F.array_min(F.transform(F.get(table, F.length(lowered)), lambda x: F.when(
+        F.call_function("levenshtein", lowered, x["w"], x["k"]) >= 0, x["rank"]))))
+    held = F.when(contains_any(text, lists[0]), 1)
+    for i, words in enumerate(lists[1:], 2):
+        held = held.when(contains_any(text, words), i)
+    return F.least(alike, F.when(contains_any(text, every), held))
+
+
 def first_matching_word(text: Column, words: list[str], threshold: float) -> Column:
     """The first word in list order that the text resembles or contains, NULL if there is none."""
     hits = F.filter(word_array(words), lambda w: (similarity(text, w) > threshold) | F.contains(F.lower(text), F.lower(w)))

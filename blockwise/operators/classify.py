@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions import numbers as N
-from blockwise.functions.text import contains_any, matches_any, similar_to_any
+from blockwise.functions.text import contains_any, first_matching_list, matches_any, similar_to_any
 from blockwise.vocabulary import COLOR_ORDER, COLOR_RANGES, DEFAULT, METRIC_LISTS, PROFILE_UI_LISTS, Vocabulary
 
 # Similarity a keyword match must exceed, per rule.
@@ -38,18 +38,16 @@ def classify_profile_blocks(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT)
 def report_type(txt: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     t = F.trim(txt)
 
-    def listed(*names: str) -> Column:
-        return (t != "") & matches_any(t, vocabulary.words(*names), REPORT_THRESHOLD)
-    rules = [(listed(name), block_type) for name, block_type in METRIC_LISTS]
-    rules += [(listed("victory", "defeat"), "StatusResult"),
-              (t.rlike(N.REPORT_TAG), "Tag"),
-              (N.is_pure_number(t), "Number"),
-              (t.rlike(N.REPORT_DATE) | t.rlike(N.REPORT_COORDINATES), "DateOrTime"),
-              (contains_any(t, vocabulary.words("global_blacklist", "ui_blacklist")), "UI")]
-    out = F.when(rules[0][0], rules[0][1])
-    for condition, value in rules[1:]:
-        out = out.when(condition, value)
-    return out.otherwise("Unknown")
+    kinds = [*[block_type for _, block_type in METRIC_LISTS], "StatusResult"]
+    lists = [*[vocabulary.words(name) for name, _ in METRIC_LISTS], vocabulary.words("victory", "defeat")]
+    # the list rules come first, so they are decided together
+    listed = F.get(F.array(*map(F.lit, kinds)), first_matching_list(F.nullif(t, F.lit("")), lists, REPORT_THRESHOLD) - 1)
+    rest = (F.when(t.rlike(N.REPORT_TAG), "Tag")
+            .when(N.is_pure_number(t), "Number")
+            .when(t.rlike(N.REPORT_DATE) | t.rlike(N.REPORT_COORDINATES), "DateOrTime")
+            .when(contains_any(t, vocabulary.words("global_blacklist", "ui_blacklist")), "UI")
+            .otherwise("Unknown"))
+    return F.coalesce(listed, rest)
 
 
 def classify_report_blocks(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from blockwise.functions import names, numbers
-from blockwise.functions.text import contains_any, edit_budget, first_matching_word, normalize_accents, similar_to_any, similarity
+from blockwise.functions.text import contains_any, edit_budget, first_matching_list, first_matching_word, normalize_accents, similar_to_any, similarity
 from blockwise.plans.profiles import audit_profiles
 from blockwise.vocabulary import DEFAULT, KEYWORDS
 
@@ -60,6 +60,15 @@ def test_contains_and_first_match(spark):
     assert column(spark, ["xa.bx", "axb", "C[1]", "c1", "n/a"], lambda t: contains_any(t, marks)) == [True, False, True, False, True]
 
 
+def test_first_matching_list(spark):
+    lists = [["dead", "Killed in action"], ["units", "total units"], ["dead units", "heal"], ["heals"]]
+    texts = sorted(set(noisy([w for ws in lists for w in ws], 150, 12))) + ["", "the dead units", "all units heal", "x" * 500, None]
+    def want(t):
+        hits = [i for i, ws in enumerate(lists, 1) if t and any(w.lower() in t.lower() or like(t, w) > 0.8 for w in ws)]
+        return hits[0] if hits else None
+    assert column(spark, texts, lambda t: first_matching_list(t, lists, 0.8)) == [want(t) for t in texts]
+
+
 def test_edit_budget_is_the_threshold():
     for a in range(1, 20):
         for b in range(1, 20):
