@@ -126,26 +126,112 @@ def test_counts_keep_their_ratio_and_tables_grow():
     assert [context_mixing.table_bits(n) for n in (0, 1000, 400_000, 10**9)] == [20, 20, 21, 22]
 
 
+def dictionary(spark, counts):
+    words = spark.createDataFrame([(w, sum(n), n) for w, n in counts.items()], "word binary, n long, by_class array<long>")
+    ranges = context_mixing.sorted_ranges(words, 3)
+    return ranges, context_mixing.shared_nodes(ranges, len(next(iter(counts.values()))))
+
+
+def spelled(counts, speller):
+    keys = sorted(w + b" " for w in counts)
+    return {k[:-1]: x for k, x in zip(keys, speller.spell(keys, np.array([counts[k[:-1]] for k in keys])))}
+
+
 def test_larger_tables_score_as_small_ones_where_nothing_collides(spark):
-    words = spark.createDataFrame([(f"{w}{i}".encode(),) for i in range(300) for w in ("lorem", "ipsum")], "word binary")
-    small, large = (context_mixing.tally(words, size) for size in (20, 22))
+    counts = {f"{w}{i}".encode(): [1 + i % 3, i % 2] for i in range(300) for w in ("lorem", "ipsum")}
+    ranges, shared = dictionary(spark, counts)
+    small, large = (context_mixing.tally(ranges.select("word"), size) for size in (20, 22))
     assert large.shape == (context_mixing.ORDERS, 1 << 22, 2) and small.sum() == large.sum()
-    assert np.isclose(context_mixing.learn(words, 22).prepare().spell([b"lorem7"]), context_mixing.learn(words, 20).prepare().spell([b"lorem7"]), atol=0.1).all()
+    learned = context_mixing.learn(ranges, shared, 22)
+    # the same weights over either size
+    less, more = (spelled(counts, context_mixing.Speller(np.stack([context_mixing._odds(n[:, 0], n[:, 1]) for n in tables]), learned.weights, learned.refine))
+                  for tables in (x.reshape(context_mixing.ORDERS, -1, 2) for x in (small, large)))
+    assert np.allclose(less[b"lorem7"], more[b"lorem7"], atol=0.1)
+    assert np.median([np.abs(less[w] - more[w]) for w in counts]) < 1e-9  # most words share no place with another
+
+
+def random_speller(rng):
+    odds = rng.normal(0, 1, (context_mixing.ORDERS, 1 << context_mixing.TABLE_BITS)).astype(np.float16)
+    return context_mixing.Speller(odds, rng.normal(0, 0.3, (context_mixing.INPUTS + 1, context_mixing.GATES)), rng.uniform(0.1, 0.9, context_mixing.REFINED))
 
 
 def test_spelling_is_a_distribution():
-    """Under any counts, the words that go on from a prefix share its probability."""
+    """Under any counts, the words that go on from a prefix share its probability, in each class."""
     rng = np.random.default_rng(1)
-    tables = rng.integers(0, 50, (context_mixing.ORDERS, 1 << context_mixing.TABLE_BITS, 2)).astype(np.uint16)
-    weights = rng.normal(0, 0.3, (context_mixing.ORDERS + 1, context_mixing.GATES))
-    speller = context_mixing.Speller(tables, weights, rng.uniform(0.1, 0.9, 256 * 33)).prepare()
-    hashed, byte, before, _ = context_mixing.contexts([bytes([b]) for b in range(256)])
-    firsts = [i for i in range(len(byte)) if i % 2 == 0]
-    places, bits = context_mixing.slots(hashed[:, firsts], byte[firsts])
-    gate = speller.gates[places[3]] + np.arange(8)
-    mixed = speller.weights[-1][gate] + sum(speller.weights[k][gate] * speller.odds[k][places[k]] for k in range(context_mixing.ORDERS))
-    ones = 0.5 / (1 + np.exp(-mixed)) + 0.5 * speller.refine[context_mixing._refine_places(before[firsts], mixed)]
-    assert math.isclose(np.where(bits == 1, ones, 1 - ones).prod(axis=1).sum(), 1, rel_tol=1e-6)
+    speller = random_speller(rng)
+    for start in (b"", b"ab"):
+        # what goes on from a byte does so by the space or by a byte more; the dictionary knows some of these words
+        known = {start + bytes([b]): rng.integers(0, 9, 2) for b in range(256) if b != 32}
+        got = spelled({w: n for w, n in known.items()} | ({start: np.array([3, 0])}), speller)
+        level = list(context_mixing.levels(sorted(w + b" " for w in got), np.array([known.get(w[:-1], np.array([3, 0])) for w in sorted(w + b" " for w in got)]), speller.size))
+        bits = range(8 * len(start), 8 * len(start) + 8)
+        share = np.zeros((len(got), 2))
+        for i, x in enumerate(level):
+            if i in bits:
+                share[x.words] += bit_logs(speller, x)
+        assert np.allclose(np.exp(share).sum(axis=0), 1, rtol=1e-5)
+
+
+def bit_logs(speller, level):
+    """Plain Python: the logarithm of each word's bit in each class."""
+    out = []
+    for node, bit in zip(level.node.tolist(), level.bits.tolist()):
+        row = []
+        for k in range(level.counts.shape[2]):
+            zeros, ones = level.counts[node, :, k].tolist()
+            row.append(bit_log(speller, [float(speller.odds[o][level.places[o][node]]) for o in range(context_mixing.ORDERS)],
+                               level.counts[node, 0].sum(), level.counts[node, 1].sum(), zeros, ones, level.bit, bit))
+        out.append(row)
+    return np.array(out)
+
+
+def bit_log(speller, orders, all_zeros, all_ones, zeros, ones, place, bit):
+    smooth = context_mixing.SMOOTH
+    level = [sum(n > x for x in context_mixing.SEEN) for n in (all_zeros + all_ones, zeros + ones)]
+    gate = level[0] * context_mixing.LEVELS + level[1]
+    odds = [*orders, math.log((all_ones + smooth) / (all_zeros + smooth)), math.log((ones + smooth) / (zeros + smooth)), 1]
+    mixed = sum(float(w) * x for w, x in zip(speller.weights[:, gate * 8 + place], odds))
+    step = min(max(round((mixed + 12) * 4), 0), context_mixing.STEPS - 1)
+    p = (1 - context_mixing.TRUST) / (1 + math.exp(-mixed)) + context_mixing.TRUST * float(speller.refine[gate * context_mixing.STEPS + step])
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p if bit else 1 - p)
+
+
+def test_words_are_spelled_as_counted_prefix_by_prefix(spark):
+    """The dictionary's ranges give what a plain walk over prefixes of the whole dictionary gives."""
+    rng = np.random.default_rng(2)
+    counts = {bytes(rng.integers(97, 100, rng.integers(0, 6)).tolist()): rng.integers(0, 4, 2).tolist() for _ in range(150)} | {
+        b"\xc3\xa9t\xc3\xa9": [5, 0], b"a\x01": [1, 1], b"c" * 60: [2, 0], b"c" * 61: [1, 0], b"new": [0, 0]}
+    ranges, shared = dictionary(spark, counts)
+    assert ranges.select("part").distinct().count() == 3 and shared.count() > 0
+    speller = random_speller(rng)
+    box = spark.sparkContext.broadcast(speller)
+    rows = context_mixing.cogrouped(ranges, shared, context_mixing._lexicon(box), "word binary, name long, n long, logs array<double>").collect()
+    assert {bytes(r.word): r.n for r in rows} == {w: sum(n) for w, n in counts.items()}
+    begins = Counter()
+    for w, n in counts.items():
+        string = "".join(f"{b:08b}" for b in w + b" ")
+        for i in range(min(len(string), 8 * context_mixing.DEPTH) + 1):
+            begins.update({(string[:i], k): x for k, x in enumerate(n)})
+    for r in rows:
+        w, want = bytes(r.word), [0.0, 0.0]
+        hashed, byte, _, _, inside = context_mixing.contexts([w])
+        places, bits = context_mixing.slots(hashed, byte)
+        string = "".join(f"{b:08b}" for b in w + b" ")
+        for i, bit in enumerate(string):
+            orders = [float(speller.odds[o][places[o][i // 8, i % 8]]) for o in range(context_mixing.ORDERS)]
+            deep = i >= 8 * context_mixing.DEPTH
+            n = [[0 if deep else begins[string[:i] + b, k] for k in (0, 1)] for b in "01"]
+            for k in (0, 1):
+                if deep:  # there only the hashed predictors speak
+                    mixed = float(speller.weights[context_mixing.INPUTS][i % 8]) + sum(float(speller.weights[o][i % 8]) * x for o, x in enumerate(orders))
+                    step = min(max(round((mixed + 12) * 4), 0), context_mixing.STEPS - 1)
+                    p = (1 - context_mixing.TRUST) / (1 + math.exp(-mixed)) + context_mixing.TRUST * float(speller.refine[step])
+                    want[k] += math.log(p if bit == "1" else 1 - p)
+                else:
+                    want[k] += bit_log(speller, orders, sum(n[0]), sum(n[1]), n[0][k], n[1][k], i % 8, bit == "1")
+        # single precision here and there may round to the neighbouring step of the table
+        assert np.allclose(r.logs, want, rtol=0.02), w
 
 
 def test_warc(spark):
