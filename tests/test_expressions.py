@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from blockwise.functions import names, numbers
-from blockwise.functions.text import contains_any, edit_budget, first_matching_list, first_matching_word, normalize_accents, similar_to_any, similarity
+from blockwise.functions.text import _listed_words, _trie_pattern, contains_any, edit_budget, first_matching_list, first_matching_word, normalize_accents, similar_to_any, similarity
 from blockwise.plans.profiles import audit_profiles
 from blockwise.vocabulary import DEFAULT, KEYWORDS
 
@@ -115,3 +115,21 @@ def test_audit_swaps_power_and_kill_points(spark):
     a, b = sorted(audit_profiles(row).collect(), key=lambda r: r.page_id)
     assert (a.power, a.kill_points, a.name, a.alliance_tag, a.success, a.complete) == (7, 1_600_000_000, "--", "--", True, False)
     assert not b.success
+
+
+def test_many_words_are_searched_in_groups(spark):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzñжあ-&^]0") for _ in range(rnd.randint(2, 4))) for _ in range(120)]
+    assert "(?=[" in _trie_pattern(sorted(set(words)))
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzñжあ-&^]0") for _ in range(12)) for _ in range(300)] + words + [w[:-1] for w in words]
+    want = [any(w in t for w in words) for t in texts]
+    assert True in want and False in want
+    assert column(spark, texts, lambda t: contains_any(t, words)) == want
+
+
+def test_listed_words_are_decided_without_a_comparison(spark):
+    """They have the list that the comparison gives, which need not be their own."""
+    lists = [["units"], ["unit", "dead units"], ["unite", "gold", "bold"], ["golds"]]
+    assert _listed_words(tuple(map(tuple, lists)), 0.75) == [(1, ["dead units", "unit", "unite", "units"]), (3, ["bold", "gold", "golds"])]
+    texts = [w for words in lists for w in words] + ["Unit", "GOLDS", "goldy", "xyz"]
+    assert column(spark, texts, lambda t: first_matching_list(t, lists, 0.75)) == [1, 1, 1, 1, 3, 3, 3, 1, 3, 3, None]

@@ -39,3 +39,22 @@ def test_report_view_meets_every_part(spark):
     named = fixtures.load(spark, sf, "report").where(F.col("ord").isin(200, 201)).select("txt").distinct()
     parts = fixtures.load(spark, sf, "part").select(F.col("p_name").alias("txt")).distinct()
     assert parts.join(named, "txt", "left_anti").count() == 0
+
+
+def test_tasks_stay_small_and_smaller_settings_stay(spark):
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for given, want in (("128m", str(16 << 20)), ("4m", "4m")):
+            for k in keys:
+                spark.conf.set(k, given)
+            session.tune(spark)
+            assert [spark.conf.get(k) for k in keys] == [want] * 2
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_staged_files_are_bounded(spark):
+    staged = session.stage(spark.range(100, numPartitions=1), 30)
+    assert staged.count() == 100 and len(staged.inputFiles()) == 4
