@@ -15,6 +15,8 @@ from blockwise.vocabulary import DEFAULT, Vocabulary
 ALIGN = 2.0
 RADIUS = 5.5
 MAX_QUANTITY_TEXT = 9
+# Cells are twice as high as the search reaches and as wide as it reaches to both sides: an anchor has one or two each way.
+_WIDE, _HIGH, _ROUNDING = 2 * ALIGN, 2 * RADIUS, 1e-6
 
 
 def value_color_lookup(blocks: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -41,27 +43,38 @@ def quantity_blocks(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     return numbers.join(anchors.select("page_id", "ord"), ["page_id", "ord"], "left_anti")
 
 
+def _scaled(blocks: DataFrame, scale: DataFrame) -> DataFrame:
+    """Blocks with their page's median anchor height, which they may have already."""
+    return blocks if "m" in blocks.columns else blocks.join(scale, "page_id")
+
+
 def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / F.when(size > 0, size)).cast("bigint")
 
 
+def _reached(low: Column, high: Column, size: Column) -> Column:
+    """Every cell that a stretch may touch, rounding included."""
+    size = F.when(size > 0, size)
+    return F.sequence(F.floor(low / size - _ROUNDING).cast("bigint"), F.floor(high / size + _ROUNDING).cast("bigint"))
+
+
 def grid_candidates(anchors: DataFrame, quantities: DataFrame, scale: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Anchor and quantity pairs close enough to belong together.
 
-    Both sides meet on cells as large as the search window, so only neighbours are compared.  With ``limits``, an anchor's
+    Both sides meet on cells about as large as the search window, so only neighbours are compared.  With ``limits``, an anchor's
     ``blocked_from``, a pair has to be in sight as well, and no cell below that height is searched.
     """
     m, blocked = F.col("m"), F.col("blocked_from")
-    a = anchors.join(scale, "page_id").withColumnRenamed("ord", "anchor_ord")
+    a = _scaled(anchors, scale).withColumnRenamed("ord", "anchor_ord")
     a = a.withColumn("blocked_from", F.lit(None).cast("double")) if limits is None else a.join(limits, ["page_id", "anchor_ord"], "left")
-    own, below = _cell(F.col("cy"), m * RADIUS), _cell(blocked, m * RADIUS)
+    lowest = F.least(F.col("cy") + m * RADIUS, blocked)
     a = (a.select("page_id", "anchor_ord", F.col("cx").alias("ax"), F.col("cy").alias("ay"), "m", "blocked_from",
-                  _cell(F.col("cx"), m * ALIGN).alias("gx"), F.sequence(own, F.least(own + 1, below)).alias("gy"))
-         .withColumn("gx", F.explode(F.array(F.col("gx") - 1, F.col("gx"), F.col("gx") + 1)))
-         .withColumn("gy", F.explode("gy")))
-    q = (quantities.join(scale, "page_id")
+                  _reached(F.col("cx") - m * ALIGN, F.col("cx") + m * ALIGN, m * _WIDE).alias("gx"),
+                  _reached(F.col("cy"), lowest, m * _HIGH).alias("gy"))
+         .withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy")))
+    q = (_scaled(quantities, scale)
          .select("page_id", F.col("ord").alias("qty_ord"), F.col("cx").alias("qx"), F.col("cy").alias("qy"), "qty",
-                 _cell(F.col("cx"), m * ALIGN).alias("gx"), _cell(F.col("cy"), m * RADIUS).alias("gy")))
+                 _cell(F.col("cx"), m * _WIDE).alias("gx"), _cell(F.col("cy"), m * _HIGH).alias("gy")))
     gap = distance(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"))
     return (a.join(q, ["page_id", "gx", "gy"]).withColumn("dist", gap)
             .filter((F.col("qy") > F.col("ay")) & (F.abs(F.col("qx") - F.col("ax")) <= m * ALIGN)
@@ -72,14 +85,15 @@ def grid_candidates(anchors: DataFrame, quantities: DataFrame, scale: DataFrame,
 def next_anchor_below(anchors: DataFrame, scale: DataFrame) -> DataFrame:
     """Per anchor the height at which the next anchor of its column starts to block the view."""
     m = F.col("m")
-    placed = anchors.join(scale, "page_id").select(
+    placed = _scaled(anchors, scale).select(
         "page_id", "ord", "cx", "cy", "m",
-        _cell(F.col("cx"), m * ALIGN).alias("gx"), _cell(F.col("cy"), m * RADIUS).alias("gy"))
-    a = (placed.withColumnRenamed("ord", "anchor_ord").withColumnsRenamed({"cx": "ax", "cy": "ay"})
-         .withColumn("gx", F.explode(F.array(F.col("gx") - 1, F.col("gx"), F.col("gx") + 1)))
-         .withColumn("gy", F.explode(F.array(F.col("gy"), F.col("gy") + 1))))
+        _cell(F.col("cx"), m * _WIDE).alias("gx"), _cell(F.col("cy"), m * _HIGH).alias("gy"))
+    a = (placed.select("page_id", F.col("ord").alias("anchor_ord"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "m",
+                       _reached(F.col("cx") - m * ALIGN, F.col("cx") + m * ALIGN, m * _WIDE).alias("gx"),
+                       _reached(F.col("cy"), F.col("cy") + m * RADIUS, m * _HIGH).alias("gy"))
+         .withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy")).drop("m"))
     # in a cell only the position counts, so stacked anchors are met once
-    o = placed.select("page_id", "gx", "gy", "cx", "cy").distinct()
+    o = placed.select("page_id", "gx", "gy", "cx", "cy", "m").distinct()
     return (a.join(o, ["page_id", "gx", "gy"])
             .filter((F.col("cy") > F.col("ay")) & (F.abs(F.col("cx") - F.col("ax")) < m * ALIGN))
             .groupBy("page_id", "anchor_ord").agg(F.min("cy").alias("blocked_from")))
@@ -106,9 +120,13 @@ def page_parts(pairs: DataFrame) -> DataFrame:
         numbered = numbered.select(*keys, F.col("_cell").alias("_low"), F.sum("_new").over(order).alias(name))
         return df.join(numbered, [*keys, "_low"]).drop("_low", "_high")
 
-    m = F.col("m")
-    across = cut(pairs, ["page_id"], _cell(F.least("ax", "qx"), m * ALIGN), _cell(F.greatest("ax", "qx"), m * ALIGN), "column")
-    return cut(across, ["page_id", "column"], _cell(F.col("ay"), m * RADIUS), _cell(F.col("qy"), m * RADIUS), "part")
+    # cells instead of places: the pairs are dealt out several times
+    m, ends = F.col("m"), {"ax", "ay", "qx", "qy", "m"}
+    cells = {"_left": _cell(F.least("ax", "qx"), m * ALIGN), "_right": _cell(F.greatest("ax", "qx"), m * ALIGN),
+             "_top": _cell(F.col("ay"), m * RADIUS), "_bottom": _cell(F.col("qy"), m * RADIUS)}
+    placed = pairs.select(*[c for c in pairs.columns if c not in ends], *[c.alias(n) for n, c in cells.items()])
+    across = cut(placed, ["page_id"], F.col("_left"), F.col("_right"), "column").drop("_left", "_right")
+    return cut(across, ["page_id", "column"], F.col("_top"), F.col("_bottom"), "part").drop("_top", "_bottom")
 
 
 def _take(keys: int) -> Callable:
@@ -142,12 +160,12 @@ def greedy_matching(pairs: DataFrame, keys: Sequence[str] = ("page_id",)) -> Dat
 
 
 def matched_items(anchors: DataFrame, quantities: DataFrame, matches: DataFrame) -> DataFrame:
-    """Items of the matched pairs; confidence is the mean of both blocks in percent, half-even."""
+    """Items of the matched pairs with their ``dist``; confidence is the mean of both blocks in percent, half-even."""
     a = anchors.select("page_id", F.col("ord").alias("anchor_ord"), "item_id", "unit_value", "color", F.col("conf").alias("a_conf"))
     q = quantities.select("page_id", F.col("ord").alias("qty_ord"), "qty", F.col("conf").alias("q_conf"))
     return (matches.join(a, ["page_id", "anchor_ord"]).join(q, ["page_id", "qty_ord"])
             .select("page_id", "anchor_ord", "item_id", "unit_value", F.col("qty").alias("quantity"),
-                    pair_confidence(F.col("a_conf"), F.col("q_conf")).alias("confidence"), F.col("color")))
+                    pair_confidence(F.col("a_conf"), F.col("q_conf")).alias("confidence"), F.col("color"), "dist"))
 
 
 def pair_confidence(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from blockwise.operators import grid as G
 from blockwise.operators.merges import ghost_reads, max_wins_conflicts, max_wins_merge, pending_log
 from blockwise.operators.rescans import rescan_quantity_merge
 from blockwise.operators.rollups import item_totals
-from blockwise.session import stage
+from blockwise.session import FILE_ROWS, stage
 from blockwise.vocabulary import DEFAULT, Vocabulary
 
 
@@ -19,9 +19,12 @@ class GridPage:
 
     def __init__(self, blocks: DataFrame, vocabulary: Vocabulary = DEFAULT):
         prepared = with_geometry(blocks)
-        self.anchors = stage(G.value_color_lookup(prepared, vocabulary))
-        self.scale = G.upper_median_height(self.anchors)
-        self.quantities = G.quantity_blocks(prepared, self.anchors)
+        found = G.value_color_lookup(prepared, vocabulary)
+        self.scale = stage(G.upper_median_height(found))
+        # joined to their page's scale once, where every step needs it
+        self.anchors = stage(found.join(self.scale, "page_id", "left").select(
+            "page_id", "ord", "item_id", "unit_value", "color", "conf", "cx", "cy", "y0", "y2", "m"), FILE_ROWS)
+        self.quantities = stage(G.quantity_blocks(prepared, self.anchors).select("page_id", "ord", "qty", "conf", "cx", "cy"), FILE_ROWS)
 
     def candidates(self) -> DataFrame:
         return G.grid_candidates(self.anchors, self.quantities, self.scale)
@@ -31,13 +34,12 @@ class GridPage:
 
     def matches(self) -> DataFrame:
         # written once: the cells of the pairs are counted before the pairs are dealt out
-        return G.greedy_matching(G.page_parts(stage(self.visible())), ["page_id", "column", "part"])
+        return G.greedy_matching(G.page_parts(stage(self.visible().drop("qty"), FILE_ROWS)), ["page_id", "column", "part"])
 
     def items(self) -> DataFrame:
         """Matched items and pending orphans in page order (dist, anchor_ord)."""
         matches = stage(self.matches())
-        matched = G.matched_items(self.anchors, self.quantities, matches).join(
-            matches.select("page_id", "anchor_ord", "dist"), ["page_id", "anchor_ord"])
+        matched = G.matched_items(self.anchors, self.quantities, matches)
         orphans = G.orphan_anchors(self.anchors, matches).withColumn("dist", F.lit(float("inf")))
         return matched.unionByName(orphans)
 

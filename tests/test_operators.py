@@ -228,6 +228,18 @@ def test_parts_of_a_page_are_matched_alone(spark):
     assert rows(G.greedy_matching(parted, ["page_id", "column", "part"]).select("page_id", "anchor_ord", "qty_ord")) == whole
 
 
+def test_pairs_are_dealt_out_without_their_places(spark):
+    pairs = spark.createDataFrame([(1, 2, 3, 0.0, 0.0, 1.0, 5.0, 10.0, 5.1)],
+                                  "page_id int, anchor_ord int, qty_ord int, ax double, ay double, qx double, qy double, m double, dist double")
+    assert set(G.page_parts(pairs).columns) == {"page_id", "anchor_ord", "qty_ord", "dist", "column", "part"}
+
+
+def test_grid_views_share_what_they_read(spark):
+    for name in ("grid", "rescan"):
+        FX.load(spark, "/root/testdata/sf0.001", name)
+    assert "grid_source" in {key[3] for key in FX._STAGED}
+
+
 def test_neighbours_by_cell(spark):
     rnd = random.Random(7)
     pts = [(0, i, f"t{i}", rnd.random(), rnd.random()) for i in range(150)]
