@@ -22,15 +22,15 @@ class GridPage:
         found = G.value_color_lookup(prepared, vocabulary)
         self.scale = stage(G.upper_median_height(found))
         # joined to their page's scale once, where every step needs it
-        self.anchors = stage(found.join(self.scale, "page_id", "left").select(
-            "page_id", "ord", "item_id", "unit_value", "color", "conf", "cx", "cy", "y0", "y2", "m"), FILE_ROWS)
+        self.placed = stage(found.join(self.scale, "page_id", "left"), FILE_ROWS)
+        self.anchors = self.placed.drop("m")
         self.quantities = stage(G.quantity_blocks(prepared, self.anchors).select("page_id", "ord", "qty", "conf", "cx", "cy"), FILE_ROWS)
 
     def candidates(self) -> DataFrame:
-        return G.grid_candidates(self.anchors, self.quantities, self.scale)
+        return G.grid_candidates(self.placed, self.quantities, self.scale)
 
     def visible(self) -> DataFrame:
-        return G.line_of_sight(self.anchors, self.quantities, self.scale)
+        return G.line_of_sight(self.placed, self.quantities, self.scale)
 
     def matches(self) -> DataFrame:
         # written once: the cells of the pairs are counted before the pairs are dealt out
