@@ -80,3 +80,15 @@ def test_no_delivery(spark, tmp_path):
     s = Stream(spark, tmp_path)
     s.deliver(heartbeat(1))
     assert s.winners() == [] and s.log() == [] and S.current(spark, f"{tmp_path}/out").where(F.col("qty") > 0).count() == 0
+
+
+def test_many_items_share_few_states(spark, tmp_path):
+    s = Stream(spark, tmp_path, late="10 hours")
+    rows = [read(n, 10 * n + k, (n * 7 + k * k * 5) % 11, n % 5 + k, 80.0 + k % 2, item="ij"[n % 2]) for n in range(2 * S.GROUPS) for k in range(4)]
+    s.deliver(*rows[::2], *rows[::10])
+    progress = s.deliver(*rows[1::2], *rows[::6])
+    assert 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= S.GROUPS
+    s.deliver(heartbeat(100))
+    batch = spark.createDataFrame(rows, S.READ_SCHEMA)
+    assert s.log() == sorted((r.session_id, r.seq, r.previous_qty, r.new_qty, r.chosen_qty) for r in max_wins_conflicts(batch, S.KEYS, "qty", "seq").collect())
+    assert s.winners() == sorted((r.session_id, r.item_id, r.qty, r.seq) for r in S.winners(batch).collect())
