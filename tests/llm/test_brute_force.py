@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,6 +134,22 @@ def test_larger_tables_score_as_small_ones_where_nothing_collides(spark):
     assert np.isclose(context_mixing.learn(words, 22).prepare().spell([b"lorem7"]), context_mixing.learn(words, 20).prepare().spell([b"lorem7"]), atol=0.1).all()
 
 
+def test_shared_beginnings_are_counted_for_each_word():
+    words = [b"lorem", b"lore", b"ipsum", b"loren", b"l", b"\xc3\xa9l"] + [b"lo%d" % i for i in range(300)]
+    hashed, byte, before, _ = context_mixing.contexts(words)
+    first, number = context_mixing._distinct(hashed, byte)
+    assert len(first) == len({w[:i + 1] for w in (x + b" " for x in words) for i in range(len(w))}) < len(byte)
+    assert (hashed[:, first][:, number] == hashed).all() and (byte[first][number] == byte).all() and (before[first][number] == before).all()
+    want = np.zeros((context_mixing.ORDERS, 2 << 20), np.uint32)
+    places, bits = context_mixing.slots(hashed, byte, 20)
+    for k in range(context_mixing.ORDERS):
+        np.add.at(want[k], (places[k] * 2 + bits).ravel(), np.uint32(1))
+    got = np.zeros_like(want).reshape(-1, context_mixing.BLOCK)
+    for b in context_mixing._tally(20)([pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])]):
+        got[b["block"][0].as_py(), np.frombuffer(b["at"][0].as_py(), np.uint16)] = np.frombuffer(b["n"][0].as_py(), np.uint32)
+    assert (got.reshape(want.shape) == want).all()
+
+
 def test_spelling_is_a_distribution():
     """Under any counts, the words that go on from a prefix share its probability."""
     rng = np.random.default_rng(1)
