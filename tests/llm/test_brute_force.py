@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -150,6 +151,67 @@ def test_shared_beginnings_are_counted_for_each_word():
     assert (got.reshape(want.shape) == want).all()
 
 
+def tallied(*batches):
+    """The counts of _tally, its parts added up."""
+    got = np.zeros((context_mixing.ORDERS * (2 << 20)) // context_mixing.BLOCK * context_mixing.BLOCK, np.int64).reshape(-1, context_mixing.BLOCK)
+    for b in context_mixing._tally(20)(iter(batches)):
+        for block, at, n in zip(*(b[x].to_pylist() for x in ("block", "at", "n"))):
+            got[block, np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+    return got
+
+
+def test_counts_and_weights_come_from_every_token(spark):
+    counts = {b"lorem": 3, b"lore": 1, b"": 7, b"\xc3\xa9l": 2} | {b"w%d" % i: 1 + i % 4 for i in range(300)}
+    batch = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    each = pa.RecordBatch.from_arrays([pa.array([w for w, n in counts.items() for _ in range(n)], pa.binary())], names=["word"])
+    assert (tallied(batch) == tallied(each)).all()
+    # what 32 bits do not hold is handed on in parts
+    huge = pa.RecordBatch.from_arrays([pa.array([b"ab", b"ac"], pa.binary()), pa.array([5 << 31, (3 << 31) + 1], pa.int64())], names=["word", "n"])
+    single = pa.RecordBatch.from_arrays([pa.array([b"ab", b"ac"], pa.binary())], names=["word"])
+    assert tallied(huge).max() == (8 << 31) + 1 and (np.flatnonzero(tallied(huge)) == np.flatnonzero(tallied(single))).all()
+    # the refining table has each token's bits, each task's share of the tokens is what its weights count for
+    tables = context_mixing.Counts(context_mixing.tally(spark.createDataFrame(list(counts.items()), "word binary, n long")))
+    tokens = sum(counts.values())
+    (out,) = context_mixing._learn(SimpleNamespace(value=tables), tokens)(iter([batch]))
+    assert out["seen"].to_pylist() == [tokens]
+    assert sum(out["refine"][0].as_py()[:256 * 33]) == sum(8 * (len(w) + 1) * n for w, n in counts.items())
+
+
+def test_the_spelling_of_a_token_follows_how_often_it_occurs(spark):
+    counts = {b"often": 4000, b"": 1000} | {b"w%d" % i: 1 for i in range(1000)}
+    words = spark.createDataFrame(list(counts.items()), "word binary, n long")
+    speller = context_mixing.learn(words, tokens=6000).prepare()
+    often, end, once = np.exp(speller.spell([b"often", b"", b"w77"]))
+    assert often > 0.4 and end > 0.08 and once < 0.01
+    assert 0 < speller.share < 1
+
+
+def test_score_of_a_known_word_has_the_spelling(spark):
+    """Plain Python: one class, a single word and an end, both frequent."""
+    docs = spark.createDataFrame([(i, f"w{i % 5}") for i in range(50)], "doc_id long, text string")
+    spellers = []
+    learn = context_mixing.learn
+
+    def kept(*args):
+        spellers.append(learn(*args))
+        return spellers[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(context_mixing, "learn", kept)
+        got = {r.doc_id: r.score for r in context_mixing.score(docs, label=None).collect()}
+    train = [i for i in range(50) if crc(i) % 10]
+    counts = Counter([b"w%d" % (i % 5) for i in train] + [b""] * len(train))
+    n, share, spelled = 2 * len(train), spellers[0].share, spellers[0].prepare()
+    chance = {}
+    for w, c in counts.items():
+        own = (c - context_mixing.DISCOUNT + context_mixing.DISCOUNT * len(counts) * c / n) / n
+        known = (1 - context_mixing.BACKGROUND) * own + context_mixing.BACKGROUND * c / n
+        chance[w] = (1 - share) * known + share * math.exp(spelled.spell([w])[0])
+    for i, score in got.items():
+        weight = max(1, round(128 * 0.5 / 11)) / 256
+        assert math.isclose(score, math.log10(chance[b"w%d" % (i % 5)]) + math.log10((1 - weight) * chance[b""]), rel_tol=1e-6)
+
+
 def test_spelling_is_a_distribution():
     """Under any counts, the words that go on from a prefix share its probability."""
     rng = np.random.default_rng(1)
