@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import re
 import time
 
 import pytest
@@ -20,11 +21,12 @@ from blockwise.operators.ordered import ConflictFold, running_before, sequence_n
 from blockwise.operators.picks import top_k
 from blockwise.operators.rescans import repair_assignment
 from blockwise.operators.rollups import full_text
-from blockwise.plans import flows, item_lists, profiles
+from blockwise.plans import flows, item_lists, profiles, reports
 from blockwise.session import clear_staged, stage
 from blockwise.sources import dictionaries, records, replies
 from blockwise.vocabulary import DEFAULT, Vocabulary
 from suite import fixtures as FX
+from suite import reports as suite_reports
 from tests.test_expressions import like, noisy
 
 SF = "/root/testdata/sf0.001"
@@ -393,3 +395,36 @@ def test_list_pages_are_numbered_by_arrival(spark, tmp_path):
     assert envelope["raw_text"] == f"[IMG 1] {title} | Owned: 5 | [IMG 2] {title} | Owned: 9 | [IMG 4] {title} | Owned: 9"
     assert envelope["warnings"] == [f"[Item Conflict] '{title}' diverged between images. Values: 5 vs 9. System chose: 9 (Conf: 80% vs 80%).", "UNREADABLE_REPLY"]
     assert rows(warnings.select("source", "session_id", "page_seq")) == [("item", 7, 2), ("reply", 7, 3)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_per_page_are_not_broadcast(spark, monkeypatch):
+    """However small the files look: at 5.4 million pages two of them took the driver's memory."""
+    plans = []
+
+    def staged(df, *args):
+        plans.append(_plan(df))
+        return stage(df, *args)
+
+    monkeypatch.setattr(reports, "stage", staged)
+    monkeypatch.setattr(suite_reports, "stage", staged)
+    plans.append(_plan(suite_reports.Q["exists_flags"](spark, SF)))
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[page_id#\d+L\], \[page_id#\d+L\]", line)]
+    assert len(joins) >= 5 and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_flags_of_pages_with_and_without_warnings(spark, monkeypatch):
+    names = {1: ("Ann", "Bob"), 2: ("Ann", "Ann"), 3: ("--", "Bob"), 4: ("AT x", "Bob")}
+    state = spark.createDataFrame([(p, "SingleBattle_PVP", False, True, 0.9, None, "--") for p in (*names, 5)] + [(None, "SingleBattle_PVP", False, True, 0.9, None, "--")],
+                                  "page_id long, page_type string, npc boolean, isolated boolean, mean_conf double, report_ts timestamp, coordinates string")
+    zeros = dict.fromkeys(reports.METRIC_COLUMNS.values(), 0)
+    sides = spark.createDataFrame([{"page_id": p, "side": side, "governor_name": n, "alliance_tag": "AT", "primary_id": "x"} | zeros
+                                   | {"total_units": 10, "remaining": 10} for p, both in names.items() for side, n in zip(("attacker", "defender"), both)],
+                                  "page_id long, side string, governor_name string, alliance_tag string, primary_id string, "
+                                  + ", ".join(f"{c} long" for c in zeros))
+    monkeypatch.setattr(suite_reports, "sides_of", lambda *_: (state, sides))
+    got = {r.page_id: (r.any_warning, r.identity_warning) for r in suite_reports.Q["exists_flags"](spark, "").collect()}
+    assert got == {1: (False, False), 2: (True, True), 3: (True, False), 4: (True, True)}
